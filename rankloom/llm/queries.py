@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sharding
+from . import decontaminate, jaccard, quality, sharding
 from .frames import table
 
 
@@ -74,9 +74,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
 
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_WORDS = "coalesce(regexp_extract_all(text, '[^ \x09-\x0D]+'), [])"
+OP7_SQL = f"""
+WITH RECURSIVE
+docs AS (SELECT doc_id, {_LOWER.format("x")} AS y, x FROM (SELECT doc_id, text AS x FROM documents)),
+words AS (SELECT doc_id, coalesce(regexp_extract_all(y, '[^ \x09-\x0D]+'), []) AS w FROM docs),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+    range(1, greatest(1, len(w) - 3) + 1), lambda p: array_to_string(w[p:p + 3], ' '))) END AS s
+  FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles,
+  least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id
+FROM sets
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op7_jaccard": op7_jaccard,
 }
-SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL}
+SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_jaccard": OP7_SQL}
