@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -88,3 +90,27 @@ def add_columns(
 
 def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
+
+
+def packed(keys: np.ndarray, buckets: int, names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows dealt by the hash ``keys`` into buckets: one row of arrays for each bucket that has any.
+
+    Arrays cost a shuffle little more than their values; ``unpacked`` makes rows of them again.
+    """
+    if not len(keys):
+        return
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    there, first = np.unique(bucket, return_index=True)
+    offsets = pa.array(np.r_[first, len(bucket)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+    for at in range(0, len(there), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(there[at : at + 256]), *(x.slice(at, 256) for x in lists)], ["bucket", *names])
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """``bucket`` and the rows of its arrays; all rows of a bucket are in one partition."""
+    return df.repartition(partitions(df.sparkSession), "bucket").select(
+        "bucket", F.inline(F.arrays_zip(*[F.col(n) for n in names])).alias(*names)
+    )

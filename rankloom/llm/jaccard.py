@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import vec
-from .frames import Stored, add_columns, field, partitions
+from .frames import Stored, add_columns, field, packed, partitions, unpacked
 from .graph import components
 
 #: Documents link when 100 * intersection >= PERCENT * union.
@@ -89,8 +89,8 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     return add_columns(docs, make, fields, text, keep=[id])
 
 
-def _packed(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, size: int, buckets: int) -> DataFrame:
-    """(bucket, shingles, classes, sizes): arrays of equal length for each slice of rows and hash bucket."""
+def _instances(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, size: int, buckets: int) -> DataFrame:
+    """(bucket, shingle, class, size): arrays of equal length for each slice of rows and hash bucket."""
     sent = docs.sparkSession.sparkContext.broadcast(copies)
 
     def run(batches):
@@ -106,24 +106,10 @@ def _packed(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, size
                 else:
                     mask = np.ones(len(s.rows), bool)
                 rows, hashes = s.rows[mask], s.hashes[mask]
-                if not len(rows):
-                    continue
-                bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket.astype(np.int32), kind="stable")
-                bucket, rows, hashes = bucket[order], rows[order], hashes[order]
-                there, first = np.unique(bucket, return_index=True)
-                offsets = pa.array(np.r_[first, len(bucket)].astype(np.int32))
-                lists = [
-                    pa.ListArray.from_arrays(offsets, pa.array(v))
-                    for v in (hashes.view(np.int64), s.key[rows], s.sizes[rows].astype(np.int32))
-                ]
-                for at in range(0, len(there), 256):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(there[at : at + 256].astype(np.int32)), *(x.slice(at, 256) for x in lists)],
-                        ["bucket", "shingles", "classes", "sizes"],
-                    )
-
-    return docs.select(id, text).mapInArrow(run, "bucket int, shingles array<long>, classes array<long>, sizes array<int>")
+                columns = [hashes.view(np.int64), s.key[rows], s.sizes[rows].astype(np.int32)]
+                yield from packed(hashes, buckets, ["shingle", "class", "size"], columns)
+
+    return docs.select(id, text).mapInArrow(run, "bucket int, shingle array<long>, class array<long>, size array<int>")
 
 
 def allowed(size: int, percent: int = PERCENT) -> int:
@@ -196,12 +182,11 @@ def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = S
     copies = own.join(members.where("n > 1"), "class").where(F.col(id) > F.col("least")).select("copy").distinct()
     head = copies.limit(MOST_COPIES + 1).toPandas()["copy"].to_numpy(np.int64)  # bounded by MOST_COPIES
     known = np.sort(head) if len(head) <= MOST_COPIES else None
-    return own, _edges(spark, _packed(docs, known, id, text, size, 8 * partitions(spark)), percent)
+    return own, _edges(_instances(docs, known, id, text, size, 8 * partitions(spark)), percent)
 
 
-def _edges(spark, packed: DataFrame, percent: int) -> DataFrame:
-    rows = packed.repartition(partitions(spark), "bucket").select(
-        "bucket", F.inline(F.arrays_zip("shingles", "classes", "sizes")).alias("shingle", "class", "size"))
+def _edges(instances: DataFrame, percent: int) -> DataFrame:
+    rows = unpacked(instances, ["shingle", "class", "size"])
     counted = rows.withColumn("frequency", F.count("*").over(Window.partitionBy("bucket", "shingle"))).where("frequency > 1")
     shared = counted.groupBy("class", "size").agg(F.collect_list(F.struct("shingle", "frequency")).alias("shared"))
     # The allowed differences, as in allowed(); most classes have more shingles of their own and end here.

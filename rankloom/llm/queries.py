@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, sharding
+from . import decontaminate, jaccard, quality, sharding, substrings
 from .frames import table
 
 
@@ -98,10 +98,33 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles,
 FROM sets
 """
 
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP8_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+wins AS (
+  SELECT r, p, sha256(array_to_string(w[p:p + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM docs WHERE len(w) >= 35)),
+dup AS (SELECT r, p FROM wins WHERE h IN (SELECT h FROM wins GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT r, list(DISTINCT q) AS g FROM (SELECT r, unnest(range(p, p + 35)) AS q FROM dup) GROUP BY r),
+kept AS (
+  SELECT doc_id, w, g, CASE WHEN g IS NULL THEN w ELSE list_transform(
+    list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END AS k
+  FROM docs LEFT JOIN gone USING (r))
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op7_jaccard": op7_jaccard,
+    "op8_substrings": op8_substrings,
 }
-SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_jaccard": OP7_SQL}
+SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL}
