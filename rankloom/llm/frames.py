@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from . import vec
 
@@ -92,25 +93,63 @@ def field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind, True)
 
 
-def packed(keys: np.ndarray, buckets: int, names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows dealt by the hash ``keys`` into buckets: one row of arrays for each bucket that has any.
+def _partition_of(x: np.ndarray, parts: int) -> np.ndarray:
+    """Where hash partitioning puts an int: Spark's Murmur3 with seed 42, modulo the partitions."""
+    u = np.uint32
+
+    def turned(v, r):
+        return (v << u(r)) | (v >> u(32 - r))
+
+    with np.errstate(over="ignore"):
+        h = turned(u(42) ^ (turned(x.astype(np.uint32) * u(0xCC9E2D51), 15) * u(0x1B873593)), 13) * u(5) + u(0xE6546B64)
+        h ^= u(4)
+        h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+        h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+        h ^= h >> u(16)
+    return h.view(np.int32).astype(np.int64) % parts
+
+
+_buckets: dict[int, np.ndarray] = {}
+
+
+def bucket_names(parts: int) -> np.ndarray:
+    """One int for each partition, which hash partitioning puts there: buckets of even size fill partitions evenly."""
+    if parts not in _buckets:
+        out, at = np.full(parts, -1, dtype=np.int32), 0
+        while (out < 0).any():
+            x = np.arange(at, at + 4 * parts, dtype=np.int32)
+            where, first = np.unique(_partition_of(x, parts), return_index=True)
+            out[where] = np.where(out[where] < 0, x[first], out[where])
+            at += 4 * parts
+        _buckets[parts] = out
+    return _buckets[parts]
+
+
+def packed(keys: np.ndarray, parts: int, names: list[str], columns: list[np.ndarray | pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Rows dealt by the hash ``keys`` to partitions: one row of arrays for each partition that gets any.
 
     Arrays cost a shuffle little more than their values; ``unpacked`` makes rows of them again.
     """
     if not len(keys):
         return
-    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    there, first = np.unique(bucket, return_index=True)
-    offsets = pa.array(np.r_[first, len(bucket)].astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+    place = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    there, first = np.unique(place, return_index=True)
+    offsets = pa.array(np.r_[first, len(place)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, c.take(pa.array(order)) if isinstance(c, pa.Array) else pa.array(c[order])) for c in columns]
+    there = bucket_names(parts)[there]
     for at in range(0, len(there), 256):
         yield pa.RecordBatch.from_arrays([pa.array(there[at : at + 256]), *(x.slice(at, 256) for x in lists)], ["bucket", *names])
 
 
-def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+def unpacked(df: DataFrame, parts: int, names: list[str]) -> DataFrame:
     """``bucket`` and the rows of its arrays; all rows of a bucket are in one partition."""
-    return df.repartition(partitions(df.sparkSession), "bucket").select(
-        "bucket", F.inline(F.arrays_zip(*[F.col(n) for n in names])).alias(*names)
-    )
+    rest = [F.get(F.col(n), F.col("_at")).alias(n) for n in names[1:]]
+    rows = df.repartition(parts, "bucket").select("bucket", *names[1:], F.posexplode(names[0]).alias("_at", "_first"))
+    return rows.select("bucket", F.col("_first").alias(names[0]), *rest)
+
+
+def counted(rows: DataFrame, name: str, *key: str) -> DataFrame:
+    """How many rows share the key, beside each row.  The key's first column is a hash, so sorting by it is a radix sort."""
+    return rows.withColumn(name, F.count("*").over(Window.partitionBy(*key, "bucket")))

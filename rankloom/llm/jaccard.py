@@ -26,15 +26,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import vec
-from .frames import Stored, add_columns, field, packed, partitions, unpacked
+from .frames import Stored, add_columns, counted, field, packed, partitions, unpacked
 from .graph import components
 
 #: Documents link when 100 * intersection >= PERCENT * union.
@@ -89,7 +87,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     return add_columns(docs, make, fields, text, keep=[id])
 
 
-def _instances(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, size: int, buckets: int) -> DataFrame:
+def _instances(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, size: int, parts: int) -> DataFrame:
     """(bucket, shingle, class, size): arrays of equal length for each slice of rows and hash bucket."""
     sent = docs.sparkSession.sparkContext.broadcast(copies)
 
@@ -107,7 +105,7 @@ def _instances(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, s
                     mask = np.ones(len(s.rows), bool)
                 rows, hashes = s.rows[mask], s.hashes[mask]
                 columns = [hashes.view(np.int64), s.key[rows], s.sizes[rows].astype(np.int32)]
-                yield from packed(hashes, buckets, ["shingle", "class", "size"], columns)
+                yield from packed(hashes, parts, ["shingle", "class", "size"], columns)
 
     return docs.select(id, text).mapInArrow(run, "bucket int, shingle array<long>, class array<long>, size array<int>")
 
@@ -150,19 +148,25 @@ def _signatures(size: int, shingles: np.ndarray, frequency: np.ndarray, percent:
 def _candidates(shared: DataFrame, percent: int) -> DataFrame:
     """(class, size, shingles) and signatures of the classes that may have a partner."""
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for c, n, pairs in zip(f["class"], f["size"], f["shared"]):
-                keys = {p["shingle"]: p["frequency"] for p in pairs}
-                if n - len(keys) > allowed(n, percent):
-                    continue
-                x, y = np.array(list(keys), dtype=np.int64), np.array(list(keys.values()), dtype=np.int64)
-                order = np.lexsort((x, y))
-                out.append((c, n, np.sort(x), sorted(_signatures(n, x[order], y[order], percent))))
-            yield pd.DataFrame(out, columns=["class", "size", "shingles", "signatures"])
-
-    return shared.mapInPandas(run, "class long, size int, shingles array<long>, signatures array<long>")
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                ends = part.column(2).offsets.to_numpy()
+                every, counts = (part.column(i).flatten().to_numpy() for i in (2, 3))
+                ends = ends - ends[0]
+                sets, signs = [], []
+                for i, n in enumerate(part.column(1).to_pylist()):
+                    x, first = np.unique(every[ends[i] : ends[i + 1]], return_index=True)
+                    y = counts[ends[i] : ends[i + 1]][first]
+                    order = np.lexsort((x, y))
+                    sets.append(x)
+                    signs.append(sorted(_signatures(n, x[order], y[order], percent)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))],
+                    ["class", "size", "shingles", "signatures"],
+                )
+
+    return shared.mapInArrow(run, "class long, size int, shingles array<long>, signatures array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,15 +186,15 @@ def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = S
     copies = own.join(members.where("n > 1"), "class").where(F.col(id) > F.col("least")).select("copy").distinct()
     head = copies.limit(MOST_COPIES + 1).toPandas()["copy"].to_numpy(np.int64)  # bounded by MOST_COPIES
     known = np.sort(head) if len(head) <= MOST_COPIES else None
-    return own, _edges(_instances(docs, known, id, text, size, 8 * partitions(spark)), percent)
+    return own, _edges(_instances(docs, known, id, text, size, partitions(spark)), partitions(spark), percent)
 
 
-def _edges(instances: DataFrame, percent: int) -> DataFrame:
-    rows = unpacked(instances, ["shingle", "class", "size"])
-    counted = rows.withColumn("frequency", F.count("*").over(Window.partitionBy("bucket", "shingle"))).where("frequency > 1")
-    shared = counted.groupBy("class", "size").agg(F.collect_list(F.struct("shingle", "frequency")).alias("shared"))
+def _edges(instances: DataFrame, parts: int, percent: int) -> DataFrame:
+    rows = counted(unpacked(instances, parts, ["shingle", "class", "size"]), "frequency", "shingle").where("frequency > 1")
+    shared = rows.groupBy("class", "size").agg(F.collect_list(F.struct("shingle", "frequency")).alias("shared")).select(
+        "class", "size", F.col("shared.shingle").alias("shingles"), F.col("shared.frequency").cast("array<int>").alias("frequencies"))
     # The allowed differences, as in allowed(); most classes have more shingles of their own and end here.
-    open_to = F.col("size") - F.size(F.array_distinct("shared")) <= F.floor(F.col("size") * (100 - percent) / 100)
+    open_to = F.col("size") - F.size(F.array_distinct("shingles")) <= F.floor(F.col("size") * (100 - percent) / 100)
     found = Stored(_candidates(shared.where(open_to), percent))
     sets = found.df.select("class", "size", "shingles")
     signed = found.df.select("class", "size", F.explode("signatures").alias("signature"))

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import vec
-from .frames import add_columns, field, packed, partitions, unpacked
+from .frames import add_columns, counted, field, packed, partitions, unpacked
 
 WINDOW, ANCHOR = 35, 20
 
@@ -59,10 +59,16 @@ class Anchors:
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return docs.select(F.col(id).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
 
-def _anchor_rows(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
+def _numbers(part: pa.RecordBatch, row: np.ndarray) -> list[pa.Array]:
+    """doc (nullable) and text_hash of these rows."""
+    at = pa.array(row)
+    return [part.column(0).take(at), part.column(1).take(at)]
+
+
+def _anchor_rows(docs: DataFrame, window: int, anchor: int, parts: int) -> DataFrame:
     names = ["anchor", "doc", "text_hash", "position"]
 
     def run(batches):
@@ -73,14 +79,14 @@ def _anchor_rows(docs: DataFrame, window: int, anchor: int, buckets: int) -> Dat
                     continue
                 at = np.unique(a.anchors)
                 row = np.searchsorted(a.words.first, at, side="right") - 1
-                doc, text_hash = (part.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+                doc, text_hash = _numbers(part, row)
                 position = (at - a.words.first[row]).astype(np.int32)
-                yield from packed(a.grams[at], buckets, names, [a.grams[at].view(np.int64), doc, text_hash, position])
+                yield from packed(a.grams[at], parts, names, [a.grams[at].view(np.int64), doc, text_hash, position])
 
-    return unpacked(docs.mapInArrow(run, "bucket int, anchor array<long>, doc array<long>, text_hash array<long>, position array<int>"), names)
+    return unpacked(docs.mapInArrow(run, "bucket int, anchor array<long>, doc array<long>, text_hash array<long>, position array<int>"), parts, names)
 
 
-def _edge_rows(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataFrame:
+def _edge_rows(docs: DataFrame, window: int, anchor: int, parts: int) -> DataFrame:
     """docs has ``positions``, of its repeated anchors."""
     names = ["edge", "edge2", "doc", "text_hash", "position"]
 
@@ -98,17 +104,23 @@ def _edge_rows(docs: DataFrame, window: int, anchor: int, buckets: int) -> DataF
                 starts, row = a.starts[mask], a.rows[mask]
                 one = vec.gram_hashes(a.words.hashes, window)[starts]
                 two = vec.gram_hashes(a.words.hashes, window, seed=0x5EED)[starts]
-                doc, text_hash = (part.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+                doc, text_hash = _numbers(part, row)
                 position = (starts - a.words.first[row]).astype(np.int32)
                 columns = [one.view(np.int64), two.astype(np.uint32).view(np.int32), doc, text_hash, position]
-                yield from packed(one, buckets, names, columns)
+                yield from packed(one, parts, names, columns)
 
     kinds = "bucket int, edge array<long>, edge2 array<int>, doc array<long>, text_hash array<long>, position array<int>"
-    return unpacked(docs.mapInArrow(run, kinds), names)
+    return unpacked(docs.mapInArrow(run, kinds), parts, names)
 
 
 def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    return rows.withColumn("places", F.count("*").over(Window.partitionBy("bucket", *key))).where("places > 1")
+    return counted(rows, "places", *key).where("places > 1")
+
+
+def _with_texts(keyed: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """The texts with what belongs to them.  Both uses shuffle the same columns alike, so Spark shuffles the texts once."""
+    same = keyed["doc"].eqNullSafe(other["doc"]) & (keyed["text_hash"] == other["text_hash"])
+    return keyed.join(other, same, how).drop(other["doc"], other["text_hash"])
 
 
 def paths(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -119,11 +131,11 @@ def paths(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
 def _paths(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
     if not 0 < anchor <= window:
         raise ValueError("an anchor has from one word to the window's")
-    buckets = 8 * partitions(keyed.sparkSession)
-    anchors = _repeated(_anchor_rows(keyed, window, anchor, buckets), "anchor")
+    parts = partitions(keyed.sparkSession)
+    anchors = _repeated(_anchor_rows(keyed, window, anchor, parts), "anchor")
     flagged = anchors.groupBy("doc", "text_hash").agg(F.collect_list("position").alias("positions"))
-    marked = keyed.join(flagged, ["doc", "text_hash"]).select("doc", "text_hash", "text", "positions")
-    edges = _repeated(_edge_rows(marked, window, anchor, buckets), "edge", "edge2")
+    marked = _with_texts(keyed, flagged, "inner").select("doc", "text_hash", "text", "positions")
+    edges = _repeated(_edge_rows(marked, window, anchor, parts), "edge", "edge2")
     source = Window.partitionBy("doc", "text_hash").orderBy("position")
     follows = (F.col("position") - F.lag("position").over(source) <= 1) & (F.col("places") == F.lag("places").over(source))
     numbered = edges.withColumn("fresh", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("fresh").over(source))
@@ -140,8 +152,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     """id, n_words, n_removed, kept (words joined by one space; null without ``with_text``) and its kept_sha256."""
     keyed = _keyed(docs, id, text)
     spans = _paths(keyed, window, anchor).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    texts = docs.select(F.col(id), F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    rows = texts.join(spans, ["doc", "text_hash"], "left").select(id, "text", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
+    rows = _with_texts(keyed, spans, "left").select(F.col("doc").alias(id), "text", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
 
     def make():
         def work(part: pa.RecordBatch) -> list:
