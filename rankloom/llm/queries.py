@@ -7,10 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, sharding, substrings
+from . import decontaminate, html, jaccard, lines, neighbours, quality, sharding, substrings
 from .frames import table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+#: Each line's run is its shortest of MIN_WORDS words; all places of a run but the first lose it.
+OP1_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
+every AS (SELECT r, doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS i FROM docs),
+sized AS (SELECT *, len(regexp_extract_all(line, '[^ \x09-\x0D]+')) AS w FROM every),
+full_lines AS (
+  SELECT r, doc_id, i, line, w, row_number() OVER o AS p, sum(w) OVER o AS upto
+  FROM sized WHERE w > 0 WINDOW o AS (PARTITION BY r ORDER BY i)),
+ends AS (
+  SELECT a.r, a.doc_id, a.p, min(b.p) AS e
+  FROM full_lines a JOIN full_lines b ON a.r = b.r AND b.p >= a.p AND b.p < a.p + {lines.MIN_WORDS}
+  WHERE b.upto - a.upto + a.w >= {lines.MIN_WORDS} GROUP BY ALL),
+texts AS (SELECT r, list(line ORDER BY p) AS l FROM full_lines GROUP BY r),
+named AS (SELECT r, doc_id, p, e, array_to_string(l[p:e], chr(10)) AS run FROM ends JOIN texts USING (r)),
+later AS (SELECT r, p, e FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS k FROM named) WHERE k > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, e + 1)) AS p FROM later),
+marked AS (
+  SELECT s.r, s.doc_id, s.i, s.line, f.p IS NOT NULL AS has, g.p IS NOT NULL AS away
+  FROM sized s LEFT JOIN full_lines f ON s.r = f.r AND s.i = f.i LEFT JOIN gone g ON f.r = g.r AND f.p = g.p)
+SELECT doc_id, (count(*) FILTER (has))::BIGINT AS n_lines, (count(*) FILTER (away))::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT away), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
@@ -120,11 +150,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_remov
 FROM kept
 """
 
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP9_SQL = """
+WITH RECURSIVE
+v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_of AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN least_of USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op7_jaccard": op7_jaccard,
     "op8_substrings": op8_substrings,
+    "op9_neighbours": op9_neighbours,
+    "op10_html": op10_html,
 }
-SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL}
+SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op9_neighbours": OP9_SQL}
