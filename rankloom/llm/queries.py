@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, lines, neighbours, quality, sharding, substrings
+from . import decontaminate, html, jaccard, lines, neighbours, pieces, quality, sharding, substrings
 from .frames import table
 
 
@@ -105,6 +105,13 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ids, and the digest of the text that they decode to."""
+    ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pieces.decode(ids)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -182,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op6_pieces": op6_pieces,
     "op7_jaccard": op7_jaccard,
     "op8_substrings": op8_substrings,
     "op9_neighbours": op9_neighbours,

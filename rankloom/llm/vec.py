@@ -128,6 +128,14 @@ def words_of(column: pa.Array, keep: np.ndarray = SPACE_WORDS, lower: bool = Fal
     return Words(data, starts, ends, first.astype(np.int64), hashes)
 
 
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    up, down = powers(_BASE, len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def gram_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hash of the n words from each word on, for all but the last n - 1 words; rows are not looked at."""
     count = len(hashes) - n + 1
