@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, lines, neighbours, pieces, quality, sharding, substrings
+from . import backoff, decontaminate, html, jaccard, lines, neighbours, pieces, quality, sharding, substrings
 from .frames import table
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", "kept_sha256")
@@ -80,7 +83,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP4_SQL = f"""
 WITH items AS (
   SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
@@ -105,6 +107,27 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
+OP5_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^ \x09-\x0D]+'), []) AS t FROM documents),
+words AS (SELECT r, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM docs),
+pairs AS (SELECT r, p, w, lag(w) OVER (PARTITION BY r ORDER BY p) AS v FROM words),
+n1 AS (SELECT w, count(*) AS n FROM words GROUP BY w),
+n2 AS (SELECT v, w, count(*) AS n FROM pairs WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= {backoff.LEAST}),
+scores AS (
+  SELECT r, CASE WHEN n2.n IS NOT NULL THEN ln(n2.n / nv.n)
+    ELSE CASE WHEN pairs.v IS NULL THEN 0 ELSE ln({backoff.ALPHA}) END + ln(nw.n / (SELECT sum(n) FROM n1)) END AS s
+  FROM pairs LEFT JOIN n2 ON pairs.v = n2.v AND pairs.w = n2.w LEFT JOIN n1 nv ON pairs.v = nv.w JOIN n1 nw ON pairs.w = nw.w)
+SELECT doc_id, len(t)::BIGINT AS n_words, round(s, 6) AS score
+FROM docs LEFT JOIN (SELECT r, avg(s) AS s FROM scores GROUP BY r) USING (r)
+"""
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids, and the digest of the text that they decode to."""
     ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -189,10 +212,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_backoff": op5_backoff,
     "op6_pieces": op6_pieces,
     "op7_jaccard": op7_jaccard,
     "op8_substrings": op8_substrings,
     "op9_neighbours": op9_neighbours,
     "op10_html": op10_html,
 }
-SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op9_neighbours": OP9_SQL}
+SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL, "op5_backoff": OP5_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op9_neighbours": OP9_SQL}
