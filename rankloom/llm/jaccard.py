@@ -68,23 +68,27 @@ class Sets:
         self.key = vec.sequence_hash(self.hashes, self.first).view(np.int64)
 
 
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
+
+
 def _pair(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return vec.mix(key.view(np.uint64) ^ vec.mix(ids.view(np.uint64))).view(np.int64)
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """id, n_shingles and class (a hash of the set; null if it is empty) of each row."""
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of each row (all by default), n_shingles, class (a hash of the set; null if it is empty) and copy (of class and id)."""
 
     def make():
         def work(part: pa.RecordBatch) -> list:
             s = Sets(part.column(part.schema.get_field_index(text)), size)
-            ids = part.column(part.schema.get_field_index(id)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = _ids(part.column(part.schema.get_field_index(id)))
             return [s.sizes, pa.array(s.key, mask=s.sizes == 0), _pair(s.key, ids)]
 
         return work
 
     fields = [field("n_shingles", T.LongType()), field("class", T.LongType()), field("copy", T.LongType())]
-    return add_columns(docs, make, fields, text, keep=[id])
+    return add_columns(docs, make, fields, text, keep=keep)
 
 
 def _instances(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, size: int, parts: int) -> DataFrame:
@@ -97,7 +101,7 @@ def _instances(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, s
             for part in vec.slices(batch, text):
                 s = Sets(part.column(part.schema.get_field_index(text)), size)
                 if skip is not None and len(skip):
-                    ids = part.column(part.schema.get_field_index(id)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    ids = _ids(part.column(part.schema.get_field_index(id)))
                     own = _pair(s.key, ids)
                     at = np.minimum(np.searchsorted(skip, own), len(skip) - 1)
                     mask = (skip[at] != own)[s.rows]
@@ -181,7 +185,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows with n_shingles and class, edges (a, b) between classes): enough edges that all linked classes are connected."""
     spark = docs.sparkSession
-    own = Stored(classes(docs, id, text, size)).df
+    own = Stored(classes(docs, id, text, size, keep=[id])).df
     members = own.where("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min(id).alias("least"))
     copies = own.join(members.where("n > 1"), "class").where(F.col(id) > F.col("least")).select("copy").distinct()
     head = copies.limit(MOST_COPIES + 1).toPandas()["copy"].to_numpy(np.int64)  # bounded by MOST_COPIES
@@ -233,3 +237,30 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = rooted.join(best, "root").select("class", "component_id")
     return own.join(by_class, "class", "left").select(id, "n_shingles", F.coalesce("component_id", F.col(id)).alias("component_id"))
+
+
+#: For the corpus: words a shingle, and the similarity of near duplicates in hundredths.
+CORPUS_SHINGLE, CORPUS_PERCENT = 5, 80
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = CORPUS_SHINGLE, percent: int = CORPUS_PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one document, that of the least id, of each group of near duplicates.
+
+    Rows equal in id and text are one document.  Rows without words all stay.
+    """
+    own, edges = links(docs, id, text, size, percent)
+    root = components(edges).select(F.col("node").alias("class"), "root")
+    members = own.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"))).alias("least"))
+    rooted = members.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    best = rooted.groupBy("root").agg(F.min(F.struct("least", F.col("class").alias("best"))).alias("b")).select("root", "b.best", F.col("b.least.id").alias("least"))
+    placed = own.join(rooted.select("class", "root"), "class").join(best, "root")
+    gone = placed.where((F.col("class") != F.col("best")) | ~F.col(id).eqNullSafe(F.col("least"))).select(F.col("copy").alias("_copy"))
+    twice = own.where("class is not null").groupBy("copy").count().where("count > 1").select(F.col("copy").alias("_copy"))
+    spare = {c: f"_kept_{c}" for c in docs.columns if c in ("n_shingles", "class", "copy")}
+    tagged = classes(docs.withColumnsRenamed(spare), spare.get(id, id), spare.get(text, text), size, keep=None)
+    kept = tagged.join(Stored(gone.distinct()).df, F.col("copy") == F.col("_copy"), "left_anti")
+    repeated = Stored(twice).df
+    if not repeated.isEmpty():
+        same = F.col("copy") == F.col("_copy")
+        kept = kept.join(repeated, same, "left_anti").union(kept.where("class is not null").join(repeated, same, "left_semi").dropDuplicates(["copy"]))
+    return kept.select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])
