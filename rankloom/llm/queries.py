@@ -207,6 +207,13 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_sharding": op2_sharding,
@@ -218,5 +225,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_neighbours": op9_neighbours,
     "op10_html": op10_html,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op1_lines": OP1_SQL, "op2_sharding": OP2_SQL, "op4_decontaminate": OP4_SQL, "op5_backoff": OP5_SQL, "op7_jaccard": OP7_SQL, "op8_substrings": OP8_SQL, "op9_neighbours": OP9_SQL}
