@@ -32,8 +32,8 @@ from . import vec
 from .frames import Stored, packed, partitions, unpacked
 
 ALPHA, LEAST = 0.4, 2
-#: Words that are broadcast, at most: 12 MB.
-FREQUENT = 1 << 20
+#: Words that are broadcast, at most: 6 MB.  A number has 20 bits.
+FREQUENT, BITS = 1 << 19, 20
 
 
 def _keys(part: pa.RecordBatch) -> np.ndarray:
@@ -75,9 +75,10 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         least = r["step"]
     if least is None:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    got = counts.where(step >= least).toPandas()  # at most ``most`` rows
-    order = np.argsort(got["word"].to_numpy(np.int64))
-    return got["word"].to_numpy(np.int64)[order], got["n"].to_numpy(np.int64)[order]
+    got = counts.where(step >= least).toArrow()  # at most ``most`` rows
+    word, n = (got.column(c).to_numpy() for c in ("word", "n"))
+    order = np.argsort(word)
+    return word[order], n[order]
 
 
 def _pairs(keyed: DataFrame, words: np.ndarray, both_frequent: bool, parts: int) -> DataFrame:
@@ -101,7 +102,7 @@ def _pairs(keyed: DataFrame, words: np.ndarray, both_frequent: bool, parts: int)
                 pick = ((code_v >= 0) & (number >= 0)) == both_frequent
                 row = rows[pick]
                 if both_frequent:
-                    x = (code_v[pick].astype(np.int64) << 20) | number[pick]
+                    x = (code_v[pick].astype(np.int64) << BITS) | number[pick]
                     pair = vec.mix(x.astype(np.uint64))
                 else:
                     v, own = np.where(starts, 0, before(h, 0))[pick], h[pick]
@@ -114,7 +115,7 @@ def _pairs(keyed: DataFrame, words: np.ndarray, both_frequent: bool, parts: int)
                 if both_frequent:
                     x = x[which]
                     high = ((x >> 36 & 15) << 4) | (x >> 16 & 15)
-                    columns = [(x >> 20).astype(np.uint16).view(np.int16), x.astype(np.uint16).view(np.int16), high.astype(np.uint8).view(np.int8)]
+                    columns = [(x >> BITS).astype(np.uint16).view(np.int16), x.astype(np.uint16).view(np.int16), high.astype(np.uint8).view(np.int8)]
                     yield from packed(pair[fresh], parts, ["v", "w", "high", "key", "times"], [*columns, key, times])
                 else:
                     yield from packed(pair[fresh], parts, ["v", "w", "key", "times"], [v[which], own[which], key, times])
@@ -125,7 +126,7 @@ def _pairs(keyed: DataFrame, words: np.ndarray, both_frequent: bool, parts: int)
         return rows
     high = F.col("high").cast("long").bitwiseAND(255)
     wide = lambda low, top: F.shiftleft(top, 16) + F.col(low).cast("long").bitwiseAND(65535)
-    pair = F.shiftleft(wide("v", F.shiftright(high, 4)), 20) + wide("w", high.bitwiseAND(15))
+    pair = F.shiftleft(wide("v", F.shiftright(high, 4)), BITS) + wide("w", high.bitwiseAND(15))
     return rows.select("bucket", pair.alias("pair"), "key", "times")
 
 
@@ -143,8 +144,8 @@ def _bases(keyed: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", alpha: float = ALPHA, least: int = LEAST, frequent: int = FREQUENT) -> DataFrame:
     """id, n_words and score (mean natural logarithm; null without words) of each row."""
-    if least < 1 or not 0 < alpha <= 1 or not 0 < frequent <= FREQUENT:
-        raise ValueError("least is 1 or more, alpha from 0 to 1, frequent up to FREQUENT")
+    if least < 1 or not 0 < alpha <= 1 or not 0 < frequent <= 1 << BITS:
+        raise ValueError("least is 1 or more, alpha from 0 to 1, frequent up to 2**BITS")
     spark, keyed = docs.sparkSession, _keyed(docs, id, text)
     parts = partitions(spark)
     counts = Stored(word_counts(docs, text)).df
@@ -158,7 +159,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", alpha: float
         return F.col("times") * F.when(F.col("hit"), F.log("pairs") - F.log(n)).otherwise(F.lit(math.log(alpha) - log_all) + F.log(n))
 
     one = _pairs(keyed, words, True, parts).withColumn("pairs", F.sum("times").over(Window.partitionBy("pair", "bucket"))).withColumn("hit", F.col("pairs") >= least)
-    one = one.withColumn("number", F.when(F.col("hit"), F.shiftright("pair", 20)).otherwise(F.col("pair").bitwiseAND((1 << 20) - 1)))
+    one = one.withColumn("number", F.when(F.col("hit"), F.shiftright("pair", BITS)).otherwise(F.col("pair").bitwiseAND((1 << BITS) - 1)))
     one = one.join(F.broadcast(known), "number").select("key", scored("n").alias("part"))  # FREQUENT rows at most
     two = _pairs(keyed, words, False, parts).withColumn("pairs", F.sum("times").over(Window.partitionBy("w", "v", "bucket")))
     two = two.withColumn("hit", (F.col("pairs") >= least) & (F.col("v") != 0)).withColumn("word", F.when(F.col("hit"), F.col("v")).otherwise(F.col("w")))
