@@ -14,8 +14,9 @@ form one class; classes are compared, never their copies.
    linked classes then share a signature.  Groups grow with the size of the set, and a
    set near the border of two size levels is indexed in both, so combinations stay few.
 4. Classes that share a signature are verified exactly, in rounds: each class with one
-   partner, then with the first of each of its signatures, then all pairs of a signature
-   that are not in one component yet.  Pairs inside a component are never made.
+   partner, then with the first of each of its signatures.  Signatures whose classes still
+   are in several components tie their classes into clusters, and a cluster's sets are
+   multiplied in blocks of a bounded size: pairs inside it never become rows.
 
 Nulls and empty texts: an empty set, linked with nothing.  Rows without id take part; a
 component's id is the least id in it.  Equal rows and copies share a class.
@@ -217,17 +218,86 @@ def _edges(instances: DataFrame, parts: int, percent: int) -> DataFrame:
     apart = rooted(rooted(pairs, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
     round2 = Stored(_verified(apart, sets, percent))
     root = components(round1.df.union(round2.df))
-    # What is left: signatures whose classes are in several components, and there the pairs across.
-    open_ = rooted(index.df.select("signature", "class", "size", F.col("a").alias("head")), "class", "r")
-    mixed = open_.groupBy("signature").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("signature")
-    left = Stored(open_.where(F.col("class") != F.col("head")).join(mixed, "signature").select("signature", "class", "size", "r"))
-    one = left.df.select("signature", F.col("class").alias("a"), F.col("size").alias("na"), F.col("r").alias("ra"))
-    two = left.df.select("signature", F.col("class").alias("b"), F.col("size").alias("nb"), F.col("r").alias("rb"))
-    rest = one.join(two, "signature").where("a < b and ra <> rb").where(fits("na", "nb")).select("a", "b").distinct()
-    round3 = Stored(_verified(rest, sets, percent))
+    # What is left: signatures whose classes are in several components.  Classes that such signatures tie together
+    # form a cluster, and its pairs across components are verified in blocks.
+    open_ = rooted(index.df.where(F.col("class") != F.col("a")).select("signature", "class"), "class", "r")
+    mixed = open_.groupBy("signature").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.min("class").alias("a")).where("lo <> hi").select("signature", "a")
+    ties = Stored(open_.select("signature", "class").join(mixed, "signature").select("a", F.col("class").alias("b")).distinct())
+    cluster = components(ties.df).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    held = ties.df.select(F.col("b").alias("class")).distinct().join(cluster, "class", "left").withColumn("cluster", F.coalesce("cluster", "class"))
+    round3 = Stored(_within(rooted(held, "class", "r").join(sets, "class"), percent))
     return round1.df.union(round2.df).union(round3.df)
 
 
+#: Shingles of a block, about, and columns of its matrix at a time.
+BLOCK, WIDTH = 1 << 19, 4096
+
+
+def _within(members: DataFrame, percent: int) -> DataFrame:
+    """Of clusters (cluster, class, r, size, shingles): enough linked pairs (a, b) to connect what is linked across components r.
+
+    A cluster is dealt into blocks of a bounded size, and each two blocks meet in one row: intersections are products
+    of 0/1 matrices, and no pair becomes a row unless it joins two components.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = (batch.column(c)[i].values for c in (0, 1))
+                (ca, ra, na, xa), (cb, rb, nb, xb) = (_columns(x) for x in (one, two))
+                both = _products(na, xa, nb, xb)
+                linked = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ra[:, None] != rb[None, :])
+                out_a, out_b = [], []
+                labels_a, labels_b = ra.copy(), rb.copy()
+                while True:  # least labels spread over the links; what changes a label is an edge
+                    low_b = np.where(linked, labels_b[None, :], np.iinfo(np.int64).max)
+                    at, low = low_b.argmin(1), low_b.min(1)
+                    move = np.flatnonzero(low < labels_a)
+                    out_a.append(ca[move])
+                    out_b.append(cb[at[move]])
+                    labels_a[move] = low[move]
+                    low_a = np.where(linked, labels_a[:, None], np.iinfo(np.int64).max)
+                    at, low = low_a.argmin(0), low_a.min(0)
+                    back = np.flatnonzero(low < labels_b)
+                    out_a.append(ca[at[back]])
+                    out_b.append(cb[back])
+                    labels_b[back] = low[back]
+                    if not len(move) and not len(back):
+                        break
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("count"), F.greatest(F.lit(1), F.ceil(F.sum("size") / BLOCK)).cast("int").alias("blocks"))
+    placed = members.join(sizes.where("count > 1"), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    blocks = Stored(placed.groupBy("cluster", "block", "blocks").agg(F.collect_list(F.struct("class", "r", "size", "shingles")).alias("rows"))).df
+    one = blocks.select("cluster", F.col("rows").alias("one"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("with"))
+    two = blocks.select("cluster", F.col("block").alias("with"), F.col("rows").alias("two"))
+    return one.join(two, ["cluster", "with"]).select("one", "two").mapInArrow(run, "a long, b long").distinct()
+
+
+def _columns(rows: pa.StructArray) -> tuple:
+    c, r, n = (rows.field(i).to_numpy() for i in range(3))
+    return c, r, n.astype(np.int64), rows.field(3)
+
+
+def _products(na: np.ndarray, xa: pa.ListArray, nb: np.ndarray, xb: pa.ListArray) -> np.ndarray:
+    """Sizes of all intersections of the sets xa with the sets xb."""
+    va, vb = xa.flatten().to_numpy(), xb.flatten().to_numpy()
+    rows_a, rows_b = (np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())) for x in (xa, xb))
+    common = np.intersect1d(np.unique(va), np.unique(vb))
+    out = np.zeros((len(xa), len(xb)), np.float32)
+    at_a, at_b = (np.searchsorted(common, v) for v in (va, vb))
+    in_a, in_b = ((at < len(common)) & (common[np.minimum(at, max(len(common) - 1, 0))] == v) if len(common) else np.zeros(len(v), bool) for at, v in ((at_a, va), (at_b, vb)))
+    for first in range(0, len(common), WIDTH):
+        two = []
+        for at, inside, rows, n in ((at_a, in_a, rows_a, len(xa)), (at_b, in_b, rows_b, len(xb))):
+            mine = inside & (at >= first) & (at < first + WIDTH)
+            m = np.zeros((n, min(WIDTH, len(common) - first)), np.float32)
+            m[rows[mine], at[mine] - first] = 1
+            two.append(m)
+        out += two[0] @ two[1].T
+    return out.astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of each row."""
     own, edges = links(docs, id, text, size, percent)
