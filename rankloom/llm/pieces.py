@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut at spaces and line feeds into chunks (the space before a word and the word); no
-piece crosses such a cut.  Distinct chunks alone are encoded:
+Texts are cut into chunks between bytes that stand side by side in no piece: before spaces, at
+line feeds, between most letters and marks.  No piece crosses a cut.  Distinct chunks alone are
+encoded:
 
 1. Documents are read in blocks of a bounded size.  A block numbers its distinct chunks, and
    each of its documents becomes a row of numbers.
@@ -11,8 +12,8 @@ piece crosses such a cut.  Distinct chunks alone are encoded:
    by start, each edge improves the best score at its end.  For a BPE model, whose encoding
    is no best path, edges are folded in the order of their merges: an edge is taken if its
    two ends still are borders and one border is left between them.  A chunk's borders are
-   the bits of two longs in turn, so a chunk has up to 62 characters; a longer one is folded
-   alike in Python.
+   the bits of a long, so a chunk has up to 62 characters; a longer one is folded alike in
+   Python.
 4. The encodings go back to their blocks by number, and documents are put together there.
 
 Characters without a piece become byte pieces, or the unknown piece where there are none.
@@ -28,14 +29,15 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import vec
-from .frames import packed, partitions, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text of a block, and characters of a chunk that Spark folds.
@@ -83,10 +85,18 @@ class Model:
         use = self.usable()
         return {p: k for k, p in enumerate(sorted(use, key=lambda p: (-self.scores[use[p]], use[p])))}
 
-    def separators(self) -> bytes:
-        """Where a text may be cut: a space, and control characters that no piece holds."""
-        held = set("".join(self.usable()))
-        return bytes(c for c in range(0x21) if chr(c) not in held)
+    def joints(self) -> np.ndarray:
+        """[256, 256]: which bytes stand side by side inside a piece.  Between all others a text may be cut.
+
+        Spaces are what they are in a text, and no piece has one after another character.
+        """
+        out = np.zeros((256, 256), dtype=bool)
+        for p in self.usable():
+            raw = np.frombuffer(p.replace(SPACE, " ").encode(), np.uint8)
+            out[raw[:-1], raw[1:]] = True
+        lead, tail = np.arange(0x80, 0x100), np.arange(0x80, 0xC0)
+        out[np.ix_(lead, tail)] = True  # characters stay whole
+        return out
 
     def longest(self) -> int:
         return max(map(len, self.usable()))
@@ -129,153 +139,145 @@ def out_of_order(model: Model) -> list[str]:
     return bad
 
 
-def _blocks(docs: DataFrame, id: str, text: str, dictionary: bool, parts: int, inside: np.ndarray) -> DataFrame:
+def _blocks(docs: DataFrame, id: str, text: str, dictionary: bool, joints: np.ndarray) -> DataFrame:
     """Rows of chunk numbers, or the numbered chunks: both from the same walk over the partition."""
-    import_id = docs.schema[id].dataType
+
+    id_kind = to_arrow_type(docs.schema[id].dataType)
 
     def run(batches):
         from pyspark import TaskContext
 
         task, count, size = TaskContext.get().partitionId(), 0, 0
-        known: dict[int, int] = {}
+        known, numbered = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             for part in vec.slices(batch, text):
                 if size > BLOCK_BYTES:
-                    known, count, size = {}, count + 1, 0
-                block = (task << 24) + count
+                    known, numbered, count, size = known[:0], numbered[:0], count + 1, 0
+                block = (task << 16) + count
                 column = pc.replace_substring(part.column(1).fill_null(""), SPACE, " ")  # the library's escape is a space to it
                 column = pc.if_else(pc.equal(pc.binary_length(column), 0), "", pc.binary_join_element_wise(" ", column, ""))
-                w = vec.words_of(column, inside)
-                _, offsets = vec.flat(column)
-                size += len(w.data)
-                # A chunk begins where the last one ended; white space at the end of a text is one more.
-                begin = np.r_[0, w.ends[:-1]] if len(w.ends) else w.ends
-                heads = w.first[:-1][np.diff(w.first) > 0]
-                begin[heads] = offsets[:-1][np.diff(w.first) > 0]
-                last = offsets[:-1].copy()
-                full = np.diff(w.first) > 0
-                last[full] = w.ends[w.first[1:][full] - 1]
-                tail = np.flatnonzero(last < offsets[1:])
-                begins, ends = np.r_[begin, last[tail]], np.r_[w.ends, offsets[1:][tail]]
-                order = np.argsort(begins, kind="stable")
-                begins, ends = begins[order], ends[order]
+                data, offsets = vec.flat(column)
+                size += len(data)
+                edge = np.zeros(len(data) + 1, dtype=bool)
+                edge[offsets] = True
+                edge[1:-1] |= ~joints[data[:-1], data[1:]] if len(data) else False
+                if not len(data):
+                    edge[:] = False
+                cuts = np.flatnonzero(edge)
+                begins, ends = cuts[:-1], cuts[1:]
                 first = np.searchsorted(begins, offsets)
-                hashes = vec.spans_hash(w.data, begins, ends)
-                unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                turn = np.argsort(at)  # numbers in the order of appearance: the frequent ones are small
-                numbers = np.empty(len(unique), np.int64)
-                fresh = []
-                for k in turn.tolist():
-                    h = int(unique[k])
-                    n = known.get(h)
-                    if n is None:
-                        n = known[h] = len(known)
-                        fresh.append(k)
-                    numbers[k] = n
+                hashes = vec.spans_hash(data, begins, ends)
+                inverse, unique = pd.factorize(hashes)  # in the order of appearance: numbers of frequent chunks are small
+                at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
+                old = known[at] == unique if len(known) else np.zeros(len(unique), bool)
+                numbers = np.where(old, numbered[at] if len(known) else 0, len(known) + np.cumsum(~old) - 1)
+                fresh = np.flatnonzero(~old)
+                known, numbered = np.r_[known, unique[fresh]], np.r_[numbered, numbers[fresh]]
+                order = np.argsort(known)
+                known, numbered = known[order], numbered[order]
                 if dictionary:
-                    raw = w.data.tobytes()
-                    words = pa.array([raw[begins[at[k]] : ends[at[k]]] for k in fresh], pa.binary()).cast(pa.string())
-                    ids = numbers[fresh].astype(np.int32)
-                    yield from packed(unique[fresh], parts, ["chunk", "block", "number"], [words, np.full(len(fresh), block), ids])
+                    raw = data.tobytes()
+                    seen = np.full(len(unique), -1)
+                    seen[inverse[::-1]] = np.arange(len(inverse))[::-1]
+                    spans = zip(begins[seen[fresh]].tolist(), ends[seen[fresh]].tolist())
+                    words = pa.array([raw[x:y] for x, y in spans], pa.binary()).cast(pa.string())
+                    places = pa.array((block << 24) + numbers[fresh])
+                    for k in range(0, len(words), 1 << 14):
+                        yield pa.RecordBatch.from_arrays([words[k : k + (1 << 14)], places[k : k + (1 << 14)]], ["chunk", "place"])
                 else:
-                    codes = numbers[inverse]
-                    low, high = codes.astype(np.uint16), (codes >> 16).astype(np.uint8)
-                    rows = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part.column(0), pa.array(rows, pa.binary())], ["block", "id", "codes"])
+                    codes = numbers[inverse].astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]
+                    blob = pa.compress(np.ascontiguousarray(codes.T).tobytes(), codec="zstd", asbytes=True)  # byte planes: high ones are nearly empty
+                    one = pa.array([0, len(part)], pa.int32())
+                    counts = pa.array(np.diff(first).astype(np.int32))
+                    ids = part.column(0).cast(id_kind)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, counts), pa.array([blob], pa.binary())],
+                        ["block", "ids", "counts", "codes"],
+                    )
 
     if dictionary:
-        return docs.select(id, text).mapInArrow(run, "bucket int, chunk array<string>, block array<long>, number array<int>")
-    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("id", import_id), T.StructField("codes", T.BinaryType())])
-    return docs.select(id, text).mapInArrow(run, kind)
+        return docs.select(id, text).mapInArrow(run, "chunk string, place long")
+    kinds = [("block", T.LongType()), ("ids", T.ArrayType(docs.schema[id].dataType)), ("counts", T.ArrayType(T.IntegerType())), ("codes", T.BinaryType())]
+    return docs.select(id, text).mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
 def _fold_merges(edges: Column, n: Column) -> Column:
-    """The borders (a bit for each) that are left; edges (o, s, e, id) in the order of merges."""
+    """The borders (a bit for each) that are left; edges in the order of merges, each a long: order, start, end."""
 
     def take(b: Column, x: Column) -> Column:
-        one = F.lit(1).cast("long")
-        shift = lambda by: F.call_function("shiftleft", one, by)
-        inner = b.bitwiseAND(shift(x["e"]) - shift(x["s"] + 1))
-        ends = shift(x["s"]) + shift(x["e"])
-        good = (b.bitwiseAND(ends) == ends) & (inner != 0) & (inner.bitwiseAND(inner - 1) == 0)
+        s, e = _bit(F.shiftright(x, 8).bitwiseAND(63)), _bit(x.bitwiseAND(63))
+        inner = b.bitwiseAND(e - s - s)
+        good = (b.bitwiseAND(s + e) == s + e) & (inner != 0) & (inner.bitwiseAND(inner - 1) == 0)
         return F.when(good, b - inner).otherwise(b)
 
-    return F.aggregate(edges, F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1, take)
+    return F.aggregate(edges, _bit(n + 1) - 1, take)
 
 
 def _fold_viterbi(edges: Column, n: Column) -> Column:
-    """The borders of the best path; edges (o, s, e, id, score) by start then end."""
-    start = F.concat(F.array(F.struct(F.lit(0.0).alias("v"), F.lit(1).cast("long").alias("b"))), F.array_repeat(F.lit(None).cast("struct<v:double,b:bigint>"), n))
+    """The borders of the best path; edges (s, e, score) by start.  A character without an edge costs ``score`` of (s, s + 1, null)."""
+    start = F.concat(F.array(F.struct(F.lit(0.0).alias("v"), F.lit(1).cast("long").alias("b"))), F.array_repeat(F.lit(None).cast("struct<v:double,b:bigint>"), n.cast("int")))
 
     def take(best: Column, x: Column) -> Column:
         here, there = F.element_at(best, x["s"] + 1), F.element_at(best, x["e"] + 1)
         v = here["v"] + x["score"]
         better = here.isNotNull() & (there.isNull() | (v > there["v"]))
-        new = F.struct(v.alias("v"), (here["b"] + F.call_function("shiftleft", F.lit(1).cast("long"), x["e"])).alias("b"))
+        new = F.struct(v.alias("v"), (here["b"] + _bit(x["e"])).alias("b"))
         return F.when(better, F.transform(best, lambda old, i: F.when(i == x["e"], new).otherwise(old))).otherwise(best)
 
     return F.element_at(F.aggregate(edges, start, take), -1)["b"]
 
 
-def _encoded(chunks: DataFrame, model: Model) -> DataFrame:
-    """(chunk, bucket, ids) of distinct chunks (chunk, bucket)."""
-    spark = chunks.sparkSession
+def _borders(chunks: DataFrame, model: Model) -> DataFrame:
+    """(chunk, b): the borders of each distinct chunk (chunk, key: a number of its own), 0 for those over SHORT characters.
+
+    Rows stay in the partitions of their chunks, and edges are grouped by the number first: a radix sort.
+    """
     use, rank, longest = model.usable(), model.order(), model.longest()
-    table = spark.createDataFrame([(p, use[p], rank[p], model.scores[use[p]]) for p in use], "piece string, id int, o int, score double")
-    keyed = chunks.withColumn("text", F.translate("chunk", " ", SPACE)).withColumn("n", F.length("text"))
-    short = keyed.where(F.col("n") <= SHORT)
-    least = 1
-    at = short.select("chunk", "bucket", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    spans = at.select("chunk", "bucket", "text", "n", "s", F.explode(F.sequence(F.lit(least), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("l"))
-    lattice = spans.withColumn("piece", F.substring("text", F.col("s") + 1, F.col("l"))).join(F.broadcast(table), "piece")
-    edge = F.struct(*(["s", "l"] if model.unigram else ["o", "s"]), *(["o"] if model.unigram else []), (F.col("s") + F.col("l")).alias("e"), "id", "score")
-    edges = lattice.groupBy("chunk", "bucket").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    bytes_ = model.bytes_()
-
-    raw = bytes_[0] if bytes_ else None
-    if bytes_ and bytes_ != list(range(raw, raw + 256)):
-        raise ValueError("byte pieces must follow each other")
-
-    def of_byte(text: Column) -> Column:
-        h = F.hex(F.encode(text, "UTF-8"))
-        one = lambda i: (F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") + raw) if bytes_ else F.lit(model.unknown)
-        return F.transform(F.sequence(F.lit(0), F.floor(F.length(h) / 2).cast("int") - 1), one) if bytes_ else F.array(F.lit(model.unknown))
-
-    whole = short.join(edges, ["chunk", "bucket"], "left")
-    multi = F.filter(F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)), lambda x: x["e"] - x["s"] > 1)
+    rows = [(p, rank[p], model.scores[use[p]]) for p in use if model.unigram or len(p) > 1]
+    table = chunks.sparkSession.createDataFrame([*rows, ("", -1, 0.0)], "piece string, o long, score double").withColumn("h", F.xxhash64("piece"))
+    keyed = chunks.select("chunk", "key", F.translate("chunk", " ", SPACE).alias("text"), F.length("chunk").alias("n"))
+    short, least = F.col("n") <= SHORT, 1 if model.unigram else 2
+    # From each place the substrings up to the longest piece's length; the empty one, which is in the table, keeps every chunk.
+    last = F.greatest(F.col("n") - least, F.lit(0))
+    spans = keyed.select("chunk", "key", "text", "n", F.explode(F.sequence(F.lit(0), F.when(short, last).otherwise(0))).alias("s"))
+    most = F.when(short, F.least(F.lit(longest), F.col("n") - F.col("s"))).otherwise(0)
+    lengths = F.concat(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(most >= least, F.sequence(F.lit(least), most)).otherwise(F.array().cast("array<int>")))
+    spans = spans.select("chunk", "key", "text", "s", F.explode(lengths).alias("l"))
+    spans = spans.select("chunk", "key", "s", "l", F.substring("text", F.col("s") + 1, F.col("l")).alias("part"))
+    same = (F.xxhash64("part") == F.col("h")) & (F.col("part") == F.col("piece"))
+    lattice = spans.join(F.broadcast(table), same)  # MOST_PIECES rows at most
+    end = F.col("s") + F.col("l")
+    if model.unigram:
+        edge = F.struct("s", end.alias("e"), "score")
+    else:
+        edge = F.shiftleft(F.col("o"), 16) + F.shiftleft(F.col("s"), 8) + end
+    edges = lattice.groupBy("key", "chunk").agg(F.sort_array(F.collect_list(F.when(F.col("l") > 0, edge))).alias("edges"))
+    n = F.length("chunk")
     if model.unigram:
         # A character without piece costs more than any piece, as in the library.
-        low = min(model.scores) - 10
-        alone = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda s: F.struct(s.alias("s"), F.lit(1).alias("l"), F.lit(-1).alias("o"), (s + 1).alias("e"), F.lit(-1).alias("id"), F.lit(float(low)).alias("score")))
-        have = F.transform(F.filter(F.col("edges"), lambda x: x["l"] == 1), lambda x: x["s"])
-        every = F.array_sort(F.concat(F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)), F.filter(alone, lambda x: ~F.coalesce(F.array_contains(have, x["s"]), F.lit(False)))))
-        folded = whole.withColumn("b", _fold_viterbi(every, F.col("n")))
+        alone = F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.struct(s.alias("s"), (s + 1).alias("e"), F.lit(float(min(model.scores) - 10)).alias("score")))
+        have = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] == 1), lambda x: x["s"])
+        left = _fold_viterbi(F.array_sort(F.concat("edges", F.filter(alone, lambda x: ~F.array_contains(have, x["s"])))), n)
     else:
-        folded = whole.withColumn("b", _fold_merges(multi, F.col("n")))
-    borders = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.col("b").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
-    folded = folded.withColumn("cuts", borders)
-
-    def piece(s: Column, i: Column) -> Column:
-        e = F.element_at(F.col("cuts"), i + 2)
-        found = F.get(F.filter(F.col("edges"), lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-        return F.when(found.isNotNull(), F.array(found)).otherwise(of_byte(F.substring(F.col("text"), s + 1, e - s)))
-
-    ids = F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), piece))
-    done = folded.select("chunk", "bucket", ids.cast("array<int>").alias("ids"))
-    return done.union(_long(keyed.where(F.col("n") > SHORT).select("chunk", "bucket", "text"), model))
+        left = _fold_merges(F.col("edges"), n)
+    return edges.select("chunk", F.when(n <= SHORT, left).otherwise(F.lit(0).cast("long")).alias("b"))
 
 
-def _long(chunks: DataFrame, model: Model) -> DataFrame:
-    """The same for chunks of any length, in Python: one row at a time, n log n."""
-    use, rank, bytes_, unknown, unigram = model.usable(), model.order(), model.bytes_(), model.unknown, model.unigram
-    scores, longest, low = model.scores, model.longest(), min(model.scores) - 10
+def _spelled(model: Model):
+    """A function from a chunk and its borders to its ids; without borders, the same fold in Python: n log n for BPE."""
+    use, rank, bytes_ = model.usable(), model.order(), model.bytes_()
+    longest, low = model.longest(), min(model.scores) - 10
 
     def viterbi(text: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)] + [(-np.inf, 0)] * len(text)
         for s in range(len(text)):
             for e in range(s + 1, min(len(text), s + longest) + 1):
                 i = use.get(text[s:e])
-                v = best[s][0] + (scores[i] if i is not None else low)
+                v = best[s][0] + (model.scores[i] if i is not None else low)
                 if (i is not None or e == s + 1) and v > best[e][0]:
                     best[e] = (v, s)
         out, e = [], len(text)
@@ -284,25 +286,34 @@ def _long(chunks: DataFrame, model: Model) -> DataFrame:
             e = best[e][1]
         return out[::-1]
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column(2).to_pylist():
-                parts = viterbi(text) if unigram else merged(text, rank)
-                rows.append([i for p in parts for i in ([use[p]] if p in use else [bytes_[b] for b in p.encode()] if bytes_ else [unknown])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["chunk", "bucket", "ids"])
+    def ids(chunk: str, b: int) -> list[int]:
+        text = chunk.replace(" ", SPACE)
+        if b:
+            parts, s, b, e = [], 0, b >> 1, 1
+            while b:
+                if b & 1:
+                    parts.append(text[s:e])
+                    s = e
+                b, e = b >> 1, e + 1
+        else:
+            parts = viterbi(text) if model.unigram else merged(text, rank)
+        return [i for p in parts for i in ((use[p],) if p in use else [bytes_[x] for x in p.encode()] if bytes_ else (model.unknown,))]
 
-    return chunks.mapInArrow(run, "chunk string, bucket int, ids array<int>")
+    return ids
 
 
-def _packed_ids(rows: DataFrame) -> DataFrame:
-    """(block, numbers, lengths, ids): a batch's encodings packed for each block."""
+def _packed_ids(rows: DataFrame, model: Model) -> DataFrame:
+    """(block, numbers, lengths, ids): a batch's encodings packed for each block; chunks over SHORT are folded here."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # MOST_PIECES pieces at most
 
     def run(batches):
+        spell = _spelled(sent.value)
         for batch in batches:
-            block, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            place = batch.column(0).to_numpy()
+            ids = pa.array([spell(c, b) for c, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.list_(pa.int32()))
+            block, number = place >> 24, place & 0xFFFFFF
             order = np.argsort(block, kind="stable")
-            ids = batch.column(2).take(pa.array(order))
+            ids = ids.take(pa.array(order))
             flat, size = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
             there, first = np.unique(block[order], return_index=True)
             first = np.r_[first, len(order)]
@@ -313,39 +324,38 @@ def _packed_ids(rows: DataFrame) -> DataFrame:
                 ["block", "numbers", "lengths", "ids"],
             )
 
-    return rows.select("block", "number", "ids").mapInArrow(run, "block long, numbers binary, lengths binary, ids binary")
+    return rows.select("place", "chunk", "b").mapInArrow(run, "block long, numbers binary, lengths binary, ids binary")
 
 
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """id and ids (array of int) of each row."""
-    spark: SparkSession = docs.sparkSession
     model = model or Model.load(MODEL)
     if not model.unigram and (bad := out_of_order(model)):
         raise ValueError(f"pieces out of order: {bad[:5]}")
-    parts = partitions(spark)
-    inside = vec.byte_table(model.separators())
-    coded = _blocks(docs, id, text, False, parts, inside)
-    asked = unpacked(_blocks(docs, id, text, True, parts, inside), parts, ["chunk", "block", "number"])
-    made = _encoded(asked.select("chunk", "bucket").distinct(), model)
-    back = _packed_ids(asked.join(made, ["chunk", "bucket"]))
-    kind = T.StructType([T.StructField(id, docs.schema[id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    joints = model.joints()
+    coded, asked = (_blocks(docs, id, text, dictionary, joints) for dictionary in (False, True))
+    back = _packed_ids(asked.join(_borders(asked.groupBy("chunk").agg(F.min("place").alias("key")), model), "chunk"), model)
+    docs_id = docs.schema[id].dataType
+    arrow_id = to_arrow_type(docs_id)
+    kind = T.StructType([T.StructField(id, docs_id), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers, lengths, flat = (np.frombuffer(b"".join(right.column(n).to_pylist()), dtype=np.int32) for n in ("numbers", "lengths", "ids"))
+        numbers, lengths, flat = (np.frombuffer(b"".join(right.column(n).to_pylist()), dtype=k) for n, k in (("numbers", np.int32), ("lengths", np.int32), ("ids", np.int32)))
         size, start = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         size[numbers] = lengths
-        start[numbers] = np.cumsum(lengths) - lengths
+        start[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths
         out = []
-        for batch in left.select(["id", "codes"]).to_batches(max_chunksize=512):
-            raw = batch.column(1).to_pylist()
-            counts = np.array([len(r) // 3 for r in raw], dtype=np.int64)
-            codes = np.concatenate([np.frombuffer(r, np.uint16, n).astype(np.int64) | (np.frombuffer(r, np.uint8, n, 2 * n).astype(np.int64) << 16) for r, n in zip(raw, counts.tolist())])
+        for i in range(left.num_rows):
+            counts = left.column("counts")[i].values.to_numpy()
+            n = int(counts.sum())
+            planes = np.frombuffer(pa.decompress(left.column("codes")[i].as_py(), decompressed_size=3 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, n)
+            codes = planes[0].astype(np.int64) | (planes[1].astype(np.int64) << 8) | (planes[2].astype(np.int64) << 16)
             own = size[codes]
             total = np.r_[0, np.cumsum(own)]
             ids = flat[np.repeat(start[codes] - total[:-1], own) + np.arange(total[-1])]
             offsets = total[np.r_[0, np.cumsum(counts)]].astype(np.int32)
-            out.append(pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [id, "ids"]))
-        return pa.Table.from_batches(out, schema=pa.schema([(id, left.schema.field("id").type), ("ids", pa.list_(pa.int32()))]))
+            out.append(pa.RecordBatch.from_arrays([left.column("ids")[i].values, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [id, "ids"]))
+        return pa.Table.from_batches(out, schema=pa.schema([(id, arrow_id), ("ids", pa.list_(pa.int32()))]))
 
     return coded.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(together, kind)
 
