@@ -1,11 +1,329 @@
-"""Named queries over the driver's tables, with their DuckDB counterparts."""
+"""Named queries over the driver's tables, with their DuckDB counterparts.
+
+The rank model is fitted to documents with an even id and applied to the others, so ratios are
+of texts that the model has not seen.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.functions import codec, splitter, text
+from rankloom.operators import rankcoder, reports
+from rankloom.plans import compress, sql
 
+LEAST, MOST = 100, 500
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "ratio_report"
+
+
+def query(oracle: str) -> Callable:
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__], SQL[f.__name__] = f, oracle
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text and lang in partitions enough for text work: a file may be one row group."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return docs if docs.rdd.getNumPartitions() >= n else docs.repartition(n)
+
+
+def plain_and_doubled(docs: DataFrame) -> DataFrame:
+    """Each text as it is, and with its line feeds doubled: blank lines, which the tables lack."""
+    both = F.array(F.struct(F.lit("plain").alias("variant"), F.col("text").alias("text")), F.struct(F.lit("doubled").alias("variant"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+    return docs.select("doc_id", "lang", F.inline(both))
+
+
+_VARIANTS = """
+variants AS (
+  SELECT doc_id, lang, 'plain' AS variant, text FROM documents
+  UNION ALL SELECT doc_id, lang, 'doubled', replace(text, chr(10), chr(10) || chr(10)) FROM documents)"""
+
+
+def model(spark: SparkSession, sf_dir: str) -> compress.Model:
+    return compress.Model.fit(documents(spark, sf_dir).where("doc_id % 2 = 0"), "even documents")
+
+
+def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).where("doc_id % 2 = 1")
+
+
+_ALL = f"{sql.chunks('documents', 'doc_id', LEAST, MOST)},{sql.tokens()}"
+_EVEN = f"{_ALL}, even AS (SELECT * FROM tokens WHERE doc_id % 2 = 0), odd AS (SELECT * FROM tokens WHERE doc_id % 2 = 1),{sql.model('even')}"
+_CODED = f"{_EVEN},{sql.items('odd')},{sql.coded()}"
+_STREAMS = f"{_CODED},{sql.streams()}"
+
+
+def names(pages: DataFrame) -> DataFrame:
+    """Paths of every kind: the URLs, and names made from the ids."""
+    kinds = ["a.PY", "b.java", "c.js", "d.html", "e.htm", "f.md", "g.json", "h.xml", "i.txt", "j.tar.gz", ".py", "dir.d/file", "plain", "end."]
+    made = F.get(F.array(*map(F.lit, kinds)), F.col("page_id").cast("int") % len(kinds))
+    return pages.select("page_id", F.explode(F.array(text.strip_url(F.col("url")), F.concat(F.lit("/data/"), made))).alias("path"))
+
+
+_KINDS = "['a.PY', 'b.java', 'c.js', 'd.html', 'e.htm', 'f.md', 'g.json', 'h.xml', 'i.txt', 'j.tar.gz', '.py', 'dir.d/file', 'plain', 'end.']"
+
+
+@query(f"""
+WITH paths AS (
+  SELECT page_id, unnest([regexp_extract(url, '^([^?#]*)', 1), '/data/' || {_KINDS}[page_id % 14 + 1]]) AS path FROM pages),
+named AS (SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS base_name FROM paths),
+ext AS (
+  SELECT *, lower(CASE WHEN contains(regexp_replace(base_name, '^\\.+', ''), '.') THEN regexp_extract(regexp_replace(base_name, '^\\.+', ''), '\\.([^.]*)$', 1)
+    ELSE regexp_extract(path, '\\.([^.]*)$', 1) END) AS extension FROM named)
+SELECT page_id, path, base_name, extension, CASE extension WHEN 'py' THEN 'python' WHEN 'java' THEN 'java' WHEN 'js' THEN 'java'
+  WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'md' THEN 'markdown' WHEN 'json' THEN 'json' WHEN 'xml' THEN 'xml' ELSE 'general' END AS file_type
+FROM ext""")
+def file_type_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    rows = names(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "path", text.base_name(path).alias("base_name"), text.extension(path).alias("extension"), text.file_type(path).alias("file_type"))
+
+
+@query("""
+SELECT 'document' AS kind, doc_id AS id, length(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes, md5(text) AS md5 FROM documents
+UNION ALL SELECT 'page', page_id, length(html)::BIGINT, strlen(html)::BIGINT, md5(html) FROM pages""")
+def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def sizes(kind: str, df: DataFrame, id: str, column: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(id).alias("id"), F.length(column).cast("long").alias("n_chars"), F.octet_length(column).cast("long").alias("n_bytes"), F.md5(column).alias("md5"))
+
+    return sizes("document", table(spark, sf_dir, "documents"), "doc_id", "text").union(sizes("page", table(spark, sf_dir, "pages"), "page_id", "html"))
+
+
+@query("""
+WITH raw AS (SELECT doc_id, replace(text, chr(10), CASE doc_id % 3 WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN chr(13) ELSE chr(10) END) AS r FROM documents)
+SELECT doc_id, strlen(r)::BIGINT AS raw_bytes, strlen(regexp_replace(r, '\\r\\n?', chr(10), 'g'))::BIGINT AS text_bytes,
+  md5(regexp_replace(r, '\\r\\n?', chr(10), 'g')) AS md5 FROM raw""")
+def newline_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.when(F.col("doc_id") % 3 == 0, "\r\n").when(F.col("doc_id") % 3 == 1, "\r").otherwise("\n")
+    raw = documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), end).alias("raw")).withColumn("text", text.newlines(F.col("raw")))
+    return raw.select("doc_id", F.octet_length("raw").cast("long").alias("raw_bytes"), F.octet_length("text").cast("long").alias("text_bytes"), F.md5("text").alias("md5"))
+
+
+@query(f"""
+WITH {_VARIANTS}, cut AS (SELECT doc_id, variant, {sql.pieces("text")} AS p FROM variants),
+each AS (SELECT doc_id, variant, unnest(p) AS piece, (generate_subscripts(p, 1) - 1)::INT AS pos FROM cut)
+SELECT doc_id, variant, pos, length(piece)::BIGINT AS n_chars, md5(piece) AS md5 FROM each""")
+def para_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plain_and_doubled(documents(spark, sf_dir)).select("doc_id", "variant", F.posexplode(splitter.pieces(F.col("text"))).alias("pos", "piece"))
+    return rows.select("doc_id", "variant", "pos", F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("md5"))
+
+
+@query(f"""
+WITH {_VARIANTS}, {sql.chunks("variants", "doc_id, variant", LEAST, MOST)}
+SELECT doc_id, variant, chunk_no, length(chunk)::BIGINT AS n_chars, md5(chunk) AS md5, length(chunk) > 750 AS oversized FROM chunks""")
+def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plain_and_doubled(documents(spark, sf_dir)).select("doc_id", "variant", F.posexplode(splitter.split_text(F.col("text"), LEAST, MOST)).alias("chunk_no", "chunk"))
+    return rows.select("doc_id", "variant", "chunk_no", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("md5"), splitter.oversized(F.col("chunk"), MOST).alias("oversized"))
+
+
+@query(f"""
+WITH {sql.chunks("documents", "doc_id", LEAST, MOST)},
+back AS (SELECT doc_id, count(*) AS n, string_agg(chunk, '' ORDER BY chunk_no) AS t FROM chunks GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_chunks, md5(text) AS md5_text, md5(coalesce(t, '')) AS md5_chunks, text = coalesce(t, '') AS ok, NULL::BIGINT AS first_difference
+FROM documents LEFT JOIN back USING (doc_id)""")
+def chunk_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.integrity(documents(spark, sf_dir), LEAST, MOST)
+
+
+@query(f"""
+WITH {sql.chunks("documents", "doc_id", LEAST, MOST)}
+SELECT lang, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_chunks, sum(length(chunk))::BIGINT AS n_chars, round(avg(length(chunk)), 6) AS mean_chars
+FROM chunks JOIN documents USING (doc_id) GROUP BY lang""")
+def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "lang", F.explode(splitter.split_text(F.col("text"), LEAST, MOST)).alias("chunk"))
+    return reports.chunk_stats(rows, "lang")
+
+
+@query(f"""
+WITH texts AS (
+  SELECT 'document' AS kind, doc_id AS id, 0 AS turn, text FROM documents UNION ALL SELECT 'conversation', conv_id, turn, text FROM conversations),
+cut AS (SELECT kind, id, turn, regexp_extract_all(text, '{sql.WORDS}') AS t FROM texts)
+SELECT kind, id, turn::BIGINT AS turn, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, chr(1))) AS md5 FROM cut""")
+def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    talks = table(spark, sf_dir, "conversations").select(F.lit("conversation"), "conv_id", "turn", "text")
+    rows = docs.union(talks).withColumn("t", rankcoder.tokenize(F.col("text")))
+    return rows.select("kind", "id", "turn", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", "\x01")).alias("md5"))
+
+
+@query(f"""
+WITH {_ALL}, per AS (SELECT doc_id, chunk_no, count(*) AS n FROM tokens GROUP BY ALL)
+SELECT lang, count(*)::BIGINT AS n_chunks, sum(n)::BIGINT AS n_tokens, round(avg(n), 6) AS mean_tokens, max(n)::BIGINT AS most_tokens
+FROM per JOIN documents USING (doc_id) GROUP BY lang""")
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = docs.select("lang", F.explode(splitter.split_text(F.col("text"), LEAST, MOST)).alias("chunk")).select("lang", F.size(rankcoder.tokenize(F.col("chunk"))).alias("n"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_tokens"), F.round(F.avg("n"), 6).alias("mean_tokens"), F.max("n").cast("long").alias("most_tokens"))
+
+
+@query("SELECT doc_id, md5(text) AS md5, true AS identical FROM documents")
+def detokenize_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = rankcoder.detokenize(rankcoder.tokenize(F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", F.md5(back).alias("md5"), (back == F.col("text")).alias("identical"))
+
+
+@query(f"WITH {_EVEN} SELECT c.token AS context, w.token, ranks.n::BIGINT AS n, rank FROM ranks JOIN vocab c ON ctx = c.token_id JOIN vocab w ON ranks.token_id = w.token_id")
+def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = model(spark, sf_dir)
+    context, word = (m.vocab.select(F.col("token_id").alias(i), F.col("token").alias(t)) for i, t in (("ctx", "context"), ("token_id", "token")))
+    return m.ranks.join(context, "ctx").join(word, "token_id").select("context", "token", "n", "rank")
+
+
+@query(f"""
+WITH {_EVEN}, asked AS (SELECT token, token_id AS ctx FROM vocab WHERE token_id < 50)
+SELECT asked.token, rank, w.token AS next, ranks.n::BIGINT AS n FROM asked JOIN ranks USING (ctx) JOIN vocab w ON ranks.token_id = w.token_id WHERE rank < 10""")
+def next_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten likeliest words after each of the fifty most frequent ones: a top-k report."""
+    m = model(spark, sf_dir)
+    return rankcoder.next_words(m.vocab.where("token_id < 50").select("token"), m.vocab, m.ranks, 10)
+
+
+@query(f"""
+WITH talk AS (SELECT conv_id AS doc_id, turn AS chunk_no, text AS chunk FROM conversations),{sql.tokens("talk")}
+SELECT doc_id AS conv_id, chunk_no AS turn, pos::INT AS pos, token,
+  coalesce(array_to_string(list(token) OVER (PARTITION BY doc_id, chunk_no ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), chr(1)), '') AS context FROM tokens""")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_no"), F.col("text").alias("chunk"))
+    rows = rankcoder.context_rows(rankcoder.token_rows(talk), 4, "token")
+    return rows.select(F.col("doc_id").alias("conv_id"), F.col("chunk_no").alias("turn"), "pos", "token", F.array_join("context", "\x01").alias("context"))
+
+
+@query(f"WITH {_CODED} SELECT doc_id, chunk_no, pos, kind, value FROM coded")
+def rank_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress.coded(held_out(spark, sf_dir), model(spark, sf_dir))
+
+
+@query(f"""
+WITH {_CODED} SELECT lang, count(*)::BIGINT AS n_tokens, (count(*) FILTER (kind = 'r'))::BIGINT AS n_ranks, (count(*) FILTER (kind = 'e'))::BIGINT AS n_explicit,
+  round(100 * (count(*) FILTER (kind = 'r')) / count(*), 6) AS pct_ranks, round(100 * (count(*) FILTER (kind = 'e')) / count(*), 6) AS pct_explicit
+FROM coded JOIN documents USING (doc_id) GROUP BY lang""")
+def rank_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out(spark, sf_dir)
+    return reports.token_mix(compress.coded(docs, model(spark, sf_dir)).join(docs.select("doc_id", "lang"), "doc_id"), "lang")
+
+
+@query(f"""
+WITH points AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text <> '')
+SELECT doc_id, {sql.width("unicode(c) * 64")}::INT AS width, count(*)::BIGINT AS n FROM points GROUP BY ALL""")
+def explicit_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ids of 64 times a code point: all widths occur."""
+    points = documents(spark, sf_dir).select("doc_id", F.explode(rankcoder.tokenize(F.col("text"), "codepoints")).alias("c"))
+    return points.groupBy("doc_id", codec.explicit_width(F.ascii("c") * 64).alias("width")).agg(F.count("*").alias("n"))
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankcoder.streams(compress.coded(held_out(spark, sf_dir), model(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_STREAMS}, runs AS (SELECT doc_id, list_transform(regexp_extract_all(written, '(?:z.{{7}}){{2,}}'), lambda u: length(u) // 8) AS r, written FROM streams)
+SELECT doc_id, len(r)::BIGINT AS n_runs, coalesce(list_max(r), 0)::BIGINT AS longest, (length(regexp_extract(written, '^((?:z.{{7}})*)', 1)) // 8)::BIGINT AS leading FROM runs""")
+def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _streams(spark, sf_dir).withColumn("r", codec.zero_runs(F.col("stream")))
+    longest = F.coalesce(F.array_max("r"), F.lit(0)).cast("long").alias("longest")
+    return runs.select("doc_id", F.size("r").cast("long").alias("n_runs"), longest, codec.leading_zeros(F.col("stream")).cast("long").alias("leading"))
+
+
+@query(f"WITH {_STREAMS} SELECT doc_id, len(u)::BIGINT AS n_units, md5(array_to_string(u, ' ')) AS md5 FROM (SELECT doc_id, {sql.units('written')} AS u FROM streams)")
+def pack_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _streams(spark, sf_dir).withColumn("u", codec.units(F.col("stream")))
+    return rows.select("doc_id", F.size("u").cast("long").alias("n_units"), F.md5(F.array_join("u", " ")).alias("md5"))
+
+
+@query(f"WITH {_STREAMS} SELECT doc_id, {sql.packed_size('written', '64')} AS compressed_size FROM streams")
+def packed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streams(spark, sf_dir).select("doc_id", codec.packed_size(F.col("stream")).alias("compressed_size"))
+
+
+@query(f"WITH {_STREAMS} SELECT doc_id, {sql.encoded('written', '64')} AS payload_hex FROM streams")
+def encode_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streams(spark, sf_dir).select("doc_id", codec.encode_hex(F.col("stream")).alias("payload_hex"))
+
+
+@query(f"""
+WITH {_STREAMS}, hexed AS (SELECT doc_id, {sql.encoded('written', '(64 + doc_id * 1000)')} AS h FROM streams)
+SELECT doc_id, (64 + doc_id * 1000)::INT AS window_size, md5({sql.decoded('h')}) AS md5 FROM hexed""")
+def decode_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hexed = _streams(spark, sf_dir).select("doc_id", codec.encode_hex(F.col("stream"), F.col("doc_id") * 1000 + 64).alias("h"))
+    back = hexed.withColumn("d", codec.decode_hex(F.col("h")))
+    return back.select("doc_id", F.col("d.window").alias("window_size"), F.md5(codec.written(F.col("d.tokens"))).alias("md5"))
+
+
+@query(f"WITH {_CODED} SELECT doc_id, chunk_no, count(*)::BIGINT AS n_tokens, md5(string_agg({sql.written('kind', 'value')}, '' ORDER BY pos)) AS md5 FROM coded GROUP BY ALL")
+def split_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = _streams(spark, sf_dir).select("doc_id", F.posexplode(codec.split_breaks(F.col("stream"))).alias("chunk_no", "tokens"))
+    return cut.select("doc_id", "chunk_no", F.size("tokens").cast("long").alias("n_tokens"), F.md5(codec.written(F.col("tokens"))).alias("md5"))
+
+
+@query(f"WITH {_STREAMS} SELECT doc_id, (length(written) // 8)::BIGINT AS n_tokens, true AS identical FROM streams")
+def roundtrip_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = codec.decode(codec.encode(F.col("stream")))["tokens"]
+    return _streams(spark, sf_dir).select("doc_id", F.size("stream").cast("long").alias("n_tokens"), (back == F.col("stream")).alias("identical"))
+
+
+@query("SELECT doc_id, text, true AS identical FROM documents WHERE doc_id % 2 = 1")
+def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, m = held_out(spark, sf_dir), model(spark, sf_dir)
+    back = compress.decompress(compress.compress(docs, m), m).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").select("doc_id", F.col("back").alias("text"), text.same_text(F.col("text").cast("binary"), F.col("back").cast("binary")).alias("identical"))
+
+
+_SIZES = f"""{_STREAMS},
+sizes AS (
+  SELECT doc_id, lang, strlen(text)::BIGINT AS original_size, coalesce({sql.packed_size('written', '64')}, 2) AS compressed_size
+  FROM documents LEFT JOIN streams USING (doc_id) WHERE doc_id % 2 = 1)"""
+_RATIOS = """round(CASE WHEN compressed_size > 0 THEN original_size / compressed_size ELSE 0 END, 6) AS compression_ratio,
+  round((1 - compressed_size / nullif(original_size, 0)) * 100, 6) AS space_savings"""
+
+
+@query(f"WITH {_SIZES} SELECT doc_id, original_size, compressed_size, {_RATIOS} FROM sizes")
+def ratio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress.sizes(held_out(spark, sf_dir), model(spark, sf_dir))
+
+
+@query(f"""
+WITH {_SIZES}, totals AS (
+  SELECT lang, count(*)::BIGINT AS n_files, sum(original_size)::BIGINT AS original_size, sum(compressed_size)::BIGINT AS compressed_size, 0::BIGINT AS n_identical FROM sizes GROUP BY lang)
+SELECT lang, n_files, original_size, compressed_size, n_identical, {_RATIOS} FROM totals""")
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out(spark, sf_dir)
+    sizes = compress.sizes(docs, model(spark, sf_dir)).select("doc_id", "original_size", "compressed_size")
+    return reports.corpus(sizes.join(docs.select("doc_id", "lang"), "doc_id"), "lang")
+
+
+@query(f"""
+WITH {_STREAMS}, windows AS (SELECT unnest([20, 1020, 8020, 9020, 1048600]) AS window_size),
+sizes AS (SELECT window_size, strlen(text) AS o, {sql.packed_size('written', 'window_size')} AS c FROM streams JOIN documents USING (doc_id), windows),
+totals AS (SELECT window_size, count(*)::BIGINT AS n_files, sum(o)::BIGINT AS original_size, sum(c)::BIGINT AS compressed_size FROM sizes GROUP BY window_size)
+SELECT window_size::INT AS window_size, n_files, original_size, compressed_size, {_RATIOS} FROM totals""")
+def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows on both sides of the header's widths."""
+    docs, m = held_out(spark, sf_dir), model(spark, sf_dir)
+    small = compress.sweep(docs, m, 20, 2, 1000).union(compress.sweep(docs, m, 8020, 2, 1000))
+    return small.union(compress.sweep(docs, m, 1048600, 1, 16))
+
+
+@query(f"""
+WITH {_CODED}, flat AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no, pos) - 1)::INT AS pos, kind, value FROM coded),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_tokens, (count(*) FILTER (pos % 97 = 5 OR pos % 211 = 7))::BIGINT AS n_diffs FROM flat GROUP BY doc_id)
+SELECT doc_id, n_tokens, n_diffs, round(100 * n_diffs / n_tokens, 6) AS pct_diffs, n_diffs = 0 AS identical FROM n""")
+def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams against themselves with some values changed and some tokens lost."""
+    flat = _streams(spark, sf_dir).select("doc_id", F.filter("stream", lambda t: ~codec.is_break(t)).alias("s")).select("doc_id", F.posexplode("s").alias("pos", "t"))
+    first = flat.select("doc_id", "pos", "t.kind", "t.value")
+    value = F.when(F.col("pos") % 97 == 5, F.col("value") + 1).otherwise(F.col("value")).alias("value")
+    second = first.where("pos % 211 <> 7").select("doc_id", "pos", "kind", value)
+    return reports.difference_rate(reports.token_diff(first, second), first)
