@@ -14,10 +14,13 @@ def scan_bytes(spark: SparkSession, path: str | list[str], hidden: bool = False)
     Names that begin with a dot are left out.  Spark leaves out names that begin with an underscore
     too; ``hidden`` reads those as well, file by file, for a folder that the driver can list.
     """
-    spark_rows = spark.read.format("binaryFile").load(path).select("path", "content", "length")
+    listed = _listed(spark, path)
     if not hidden:
-        return spark_rows
-    names = _listed(spark, path)
+        rows = spark.read.format("binaryFile").load(path).select("path", "content", "length")
+        # Spark's reader makes no row for an empty file.
+        empty = [(p, bytearray(), 0) for p, size in listed if not size and not p.rsplit("/", 1)[1].startswith("_")]
+        return rows.union(spark.createDataFrame(empty, rows.schema)) if empty else rows
+    names = [p for p, _ in listed]
     found = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names), 64)))
 
     def read(batches):
@@ -34,12 +37,15 @@ def scan_bytes(spark: SparkSession, path: str | list[str], hidden: bool = False)
     return found.mapInArrow(read, "path string, content binary, length long")
 
 
-def _listed(spark: SparkSession, path: str | list[str]) -> list[str]:
+def _listed(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
+    """Path and size of the regular files of folders, or files named alone; not those whose name begins with a dot."""
     jvm, out = spark.sparkContext._jvm, []
     for p in [path] if isinstance(path, str) else path:
         where = jvm.org.apache.hadoop.fs.Path(p)
         system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        out += [str(s.getPath().toString()) for s in system.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(".")]
+        for top in system.globStatus(where) or []:
+            found = system.listStatus(top.getPath()) if top.isDirectory() else [top]
+            out += [(s.getPath().toString(), s.getLen()) for s in found if s.isFile() and not s.getPath().getName().startswith(".")]
     return sorted(out)
 
 
