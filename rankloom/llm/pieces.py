@@ -29,7 +29,6 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -41,7 +40,9 @@ from . import vec
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text of a block, and characters of a chunk that Spark folds.
-BLOCK_BYTES, SHORT = 32 << 20, 62
+BLOCK_BYTES, SHORT = 16 << 20, 62
+#: Places of a chunk that one row holds: those of 2**TASK_BITS tasks.
+TASK_BITS = 12
 #: Pieces of a model, at most: the table is broadcast.
 MOST_PIECES = 1_000_000
 SPACE = "▁"
@@ -167,7 +168,8 @@ def _blocks(docs: DataFrame, id: str, text: str, dictionary: bool, joints: np.nd
                 begins, ends = cuts[:-1], cuts[1:]
                 first = np.searchsorted(begins, offsets)
                 hashes = vec.spans_hash(data, begins, ends)
-                inverse, unique = pd.factorize(hashes)  # in the order of appearance: numbers of frequent chunks are small
+                told = pa.array(hashes).dictionary_encode()  # in the order of appearance: numbers of frequent chunks are small
+                inverse, unique = told.indices.to_numpy(), told.dictionary.to_numpy()
                 at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
                 old = known[at] == unique if len(known) else np.zeros(len(unique), bool)
                 numbers = np.where(old, numbered[at] if len(known) else 0, len(known) + np.cumsum(~old) - 1)
@@ -232,22 +234,26 @@ def _fold_viterbi(edges: Column, n: Column) -> Column:
 
 
 def _borders(chunks: DataFrame, model: Model) -> DataFrame:
-    """(chunk, b): the borders of each distinct chunk (chunk, key: a number of its own), 0 for those over SHORT characters.
+    """(chunk, places, b): of chunks at places, each distinct one with its places and borders; 0 for those over SHORT characters.
 
-    Rows stay in the partitions of their chunks, and edges are grouped by the number first: a radix sort.
+    A chunk is one row for each TASKS tasks that read documents, so its places are bounded.  After one shuffle rows
+    stay where their chunk is; edges are grouped by a number first, which makes it a radix sort.
     """
     use, rank, longest = model.usable(), model.order(), model.longest()
     rows = [(p, rank[p], model.scores[use[p]]) for p in use if model.unigram or len(p) > 1]
     table = chunks.sparkSession.createDataFrame([*rows, ("", -1, 0.0)], "piece string, o long, score double").withColumn("h", F.xxhash64("piece"))
-    keyed = chunks.select("chunk", "key", F.translate("chunk", " ", SPACE).alias("text"), F.length("chunk").alias("n"))
+    keyed = chunks.groupBy("chunk", F.shiftright("place", 40 + TASK_BITS).alias("set")).agg(F.min("place").alias("key"), F.collect_list("place").alias("places"))
+    keyed = keyed.select("chunk", "set", "key", "places", F.translate("chunk", " ", SPACE).alias("text"), F.length("chunk").alias("n"))
     short, least = F.col("n") <= SHORT, 1 if model.unigram else 2
     # From each place the substrings up to the longest piece's length; the empty one, which is in the table, keeps every chunk.
     last = F.greatest(F.col("n") - least, F.lit(0))
-    spans = keyed.select("chunk", "key", "text", "n", F.explode(F.sequence(F.lit(0), F.when(short, last).otherwise(0))).alias("s"))
+    spans = keyed.select("chunk", "set", "key", "places", "text", "n", F.explode(F.sequence(F.lit(0), F.when(short, last).otherwise(0))).alias("s"))
+    spans = spans.withColumn("places", F.when(F.col("s") == 0, F.col("places")))
     most = F.when(short, F.least(F.lit(longest), F.col("n") - F.col("s"))).otherwise(0)
     lengths = F.concat(F.when(F.col("s") == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(most >= least, F.sequence(F.lit(least), most)).otherwise(F.array().cast("array<int>")))
-    spans = spans.select("chunk", "key", "text", "s", F.explode(lengths).alias("l"))
-    spans = spans.select("chunk", "key", "s", "l", F.substring("text", F.col("s") + 1, F.col("l")).alias("part"))
+    spans = spans.select("chunk", "set", "key", "places", "text", "s", F.explode(lengths).alias("l"))
+    places = F.when(F.col("l") == 0, F.col("places")).alias("places")  # with the empty substring only
+    spans = spans.select("chunk", "set", "key", places, "s", "l", F.substring("text", F.col("s") + 1, F.col("l")).alias("part"))
     same = (F.xxhash64("part") == F.col("h")) & (F.col("part") == F.col("piece"))
     lattice = spans.join(F.broadcast(table), same)  # MOST_PIECES rows at most
     end = F.col("s") + F.col("l")
@@ -255,7 +261,7 @@ def _borders(chunks: DataFrame, model: Model) -> DataFrame:
         edge = F.struct("s", end.alias("e"), "score")
     else:
         edge = F.shiftleft(F.col("o"), 16) + F.shiftleft(F.col("s"), 8) + end
-    edges = lattice.groupBy("key", "chunk").agg(F.sort_array(F.collect_list(F.when(F.col("l") > 0, edge))).alias("edges"))
+    edges = lattice.groupBy("key", "chunk", "set").agg(F.sort_array(F.collect_list(F.when(F.col("l") > 0, edge))).alias("edges"), F.first("places", ignorenulls=True).alias("places"))
     n = F.length("chunk")
     if model.unigram:
         # A character without piece costs more than any piece, as in the library.
@@ -264,7 +270,7 @@ def _borders(chunks: DataFrame, model: Model) -> DataFrame:
         left = _fold_viterbi(F.array_sort(F.concat("edges", F.filter(alone, lambda x: ~F.array_contains(have, x["s"])))), n)
     else:
         left = _fold_merges(F.col("edges"), n)
-    return edges.select("chunk", F.when(n <= SHORT, left).otherwise(F.lit(0).cast("long")).alias("b"))
+    return edges.select("chunk", "places", F.when(n <= SHORT, left).otherwise(F.lit(0).cast("long")).alias("b"))
 
 
 def _spelled(model: Model):
@@ -309,11 +315,12 @@ def _packed_ids(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         spell = _spelled(sent.value)
         for batch in batches:
-            place = batch.column(0).to_numpy()
-            ids = pa.array([spell(c, b) for c, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.list_(pa.int32()))
+            ids = pa.array([spell(c, b) for c, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())], pa.list_(pa.int32()))
+            place = batch.column(1).flatten().to_numpy()
+            which = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
             block, number = place >> 24, place & 0xFFFFFF
             order = np.argsort(block, kind="stable")
-            ids = ids.take(pa.array(order))
+            ids = ids.take(pa.array(which[order]))
             flat, size = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
             there, first = np.unique(block[order], return_index=True)
             first = np.r_[first, len(order)]
@@ -324,20 +331,23 @@ def _packed_ids(rows: DataFrame, model: Model) -> DataFrame:
                 ["block", "numbers", "lengths", "ids"],
             )
 
-    return rows.select("place", "chunk", "b").mapInArrow(run, "block long, numbers binary, lengths binary, ids binary")
+    return rows.select("chunk", "places", "b").mapInArrow(run, "block long, numbers binary, lengths binary, ids binary")
 
 
-def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
-    """id and ids (array of int) of each row."""
+def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: Model | None = None, decoded: bool = False) -> DataFrame:
+    """id and ids (array of int) of each row; ``decoded``: also text, decoded from the ids in the same task."""
     model = model or Model.load(MODEL)
     if not model.unigram and (bad := out_of_order(model)):
         raise ValueError(f"pieces out of order: {bad[:5]}")
     joints = model.joints()
     coded, asked = (_blocks(docs, id, text, dictionary, joints) for dictionary in (False, True))
-    back = _packed_ids(asked.join(_borders(asked.groupBy("chunk").agg(F.min("place").alias("key")), model), "chunk"), model)
+    back = _packed_ids(_borders(asked, model), model)
     docs_id = docs.schema[id].dataType
     arrow_id = to_arrow_type(docs_id)
-    kind = T.StructType([T.StructField(id, docs_id), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    kind = T.StructType([T.StructField(id, docs_id), T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("text", T.StringType())] if decoded else [])])
+    speller = Speller(model) if decoded else None
+
+    schema = pa.schema([(id, arrow_id), ("ids", pa.list_(pa.int32())), *([("text", pa.string())] if decoded else [])])
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         numbers, lengths, flat = (np.frombuffer(b"".join(right.column(n).to_pylist()), dtype=k) for n, k in (("numbers", np.int32), ("lengths", np.int32), ("ids", np.int32)))
@@ -354,25 +364,45 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: Model
             total = np.r_[0, np.cumsum(own)]
             ids = flat[np.repeat(start[codes] - total[:-1], own) + np.arange(total[-1])]
             offsets = total[np.r_[0, np.cumsum(counts)]].astype(np.int32)
-            out.append(pa.RecordBatch.from_arrays([left.column("ids")[i].values, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], [id, "ids"]))
-        return pa.Table.from_batches(out, schema=pa.schema([(id, arrow_id), ("ids", pa.list_(pa.int32()))]))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            out.append(pa.RecordBatch.from_arrays([left.column("ids")[i].values, lists, *([speller.texts(lists)] if speller else [])], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
 
     return coded.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(together, kind)
 
 
+class Speller:
+    """Texts from ids, without a Python step for each id."""
+
+    def __init__(self, model: Model):
+        bytes_ = {i: b for b, i in enumerate(model.bytes_() or [])}
+        kinds = zip(model.pieces, model.kinds)
+        spelled = [bytes([bytes_[i]]) if i in bytes_ else b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(kinds)]
+        self.data = np.frombuffer(b"".join(spelled), np.uint8)
+        self.length = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        flat = lists.flatten().to_numpy()
+        size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        own = self.length[flat]
+        total = np.r_[0, np.cumsum(own)]
+        raw = self.data[np.repeat(self.start[flat] - total[:-1], own) + np.arange(total[-1])].tobytes()
+        ends = total[np.r_[0, np.cumsum(size)]].tolist()
+        texts = (raw[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:]))
+        return pa.array([t[1:] if t[:1] == " " else t for t in texts], pa.string())
+
+
 def decode(rows: DataFrame, ids: str = "ids", model: Model | None = None) -> DataFrame:
     """``rows`` with text, from their ids."""
-    model = model or Model.load(MODEL)
-    bytes_ = {i: b for b, i in enumerate(model.bytes_() or [])}
-    spelled = [bytes([bytes_[i]]) if i in bytes_ else b"" if k == 3 else b" \xe2\x81\x87 " if k == 2 else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(model.pieces, model.kinds))]
+    speller = Speller(model or Model.load(MODEL))
     kept = [f for f in rows.schema.fields if f.name != "text"]
     names = [f.name for f in kept]
 
     def run(batches):
         for batch in batches:
-            texts = [b"".join(map(spelled.__getitem__, x or ())).decode("utf-8", "replace") for x in batch.column(names.index(ids)).to_pylist()]
-            texts = [t[1:] if t[:1] == " " else t for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([*part.columns, speller.texts(part.column(names.index(ids)))], [*names, "text"])
 
     return rows.select(*names).mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
 

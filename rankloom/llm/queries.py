@@ -130,8 +130,7 @@ FROM docs LEFT JOIN (SELECT r, avg(s) AS s FROM scores GROUP BY r) USING (r)
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids, and the digest of the text that they decode to."""
-    ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    done = pieces.decode(ids)
+    done = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("text", 256).alias("text_sha256"))
 
 
