@@ -39,6 +39,7 @@ BLOCKS = frozenset(
     "tfoot tr td th form fieldset legend p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption details summary address "
     "button label select option textarea dialog hgroup center noscript menu search".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag ends open ones of these kinds, up to the nearest container.
 ENDS = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
@@ -123,12 +124,14 @@ def blocks(page: str) -> list[Block]:
             flush()
             if closing:
                 for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == tag:
+                    if stack[at][0] == tag or (tag in HEADINGS and stack[at][0] in HEADINGS):  # any heading's end ends a heading
                         del stack[at:]
                         break
             else:
                 if tag not in ("button", "label", "select", "option", "textarea"):
                     close("p", ("button", "td", "th", "caption"))
+                if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
+                    stack.pop()
                 if tag in ENDS:
                     close(*ENDS[tag])
                 if not m.group(4).rstrip().endswith("/"):

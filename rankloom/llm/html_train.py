@@ -147,7 +147,7 @@ class Maker:
             title = f"<header>{title}" + (self.wrap("share", self.bits("share")) if r.random() < 0.3 else "") + "</header>"
         parts = [title]
         messy = r.random() < 0.4
-        if r.random() < 0.06:  # many blocks alike, and long pages
+        if r.random() < 0.1:  # many blocks alike, and long pages
             text = self.prose(1, 5)
             return self.framed("".join([title, *(f"<p>{SIGN}{text}</p>" for _ in range(r.choice((5, 20, 80, 150))))]))
         for _ in range(r.choice((1, 2, 3, 5, 8, 13, 20, 20, 60)) if r.random() < 0.95 else 150):
@@ -275,7 +275,7 @@ def accuracy(net: Labeller, made) -> tuple[float, float]:
     return float(np.mean(np.concatenate(right))), float(np.mean([r.all() for r in right]))
 
 
-def fit(pages: int = 12_000, epochs: int = 8, batch: int = 48, seed: int = 7, rate: float = 0.006, log=print) -> Labeller:
+def fit(pages: int = 24_000, epochs: int = 8, batch: int = 48, seed: int = 7, rate: float = 0.006, log=print) -> Labeller:
     rng = np.random.default_rng(seed)
     net = Labeller({k: rng.normal(0, 0.3 if k in ("path", "word") else 0.15, s) for k, s in Labeller.SHAPES.items()})
     for k in ("forward", "backward"):
