@@ -82,6 +82,13 @@ def test_same_text_and_first_difference(spark):
     assert [r[0] for r in df.select(text.first_difference(F.col("a"), F.col("b"))).collect()] == [2, 2, 0, None]
 
 
+@pytest.mark.parametrize("kind", list(text.DELIMITERS))
+def test_typed_pieces_lose_nothing(spark, kind):
+    t = "def f(a):\n    pass\n\nclass A:\n  x\n}\n</p>\n# Head\n- item\n},\n</a>\nif x: y\n---\nend <!-- c --> more"
+    got = spark.createDataFrame([(t,)], "t string").select(text.typed_pieces(F.col("t"), kind).alias("p")).first().p
+    assert "".join(got) == t and len(got) > 1
+
+
 def test_token_diff(spark):
     rows = "doc_id long, pos int, kind string, value int"
     a = spark.createDataFrame([(0, 0, "e", 5), (0, 1, "r", 0), (0, 2, "r", 1)], rows)
