@@ -6,8 +6,8 @@ all windows get numbers; the automaton reads word numbers, so a match ends at a
 maps back to characters of the original text.  A text is read once.
 
 The automaton is built in each Python worker from the windows, which are broadcast.  Their
-number is checked: beyond ``MOST_WINDOWS`` they are dealt into blocks by hash, and the texts
-pass one automaton after the other.
+number is checked: items beyond ``MOST_WINDOWS`` windows make further automata, and the texts
+pass one after the other, with what was hit so far written to the shared folder in between.
 
 Nulls: a null text has no words and hits nothing; an item without id or without words has
 no window.  Equal rows are judged alike.  Items with the same words all count.
@@ -16,16 +16,18 @@ no window.  Equal rows are judged alike.  Items with the same words all count.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .frames import add_columns, field
+from .frames import Stored, add_columns, field
 
 WINDOW = 13
 #: A text is contaminated when 1/20 of its words or more are hit.
@@ -44,20 +46,22 @@ FIELDS = [
 ]
 
 
-def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> list[list[tuple]]:
-    """Blocks of (word hashes, item ids)."""
+def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> Iterator[list[tuple]]:
+    """Blocks of (word hashes, item ids), of about ``MOST_WINDOWS`` windows; one block at least."""
     rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long"), F.col(text))
     found: dict[tuple, set] = {}
-    pending = rows.toLocalIterator()
+    pending, some = rows.toLocalIterator(), False
     for chunk in iter(lambda: [r for _, r in zip(range(1000), pending)], []):
         words = vec.words_of(pa.array([r[1] for r in chunk], pa.string()), WORDS, lower=True)
         for i, r in enumerate(chunk):
             own = words.hashes[words.first[i] : words.first[i + 1]].tolist()
             for at in range(max(1, len(own) - size + 1) if own else 0):
                 found.setdefault(tuple(own[at : at + size]), set()).add(int(r[0]))
-    every = sorted((k, tuple(sorted(v))) for k, v in found.items())
-    blocks = max(1, -(-len(every) // MOST_WINDOWS))
-    return [every[i::blocks] for i in range(blocks)]
+            if len(found) >= MOST_WINDOWS:
+                yield [(k, tuple(v)) for k, v in found.items()]
+                found, some = {}, True
+    if found or not some:
+        yield [(k, tuple(v)) for k, v in found.items()]
 
 
 class Scanner:
@@ -97,56 +101,68 @@ class Scanner:
         return hit, found
 
 
-_scanners: dict[str, list[Scanner]] = {}
+_scanners: dict[str, Scanner] = {}
 
 
-def _spans(words: vec.Words, offsets: np.ndarray, hit: np.ndarray, row: int) -> list[dict]:
+def _spans(words: vec.Words, offsets: np.ndarray, edges: list[int], row: int) -> list[dict]:
     """Runs of hit words of a row, as code points of the original text."""
-    a, b = words.first[row], words.first[row + 1]
-    own = hit[a:b]
-    edges = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8))).reshape(-1, 2)
+    a = words.first[row]
     data = words.data[offsets[row] : offsets[row + 1]]
     points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
     return [
         {"start": int(points[words.starts[a + s] - offsets[row]]), "end": int(points[words.ends[a + e - 1] - offsets[row]])}
-        for s, e in edges
+        for s, e in zip(edges[::2], edges[1::2])
     ]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted ids) and spans of hit words."""
-    sent = docs.sparkSession.sparkContext.broadcast(windows(benchmark, size=size))
+#: Runs of hit words so far: the first word of each and the one after it, in turn.
+_RUNS = field("_runs", T.ArrayType(T.IntegerType()))
+
+
+def _scanned(docs: DataFrame, patterns: list[tuple], text: str, again: bool) -> DataFrame:
+    """docs with n_words, n_hit, items, spans and _runs; again: with what they have of these already."""
+    sent = docs.sparkSession.sparkContext.broadcast(patterns)
     key = uuid.uuid4().hex
+    before = docs.withColumnsRenamed({"items": "_items_before", "_runs": "_runs_before"}) if again else docs
+    keep = [c for c in before.columns if c not in {f.name for f in FIELDS}]
 
     def make():
         if key not in _scanners:
             _scanners.clear()
-            _scanners[key] = [Scanner(b) for b in sent.value]
-        scanners = _scanners[key]
+            _scanners[key] = Scanner(sent.value)
+        scanner = _scanners[key]
 
         def work(part: pa.RecordBatch) -> list:
             column = part.column(part.schema.get_field_index(text))
             words = vec.words_of(column, WORDS, lower=True)
-            hit, found = np.zeros(len(words.hashes), dtype=bool), {}
-            for s in scanners:
-                h, f = s.scan(words)
-                hit |= h
-                for row, items in f.items():
-                    found.setdefault(row, set()).update(items)
+            hit, found = scanner.scan(words)
+            if again:
+                earlier, items = (part.column(part.schema.get_field_index(c)) for c in ("_runs_before", "_items_before"))
+                for row in np.flatnonzero(pc.list_value_length(earlier).to_numpy(zero_copy_only=False)).tolist():
+                    runs = earlier[row].as_py()
+                    for s, e in zip(runs[::2], runs[1::2]):
+                        hit[words.first[row] + s : words.first[row] + e] = True
+                    found.setdefault(row, set()).update(items[row].as_py())
             _, offsets = vec.flat(column)
             total = np.r_[0, np.cumsum(hit)]
-            n_hit = total[words.first[1:]] - total[words.first[:-1]]
             n = range(len(column))
+            runs = [np.flatnonzero(np.diff(np.r_[False, hit[words.first[i] : words.first[i + 1]], False].astype(np.int8))).tolist() if i in found else [] for i in n]
             return [
-                np.diff(words.first),
-                n_hit,
-                [sorted(found.get(i, ())) for i in n],
-                [_spans(words, offsets, hit, i) if i in found else [] for i in n],
-            ]
+                np.diff(words.first), total[words.first[1:]] - total[words.first[:-1]], [sorted(found.get(i, ())) for i in n],
+                [_spans(words, offsets, runs[i], i) for i in n], runs,
+            ]
 
         return work
 
-    return add_columns(docs, make, FIELDS, text)
+    return add_columns(before, make, [*FIELDS, _RUNS], text, keep=keep).drop("_items_before", "_runs_before")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
+    """``docs`` with n_words, n_hit, items (sorted ids) and spans of hit words; columns of these names are replaced."""
+    found = None
+    for patterns in windows(benchmark, size=size):
+        found = _scanned(docs, patterns, text, False) if found is None else _scanned(Stored(found).df, patterns, text, True)
+    return found.drop("_runs")
 
 
 def contaminated() -> Column:

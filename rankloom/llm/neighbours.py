@@ -247,12 +247,11 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", embedding: str = "embeddi
         graph = made
         for turn in range(ROUNDS):
             most = NEIGHBOURS << (turn + 1)
-            # Without lists that may change links - those saturated, or with links to follow - a round can't find any.
             made = Stored(_best(graph.df.union(_joined(graph.df, classes.df, most)), most))
             before, after = (x.df.where(F.col("s") >= THRESHOLD).count() for x in (graph, made))
             graph.drop()
             graph = made
-            if after == before:
+            if after == before:  # no list has a link more
                 break
         links = graph.df.where(F.col("s") >= THRESHOLD)
         root = components(links.select("a", "b")).select(F.col("node").alias("c"), "root")
