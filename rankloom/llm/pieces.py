@@ -308,6 +308,18 @@ def _spelled(model: Model):
     return ids
 
 
+def _zipped(x: np.ndarray) -> bytes:
+    """Numbers as the planes of their bytes, compressed, after their count."""
+    planes = np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unzipped(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 def _packed_ids(rows: DataFrame, model: Model) -> DataFrame:
     """(block, numbers, lengths, ids): a batch's encodings packed for each block; chunks over SHORT are folded here."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # MOST_PIECES pieces at most
@@ -325,9 +337,9 @@ def _packed_ids(rows: DataFrame, model: Model) -> DataFrame:
             there, first = np.unique(block[order], return_index=True)
             first = np.r_[first, len(order)]
             at = np.r_[0, np.cumsum(size)][first]
-            cut = lambda x, by: pa.array([x[a:b].tobytes() for a, b in zip(by[:-1], by[1:])], pa.binary())
+            cut = lambda x, by: pa.array([_zipped(x[a:b]) for a, b in zip(by[:-1], by[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(there), cut(number[order].astype(np.int32), first), cut(size.astype(np.int32), first), cut(flat.astype(np.int32), at)],
+                [pa.array(there), cut(number[order], first), cut(size, first), cut(flat, at)],
                 ["block", "numbers", "lengths", "ids"],
             )
 
@@ -350,7 +362,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: Model
     schema = pa.schema([(id, arrow_id), ("ids", pa.list_(pa.int32())), *([("text", pa.string())] if decoded else [])])
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers, lengths, flat = (np.frombuffer(b"".join(right.column(n).to_pylist()), dtype=k) for n, k in (("numbers", np.int32), ("lengths", np.int32), ("ids", np.int32)))
+        numbers, lengths, flat = (np.concatenate([_unzipped(x) for x in right.column(n).to_pylist()] or [np.empty(0, np.int32)]) for n in ("numbers", "lengths", "ids"))
         size, start = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         size[numbers] = lengths
         start[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths
