@@ -133,8 +133,8 @@ def streams(coded: DataFrame) -> DataFrame:
 def decode_rows(coded: DataFrame, vocab: DataFrame, ranks: DataFrame) -> DataFrame:
     """doc_id, chunk_no and chunk: the texts of coded chunk rows (doc_id, chunk_no, pos, kind, value).
 
-    A chunk's tokens depend on each other, so all chunks advance together, one position a round, by
-    ``resolve``: here in Python, over the candidates of a bounded table.
+    A chunk's tokens depend on each other, so each chunk is walked in Python, over the candidates of a
+    bounded table.
     """
     table: dict[int, dict[int, int]] = {}
     size = ranks.count()
@@ -170,12 +170,10 @@ def decode_joined(coded: DataFrame, vocab: DataFrame, ranks: DataFrame) -> DataF
     Between two explicit ids lies a stretch of ranks; a round resolves one more rank of every stretch,
     so there are as many rounds as the longest stretch has ranks.
     """
-    from pyspark import StorageLevel
-
     order = Window.partitionBy("doc_id", "chunk_no").orderBy("pos")
     stretch = F.sum(F.when(F.col("kind") == codec.RANK, 0).otherwise(1)).over(order)
     rows = coded.withColumn("stretch", stretch).withColumn("step", F.row_number().over(Window.partitionBy("doc_id", "chunk_no", "stretch").orderBy("pos")) - 1)
-    rows = rows.persist(StorageLevel.DISK_ONLY)
+    rows = written(rows)
     last = rows.agg(F.max("step")).first()[0] or 0
     done = front = rows.where("step = 0").select("doc_id", "chunk_no", "stretch", "pos", F.col("value").alias("token_id"))
     for step in range(1, last + 1):
@@ -183,7 +181,7 @@ def decode_joined(coded: DataFrame, vocab: DataFrame, ranks: DataFrame) -> DataF
         told = more.join(front.select("doc_id", "chunk_no", "stretch", F.col("token_id").alias("ctx")), ["doc_id", "chunk_no", "stretch"])
         front = told.join(ranks.select("ctx", "rank", "token_id"), ["ctx", "rank"]).select("doc_id", "chunk_no", "stretch", "pos", "token_id")
         if step % 8 == 0:
-            front = front.checkpoint()
+            front = written(front)
         done = done.union(front)
     return spelled(done.select("doc_id", "chunk_no", "pos", "token_id"), vocab)
 
