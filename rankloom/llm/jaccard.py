@@ -157,10 +157,11 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
                 ends = part.column(2).offsets.to_numpy()
-                every, counts = (part.column(i).flatten().to_numpy() for i in (2, 3))
+                pairs = part.column(2).flatten()
+                every, counts = (pairs.field(i).to_numpy() for i in (0, 1))
                 ends = ends - ends[0]
                 sets, signs = [], []
-                for i, n in enumerate(part.column(1).to_pylist()):
+                for i, n in enumerate(part.column(1).to_pylist()):  # a shingle counts once, however many copies sent it
                     x, first = np.unique(every[ends[i] : ends[i + 1]], return_index=True)
                     y = counts[ends[i] : ends[i + 1]][first]
                     order = np.lexsort((x, y))
@@ -196,10 +197,9 @@ def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = S
 
 def _edges(instances: DataFrame, parts: int, percent: int) -> DataFrame:
     rows = counted(unpacked(instances, parts, ["shingle", "class", "size"]), "frequency", "shingle").where("frequency > 1")
-    shared = rows.groupBy("class", "size").agg(F.collect_list(F.struct("shingle", "frequency")).alias("shared")).select(
-        "class", "size", F.col("shared.shingle").alias("shingles"), F.col("shared.frequency").cast("array<int>").alias("frequencies"))
+    shared = rows.groupBy("class", "size").agg(F.collect_list(F.struct("shingle", "frequency")).alias("shared"))
     # The allowed differences, as in allowed(); most classes have more shingles of their own and end here.
-    open_to = F.col("size") - F.size(F.array_distinct("shingles")) <= F.floor(F.col("size") * (100 - percent) / 100)
+    open_to = F.col("size") - F.size("shared") <= F.floor(F.col("size") * (100 - percent) / 100)
     found = Stored(_candidates(shared.where(open_to), percent))
     sets = found.df.select("class", "size", "shingles")
     signed = found.df.select("class", "size", F.explode("signatures").alias("signature"))

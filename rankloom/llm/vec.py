@@ -19,7 +19,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD1342543DE82EF95 | 1
 
 #: Bytes of text looked at together; one longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def byte_table(separators: bytes) -> np.ndarray:
