@@ -12,8 +12,14 @@ where they are.  Suffixes of all documents are sorted by their first 1, 2, 4, ..
 The run at a place is its shortest one of ``MIN_WORDS`` words or more.  Two ranks of length
 h that overlap name a run of h to 2h lines exactly; places with equal names are one
 interval of suffixes with that common prefix.  The interval's first place in the order of
-(doc_id, place) stays, and at all others the run is deleted.  A longer repeated run is the
-union of such runs, so what goes is all of the maximal repeated runs but their first copy.
+(doc_id, place) stays, and at all others the run is deleted.
+
+With ``whole`` all repeated runs of ``MIN_WORDS`` words or more are deleted but their first
+copy, up to their maximal length.  A longer run is the union of the shortest ones that start
+in it and of the lines after the last of these starts, fewer than ``MIN_WORDS`` words: so a
+place also has the longer runs that end before the shortest run of the next line does (or
+with the document).  Each end belongs to one place, so there are at most two runs a line,
+none of over ``MIN_WORDS`` lines.  Without ``whole``, as in op1's SQL, those last lines stay.
 
 Nulls: a null text has no lines and stays null.  Rows without id come last in the order.
 Rows equal in id and text are one document.  A document may repeat itself, also
@@ -42,7 +48,7 @@ KEY = ["doc", "text_hash"]
 
 
 class Lines:
-    """The lines of a slice that hold a word: their row, number in it, words and run length (0: too short to count)."""
+    """The lines of a slice that hold a word: their row, number in it, words, run length (0: too short to count) and longest run that decides."""
 
     def __init__(self, column: pa.Array, min_words: int):
         lines, words = vec.words_of(column, _LINE), vec.words_of(column)
@@ -56,6 +62,10 @@ class Lines:
         total = np.cumsum(self.count)
         end = np.searchsorted(total, total - self.count + min_words)  # the line that completes the run
         self.length = np.where(end < self.first[self.rows + 1], end - np.arange(len(end)) + 1, 0)
+        later = np.where(self.number[1:] > 0, self.length[1:], 0) if len(end) else self.length  # the next line's run
+        later = np.r_[later, 0][: len(end)]
+        rest = self.first[self.rows + 1] - np.arange(len(end))
+        self.most = np.where(self.length == 0, 0, np.where(later > 0, np.maximum(self.length, later), rest))
         self.one = lines.hashes[full]
         self.full = full
         self.column = column
@@ -68,7 +78,9 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
 
-def _line_rows(keyed: DataFrame, min_words: int) -> DataFrame:
+def _line_rows(keyed: DataFrame, min_words: int, whole: bool) -> DataFrame:
+    more = ["most"] if whole else []
+
     def run(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
@@ -76,11 +88,11 @@ def _line_rows(keyed: DataFrame, min_words: int) -> DataFrame:
                 at = pa.array(x.rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(at), part.column(1).take(at), pa.array(x.number.astype(np.int32)), pa.array(x.length.astype(np.int32)),
-                     pa.array(x.one.view(np.int64)), pa.array(x.second().view(np.int64))],
-                    ["doc", "text_hash", "place", "length", "x", "y"],
+                     pa.array(x.one.view(np.int64)), pa.array(x.second().view(np.int64)), *(pa.array(x.most.astype(np.int32)) for _ in more)],
+                    ["doc", "text_hash", "place", "length", "x", "y", *more],
                 )
 
-    return keyed.mapInArrow(run, "doc long, text_hash long, place int, length int, x long, y long")
+    return keyed.mapInArrow(run, "doc long, text_hash long, place int, length int, x long, y long" + "".join(f", {c} int" for c in more))
 
 
 def _ranked(rows: DataFrame) -> Stored:
@@ -88,31 +100,38 @@ def _ranked(rows: DataFrame) -> Stored:
     groups = rows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
     spread = groups.repartitionByRange(partitions(rows.sparkSession), "x", "y").sortWithinPartitions("x", "y")
     ranks = Stored(spread.withColumn("rank", F.monotonically_increasing_id()))  # written once: a retry can't number them anew
-    kept = Stored(rows.join(ranks.df, ["x", "y"]).select(*KEY, "place", "length", "rank"))
+    kept = Stored(rows.join(ranks.df, ["x", "y"]).drop("x", "y"))
     ranks.drop()
     return kept
 
 
-def runs(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def runs(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """Runs to delete: doc, text_hash, place and length in lines that hold a word.  They may overlap."""
-    return _runs(_keyed(docs, id, text), min_words)
+    return _runs(_keyed(docs, id, text), min_words, whole)
 
 
-def _runs(keyed: DataFrame, min_words: int) -> DataFrame:
-    level = _ranked(_line_rows(keyed, min_words))
+def _runs(keyed: DataFrame, min_words: int, whole: bool) -> DataFrame:
+    level = _ranked(_line_rows(keyed, min_words, whole))
+    own = [*KEY, "place", "length", *(["most"] if whole else [])]
     named, h = [], 1
     while True:
         order = Window.partitionBy(*KEY).orderBy("place")
         at = lambda step: F.max("rank").over(order.rangeBetween(step, step))  # noqa: E731  the rank so many lines on
-        over = F.coalesce(*[F.when(F.col("length") == h + o, at(o)) for o in range(min(h, max(1, min_words - h + 1)))])
-        seen = level.df.select(*KEY, "place", "length", "rank", at(h).alias("next"), over.alias("over"))
-        named.append(seen.where(f"length between {h} and {2 * h - 1} and over is not null").select(
-            *KEY, "place", "length", F.lit(h).alias("h"), F.col("rank").alias("a"), F.col("over").alias("b")))
+        steps = range(min(h, max(1, min_words - h + 1)))
+        if whole:
+            ends = [F.when(F.lit(h + o).between(F.col("length"), F.col("most")), F.struct(F.lit(h + o).alias("length"), at(o).alias("over"))) for o in steps]
+            seen = level.df.select(*own, "rank", at(h).alias("next"), F.array(*ends).alias("ends"))
+            each = seen.where(f"length < {2 * h} and most >= {h}").select(*KEY, "place", "rank", F.inline(F.filter("ends", lambda e: e["over"].isNotNull())))
+        else:
+            over = F.coalesce(*[F.when(F.col("length") == h + o, at(o)) for o in steps])
+            seen = level.df.select(*own, "rank", at(h).alias("next"), over.alias("over"))
+            each = seen.where(f"length between {h} and {2 * h - 1} and over is not null")
+        named.append(each.where("length > 0").select(*KEY, "place", "length", F.lit(h).alias("h"), F.col("rank").alias("a"), F.col("over").alias("b")))
         h *= 2
         if h > min_words:  # a line has one word at least
             break
         # Places whose next h lines, or themselves, occur once can't be equal to another: they are gone already.
-        pairs = seen.where("next is not null").select(*KEY, "place", "length", F.col("rank").alias("x"), F.col("next").alias("y"))
+        pairs = seen.where("next is not null").select(*own, F.col("rank").alias("x"), F.col("next").alias("y"))
         level = _ranked(pairs)
     every = named[0]
     for more in named[1:]:
@@ -126,12 +145,12 @@ def _runs(keyed: DataFrame, min_words: int) -> DataFrame:
 FIELDS = [field("n_lines", T.LongType()), field("n_removed", T.LongType()), field("kept", T.StringType()), field("kept_sha256", T.StringType())]
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """``docs`` with n_lines, n_removed (of lines that hold a word), kept (the text without the deleted lines) and its kept_sha256.
 
     Columns of these names are replaced.
     """
-    spans = _runs(_keyed(docs, id, text), min_words).groupBy(*KEY).agg(F.collect_list(F.struct("place", "length")).alias("spans"))
+    spans = _runs(_keyed(docs, id, text), min_words, whole).groupBy(*KEY).agg(F.collect_list(F.struct("place", "length")).alias("spans"))
     spans = spans.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans.place").alias("_starts"), F.col("spans.length").alias("_lengths"))
     own = [c for c in docs.columns if c not in {f.name for f in FIELDS}]
     same = docs[id].cast("long").eqNullSafe(spans["_doc"]) & (F.xxhash64(docs[text]) == spans["_hash"])
@@ -171,9 +190,9 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: in
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents without repeated runs, with their own columns; a document that loses all its lines goes."""
+    """The documents without later copies of maximal repeated runs, with their own columns; a document that loses all its lines goes."""
     names = {f.name for f in FIELDS}
     spare = {c: f"_kept_{c}" for c in docs.columns if c in names}
-    done = dedup(docs.withColumnsRenamed(spare)).where("n_removed = 0 or n_removed < n_lines")
+    done = dedup(docs.withColumnsRenamed(spare), whole=True).where("n_removed = 0 or n_removed < n_lines")
     made = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return done.select(*[(made[c] if c in made else F.col(spare.get(c, c))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -55,3 +55,34 @@ def test_edges(edge_docs, no_docs, edge_texts):
     assert cleaned.columns == edge_docs.columns and cleaned.where("score <> 'score'").count() == 0
     assert {x.doc_id for x in cleaned.collect()} == {0, 1, 2, 3, 4, None, 7, 8, 9, 10}
     assert lines.dedup(no_docs).count() == 0 and lines.clean(no_docs).count() == 0
+
+
+def whole(docs, least):
+    """Kept texts: of every repeated run of enough words, of any length, all places but the first go."""
+    seqs = {i: [x for x in (t or "").split("\n") if x.split()] for i, t in docs}
+    seen, gone = set(), {i: set() for i in seqs}
+    for i in sorted(seqs):
+        s = seqs[i]
+        for p in range(len(s)):
+            for e in range(p + 1, len(s) + 1):
+                key = tuple(s[p:e])
+                if key in seen and sum(len(x.split()) for x in key) >= least:
+                    gone[i].update(range(p, e))
+                seen.add(key)
+    return {i: (len(s), [x for k, x in enumerate(s) if k not in gone[i]]) for i, s in seqs.items()}
+
+
+@pytest.mark.parametrize("seed,least", [(4, 10), (5, 4), (6, 17)])
+def test_whole_runs_against_brute_force(spark, seed, least):
+    r = random.Random(seed)
+    pool = [" ".join(r.choice("abcdefg") for _ in range(r.choice((1, 2, 3, 6, 12)))) for _ in range(14)]
+    docs = [(i, "\n".join(r.choice(pool) for _ in range(r.choice((0, 1, 3, 9, 30))))) for i in range(30)]
+    docs += [(40 + i, docs[i][1]) for i in range(0, 30, 4)]
+    got = lines.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), min_words=least, whole=True).collect()
+    assert {x.doc_id: (x.n_lines, [y for y in x.kept.split("\n") if y]) for x in got} == whole(docs, least)
+
+
+def test_copies_with_a_short_last_line_go(spark):
+    text = " ".join(f"w{k}" for k in range(12)) + "\nand so on"
+    docs = spark.createDataFrame([(0, text), (1, text), (2, "other")], "doc_id long, text string")
+    assert sorted((x.doc_id, x.text) for x in lines.clean(docs).collect()) == [(0, text), (2, "other")]
