@@ -12,6 +12,9 @@ Vectors with the same components form one class with a multiplicity; classes are
    bounded size, and no pair is written.
 4. Audit.  A bounded sample of rows is compared with all rows, in blocks; while the share of
    their links that lie inside a component is below the target, another set of trees follows.
+   What a list had to drop still ties components: the links of all rounds and sets count.
+5. If the last audit misses any link, all rows are compared with all rows, in blocks, and
+   what links two components joins them.  That is quadratic work, but no pair is written.
 
 All cosines are in double precision.
 
@@ -196,6 +199,45 @@ def _counts(members: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
 
 
+def _across(rooted: DataFrame) -> DataFrame:
+    """Of rows (c, v, root): enough linked pairs (a, b) to connect all that is linked across components."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = (batch.column(k)[i].values for k in (0, 1))
+                (ca, ra, va), (cb, rb, vb) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), x.field(2)) for x in (one, two))
+                sizes_a, sizes_b = (np.array([len(v) for v in x.to_pylist()]) for x in (va, vb))
+                out_a, out_b = [ca[:0]], [cb[:0]]
+                for size in np.intersect1d(sizes_a, sizes_b):
+                    own, other = np.flatnonzero(sizes_a == size), np.flatnonzero(sizes_b == size)
+                    near = _matrix(va.take(pa.array(own))) @ _matrix(vb.take(pa.array(other))).T >= THRESHOLD
+                    low_a, low_b = ra[own].copy(), rb[other].copy()
+                    while True:  # least labels spread over the links; what changes a label is an edge
+                        far = np.where(near, low_b[None, :], np.iinfo(np.int64).max)
+                        at, low = far.argmin(1), far.min(1)
+                        move = np.flatnonzero(low < low_a)
+                        out_a.append(ca[own[move]])
+                        out_b.append(cb[other[at[move]]])
+                        low_a[move] = low[move]
+                        far = np.where(near, low_a[:, None], np.iinfo(np.int64).max)
+                        at, low = far.argmin(0), far.min(0)
+                        back = np.flatnonzero(low < low_b)
+                        out_a.append(ca[own[at[back]]])
+                        out_b.append(cb[other[back]])
+                        low_b[back] = low[back]
+                        if not len(move) and not len(back):
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_a, out_b)], ["a", "b"])
+
+    count = -(-rooted.count() // BLOCK)
+    placed = rooted.withColumn("block", F.pmod(F.xxhash64("c", F.lit(5)), F.lit(count)).cast("int"))
+    blocks = Stored(placed.groupBy("block").agg(F.collect_list(F.struct("c", "root", "v")).alias("rows"))).df
+    one = blocks.select(F.col("rows").alias("one"), F.explode(F.sequence(F.col("block"), F.lit(count - 1))).alias("block"))
+    met = one.join(blocks.withColumnRenamed("rows", "two"), "block").select("one", "two")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 @dataclass
 class Audit:
     links: int  # of the sampled rows, by comparison with all rows
@@ -238,29 +280,50 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", embedding: str = "embeddi
     units = Stored(_units(df, id, embedding).withColumn("c", F.when(F.col("v").isNotNull(), F.xxhash64("v")))).df
     classes = Stored(units.where("v is not null").groupBy("c").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least")))
     count = classes.df.count()
-    graph, done = None, False
+    graph, ties = None, None
+
+    def tied(edges: DataFrame) -> None:
+        """``ties`` gets the links among edges (a, b, s)."""
+        nonlocal ties
+        own = edges.where((F.col("s") >= THRESHOLD) & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        made = Stored((own if ties is None else own.union(ties.df)).distinct())
+        if ties is not None:
+            ties.drop()
+        ties = made
+
+    def rooted_by(edges: DataFrame) -> Stored:
+        root = components(edges).select(F.col("node").alias("c"), "root")
+        return Stored(classes.df.join(root, "c", "left").withColumn("root", F.coalesce("root", "c")))
+
     for attempt in range(SETS):
-        edges = _seeds(classes.df, count, TREES, attempt)
-        made = Stored(_best(edges if graph is None else edges.union(graph.df), NEIGHBOURS))
+        edges = Stored(_seeds(classes.df, count, TREES, attempt))
+        tied(edges.df)
+        made = Stored(_best(edges.df if graph is None else edges.df.union(graph.df), NEIGHBOURS))
+        edges.drop()
         if graph is not None:
             graph.drop()
         graph = made
         for turn in range(ROUNDS):
             most = NEIGHBOURS << (turn + 1)
-            made = Stored(_best(graph.df.union(_joined(graph.df, classes.df, most)), most))
+            met = Stored(_joined(graph.df, classes.df, most))
+            tied(met.df)
+            made = Stored(_best(graph.df.union(met.df), most))
+            met.drop()
             before, after = (x.df.where(F.col("s") >= THRESHOLD).count() for x in (graph, made))
             graph.drop()
             graph = made
             if after == before:  # no list has a link more
                 break
-        links = graph.df.where(F.col("s") >= THRESHOLD)
-        root = components(links.select("a", "b")).select(F.col("node").alias("c"), "root")
-        rooted = Stored(classes.df.join(root, "c", "left").withColumn("root", F.coalesce("root", "c")))
+        rooted = rooted_by(ties.df)
         audit = _audited(rooted.df, AUDIT)
         if audits is not None:
             audits.append(audit)
         if audit.recall >= TARGET:
             break
+    if audit.found < audit.links:
+        rooted = rooted_by(ties.df.union(_across(rooted.df)))
+        if audits is not None:
+            audits.append(_audited(rooted.df, AUDIT))
     several = rooted.df.groupBy("root").agg(F.count("*").alias("size"), F.min("least").alias("component_id"))
     members = rooted.df.join(several.where("size > 1").select("root"), "root").select("root", "c", "n", "v")
     counts = _counts(members)

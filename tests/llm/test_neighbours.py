@@ -41,6 +41,21 @@ def test_against_brute_force(spark, monkeypatch, seed, block):
     assert audits[-1].recall >= 0.999 and audits[-1].links > 0
 
 
+def test_links_between_two_tight_groups(spark, monkeypatch):
+    """Each group fills all lists with its own members."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    r = np.random.default_rng(3)
+    one, turn = np.zeros(24), np.zeros(24)
+    one[0], turn[1] = 1, 1
+    two = 0.93 * one + np.sqrt(1 - 0.93**2) * turn
+    rows = [(i, ((one, two)[i % 2] + r.normal(size=24) * 0.004).tolist()) for i in range(240)]
+    audits = []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in neighbours.near_duplicates(df, audits=audits).collect()}
+    assert got == {i: v for (i, _), v in zip(rows, brute(rows))} and got[239][1] == 0
+    assert audits[-1].recall == 1
+
+
 def test_edges(spark):
     r = random.Random(0)
     v = [r.random() for _ in range(8)]
