@@ -4,7 +4,8 @@ A document's set holds the hashes of its distinct word shingles.  Documents with
 form one class; classes are compared, never their copies.
 
 1. Every shingle of every class goes once through a shuffle, packed into arrays for each
-   hash bucket, and is counted there (its document frequency).
+   hash bucket, and is counted there (its document frequency).  A task sends a class once;
+   what tasks send of one class falls together where it is counted, before it is gathered.
 2. Shingles of one class only can't be shared.  A class whose unshared shingles outnumber
    the differences that the threshold allows has no partner.
 3. The shared shingles of the others are ordered by frequency, rarest first.  Rare shingles
@@ -31,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import vec
-from .frames import Stored, add_columns, counted, field, packed, partitions, unpacked
+from .frames import Stored, add_columns, field, packed, partitions, unpacked
 from .graph import components
 
 #: Documents link when 100 * intersection >= PERCENT * union.
@@ -43,7 +45,7 @@ SHINGLE = 4
 RARE, FREQUENT = 16, 256
 #: Sets below LEVEL are indexed by single shingles only; each further level doubles, and so do its groups.
 LEVEL, GROUPS = 80, 16
-#: Non-representatives known to every task, at most (8 bytes each); beyond, copies are counted with the rest.
+#: Classes that a task remembers to have sent, at most; beyond, it starts anew and may send some again.
 MOST_COPIES = 2_000_000
 
 
@@ -92,27 +94,29 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     return add_columns(docs, make, fields, text, keep=keep)
 
 
-def _instances(docs: DataFrame, copies: np.ndarray | None, id: str, text: str, size: int, parts: int) -> DataFrame:
+def _instances(docs: DataFrame, text: str, size: int, parts: int) -> DataFrame:
     """(bucket, shingle, class, size): arrays of equal length for each slice of rows and hash bucket."""
-    sent = docs.sparkSession.sparkContext.broadcast(copies)
+    most = MOST_COPIES
 
     def run(batches):
-        skip = sent.value
+        sent: set[int] = set()
         for batch in batches:
             for part in vec.slices(batch, text):
                 s = Sets(part.column(part.schema.get_field_index(text)), size)
-                if skip is not None and len(skip):
-                    ids = _ids(part.column(part.schema.get_field_index(id)))
-                    own = _pair(s.key, ids)
-                    at = np.minimum(np.searchsorted(skip, own), len(skip) - 1)
-                    mask = (skip[at] != own)[s.rows]
-                else:
-                    mask = np.ones(len(s.rows), bool)
+                fresh = np.zeros(len(s.key), bool)
+                for i in np.unique(s.key, return_index=True)[1].tolist():
+                    key = int(s.key[i])
+                    if key not in sent:
+                        if len(sent) >= most:
+                            sent.clear()
+                        sent.add(key)
+                        fresh[i] = True
+                mask = fresh[s.rows]
                 rows, hashes = s.rows[mask], s.hashes[mask]
                 columns = [hashes.view(np.int64), s.key[rows], s.sizes[rows].astype(np.int32)]
                 yield from packed(hashes, parts, ["shingle", "class", "size"], columns)
 
-    return docs.select(id, text).mapInArrow(run, "bucket int, shingle array<long>, class array<long>, size array<int>")
+    return docs.select(text).mapInArrow(run, "bucket int, shingle array<long>, class array<long>, size array<int>")
 
 
 def allowed(size: int, percent: int = PERCENT) -> int:
@@ -161,11 +165,10 @@ def _candidates(shared: DataFrame, percent: int) -> DataFrame:
                 every, counts = (pairs.field(i).to_numpy() for i in (0, 1))
                 ends = ends - ends[0]
                 sets, signs = [], []
-                for i, n in enumerate(part.column(1).to_pylist()):  # a shingle counts once, however many copies sent it
-                    x, first = np.unique(every[ends[i] : ends[i + 1]], return_index=True)
-                    y = counts[ends[i] : ends[i + 1]][first]
+                for i, n in enumerate(part.column(1).to_pylist()):
+                    x, y = every[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]]
                     order = np.lexsort((x, y))
-                    sets.append(x)
+                    sets.append(np.sort(x))
                     signs.append(sorted(_signatures(n, x[order], y[order], percent)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))],
@@ -186,17 +189,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(rows with n_shingles and class, edges (a, b) between classes): enough edges that all linked classes are connected."""
-    spark = docs.sparkSession
+    parts = partitions(docs.sparkSession)
     own = Stored(classes(docs, id, text, size, keep=[id])).df
-    members = own.where("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min(id).alias("least"))
-    copies = own.join(members.where("n > 1"), "class").where(F.col(id) > F.col("least")).select("copy").distinct()
-    head = copies.limit(MOST_COPIES + 1).toPandas()["copy"].to_numpy(np.int64)  # bounded by MOST_COPIES
-    known = np.sort(head) if len(head) <= MOST_COPIES else None
-    return own, _edges(_instances(docs, known, id, text, size, partitions(spark)), partitions(spark), percent)
+    return own, _edges(_instances(docs, text, size, parts), parts, percent)
 
 
 def _edges(instances: DataFrame, parts: int, percent: int) -> DataFrame:
-    rows = counted(unpacked(instances, parts, ["shingle", "class", "size"]), "frequency", "shingle").where("frequency > 1")
+    key = Window.partitionBy("shingle", "bucket")
+    rows = unpacked(instances, parts, ["shingle", "class", "size"])
+    rows = rows.withColumn("least", F.min("class").over(key)).withColumn("most", F.max("class").over(key)).where("least <> most")
+    # Several tasks may have sent a class: once is enough.  The rows of a bucket are in one partition already.
+    rows = rows.select("bucket", "shingle", "class", "size").distinct().withColumn("frequency", F.count("*").over(key))
     shared = rows.groupBy("class", "size").agg(F.collect_list(F.struct("shingle", "frequency")).alias("shared"))
     # The allowed differences, as in allowed(); most classes have more shingles of their own and end here.
     open_to = F.col("size") - F.size("shared") <= F.floor(F.col("size") * (100 - percent) / 100)

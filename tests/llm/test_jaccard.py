@@ -42,6 +42,24 @@ def test_copies_beyond_the_bound(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in rows} == classes(docs, 85, 4)
 
 
+@pytest.mark.parametrize("most", [1, 2_000_000])
+def test_copies_are_gathered_once(spark, monkeypatch, most):
+    """However many copies a class has, and whatever a task remembers, its shingles are gathered once."""
+    monkeypatch.setattr(jaccard, "MOST_COPIES", most)
+    seen, candidates = [], jaccard._candidates
+
+    def watched(shared, percent):
+        seen.append(shared.selectExpr("max(size(shared) - size)", "count(*)").first())
+        return candidates(shared, percent)
+
+    monkeypatch.setattr(jaccard, "_candidates", watched)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(base)) for i in range(50)] + [(50, " ".join(base[:-1]))] + [(60 + i, f"a b c d e f g {i % 2}") for i in range(20)]
+    rows = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in rows} == classes(docs, 85, 4)
+    assert seen[0][0] <= 0 and seen[0][1] == 2
+
+
 def test_linked_sets_share_a_signature():
     import random
 
