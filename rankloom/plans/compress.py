@@ -61,8 +61,13 @@ def compress(docs: DataFrame, model: Model, window: int = codec.WINDOW, least: i
         "compressed_size", F.octet_length("payload").cast("long"))
 
 
-def decompress(payloads: DataFrame, model: Model, joined: bool = False) -> DataFrame:
-    """doc_id and text of payloads; the window comes from the header.  joined: for a rank table of any size."""
+def decompress(payloads: DataFrame, model: Model, joined: bool | None = None) -> DataFrame:
+    """doc_id and text of payloads; the window comes from the header.
+
+    joined: by joins, for a rank table of any size; by default where the table is too large to broadcast.
+    """
+    if joined is None:
+        joined = model.ranks.count() > rankcoder.MOST_RANKS
     streams = payloads.select("doc_id", codec.decode(F.col("payload"))["tokens"].alias("stream"))
     rows = rankcoder.stream_rows(streams)
     back = (rankcoder.decode_joined if joined else rankcoder.decode_rows)(rows, model.vocab, model.ranks)

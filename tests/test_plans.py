@@ -124,3 +124,11 @@ def test_command_line(spark, tmp_path, capsys):
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.SQL) and registry.FLAGSHIP in registry.QUERIES
     assert codec.WINDOW == 64
+
+
+def test_a_rank_table_beyond_the_broadcast_is_joined(spark, docs, monkeypatch):
+    monkeypatch.setattr(rankcoder, "MOST_RANKS", 3)
+    some = docs.where("doc_id in (1, 3, 5)")
+    model = compress.Model.fit(docs.where("doc_id = 0"))
+    back = compress.decompress(compress.compress(some, model), model)
+    assert {r.doc_id: r.text for r in back.collect()} == {i: TEXTS[i] for i in (1, 3, 5)}
