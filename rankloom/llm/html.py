@@ -7,7 +7,8 @@ word vectors, and a few counts, and labels it article or not in the context of t
 page.  The weights are fitted by ``html_train`` to generated pages and kept beside this
 module.
 
-Comments, scripts, styles and other content that is never shown are no blocks.  Character
+Comments, scripts, styles and other content that is never shown are no blocks; what follows
+an element of the latter kind that is self-closed or never ends is read.  Character
 references are decoded, white space inside a block (``<br>`` too) becomes one space, and
 the article's blocks are joined by a line feed.
 
@@ -46,10 +47,17 @@ ENDS = {
     "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "body": ("head title", ()),
 }
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|math|object|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>|<[/!?a-zA-Z][^<>]*\Z|([^<]+|<)",
     re.S | re.I,
 )
+#: Elements whose content is skipped if they end.
+UNSEEN = frozenset("template svg object audio video".split())
+UNSEEN_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)(template|svg|object|audio|video)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
+    re.S | re.I,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -81,6 +89,22 @@ def marks(tag: str, attributes: str) -> tuple[str, ...]:
     return _marks[key]
 
 
+def unseen(page: str) -> dict[int, int]:
+    """Where each element of UNSEEN that ends starts, and its end; start and end tags of a name pair up from the inside."""
+    ends: dict[int, int] = {}
+    starts: dict[str, list[int]] = {}
+    for m in UNSEEN_TAG.finditer(page):
+        name = (m.group(3) or "").lower()
+        if not name:
+            continue
+        if not m.group(2):
+            if name != "svg" or not m.group(4).endswith("/"):  # only foreign elements can be self-closed
+                starts.setdefault(name, []).append(m.start())
+        elif starts.get(name):
+            ends[starts[name].pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -104,7 +128,10 @@ def blocks(page: str) -> list[Block]:
                 del stack[at:]
                 return
 
-    for m in TOKEN.finditer(page):
+    ends: dict[int, int] | None = None
+    here = 0
+    while m := TOKEN.search(page, here):
+        here = m.end()
         text = m.group(5)
         if text is not None:
             parts.append(text)
@@ -115,6 +142,10 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, closing = tag.lower(), m.group(2)
+        if tag in UNSEEN and not closing:
+            ends = unseen(page) if ends is None else ends
+            here = ends.get(m.start(), here)
+            continue
         if tag == "a":
             in_link = 0 if closing else 1
         elif tag in ("br", "hr", "wbr"):

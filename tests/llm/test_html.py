@@ -22,6 +22,16 @@ def test_blocks():
     assert [b.linked for b in html.blocks("<p><a href=x>abc</a> d</p>")] == [3]
 
 
+def test_unseen_elements_lose_no_text():
+    assert texts("<p>a <svg width=1 /> b</p><p>c <svg/> d</p><p>e <math/> f") == ["a b", "c d", "e f"]
+    assert texts("<svg-icon name=x></svg-icon><p>a</p><video-player src=y><p>b</p><object-card/><p>c<template-x>d") == ["a", "b", "cd"]
+    assert texts("<p>a <video src=x> b</p><p>c</p><object data=y><p>d") == ["a b", "c", "d"]
+    assert texts("<p>a <video src=x> b</p><p>c <video>no</video> d</p>") == ["a b", "c d"]
+    assert texts("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>") == ["a x=1 b"]
+    assert texts("<p>a <svg><text>no</text><svg>no</svg>no</svg> b <object>no<object title='>'>no</object>no</object> c</p>") == ["a b c"]
+    assert texts("<p>a <svg><!-- <svg> --><style>no</style>no</SVG > b<template><p>no</p></template><p>c<script>no") == ["a b", "c"]
+
+
 def test_gradient(monkeypatch):
     r = np.random.default_rng(0)
     net = html.Labeller({k: r.normal(0, 0.3, s) for k, s in html.Labeller.SHAPES.items()})
