@@ -7,7 +7,8 @@ places or more, and every word under one is removed.
    have equal anchors at equal offsets.  About one word in eight begins an anchor, and only
    anchors are counted at first: a window whose anchor occurs once can't be repeated.
 2. Edges.  Windows with repeated anchors are hashed whole (96 bits) and counted.
-3. Paths.  An edge is joined to its successor, one word on in the same source.  While both
+3. Paths.  A window over each source stands in for the join of edges to successors on their
+   nodes: an edge is put beside the next one, one word on in the same source.  While both
    occur equally often no source leaves or enters between them, so they compact into one
    nonbranching path with its source coordinates.
 4. The coordinates are joined back to the texts, and the words under them removed.
