@@ -193,6 +193,22 @@ def bucket(token: str) -> int:
 COUNTS = 10
 
 
+_LETTERS = vec.mix(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+
+
+def word_buckets(w: vec.Words) -> np.ndarray:
+    """Feature hashing, which the weights are fitted to: two words may well share a bucket."""
+    size = 1 << max(4, int((w.ends - w.starts).max(initial=1)).bit_length())
+    powers = np.array([pow(_BASE, i, 1 << 64) for i in range(min(size, 64))], dtype=np.uint64)
+    length = np.minimum(w.ends - w.starts, len(powers))
+    total = np.zeros(len(length), dtype=np.uint64)
+    for i in range(int(length.max(initial=0))):
+        live = np.flatnonzero(length > i)
+        total[live] += _LETTERS[w.data[w.starts[live] + i]] * powers[i]
+    return ((vec.mix(total + (w.ends - w.starts).astype(np.uint64)) >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 class Inputs:
     """What the labeller reads: of all blocks of some pages, one after the other."""
 
@@ -204,7 +220,7 @@ class Inputs:
         self.path_sizes = np.array([len(b.path) for b in every], dtype=np.int64)
         texts = [b.text for b in every]
         w = vec.words_of(pa.array([t.lower() for t in texts], pa.large_string()))
-        self.word_ids = ((w.hashes >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+        self.word_ids = word_buckets(w)
         self.word_sizes = np.diff(w.first)
         length = np.array([len(t) for t in texts], dtype=float)
         closed = np.array([t[-1] in ".!?\"'”»" for t in texts], dtype=float)

@@ -1,8 +1,10 @@
 """Vectorised word and n-gram hashing over Arrow string columns.
 
 Text never becomes a Python object: the UTF-8 bytes of a slice of rows are read as one
-numpy array, words are found by a 256-entry byte table, and each word's polynomial hash
-is the difference of two prefix sums.  Hashes are the same in every process.
+numpy array and words are found by a 256-entry byte table.  A word's bytes go through a
+64-bit mixer eight at a time, in order, and so do the halves of an n-gram: nothing is a sum
+over letters or places, so texts that defeat polynomial hashes are told apart too.  A seed
+enters every step.  Hashes are the same in every process.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM = 0xD1342543DE82EF95 | 1
+#: Steps that two halves, places and sizes are told apart by: odd numbers without a pattern.
+_GRAM, _PLACE, _SIZE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F))
+#: Bytes of a span that numpy mixes; longer ones are hashed one by one.
+LONG = 64
 
 #: Bytes of text looked at together; one longer text is taken alone.
 SLICE_BYTES = 1 << 19
@@ -48,24 +52,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_LETTERS = mix(np.arange(1, 257, dtype=np.uint64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            out = np.ones(size, dtype=np.uint64)
-            filled = 1
-            while filled < size:
-                out[filled : 2 * filled] = out[:filled] * np.uint64(pow(b, filled, 1 << 64))
-                filled *= 2
-            both.append(out)
-        _powers[base] = (both[0], both[1])
-    return _powers[base]
+#: The first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 @dataclass
@@ -120,41 +108,75 @@ def words_of(column: pa.Array, keep: np.ndarray = SPACE_WORDS, lower: bool = Fal
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     first = np.searchsorted(starts, offsets)
-    up, down = powers(_BASE, n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    letters = _LETTERS if not seed else mix(_LETTERS + np.uint64(seed))
-    np.cumsum(letters[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, first.astype(np.int64), hashes)
+    return Words(data, starts, ends, first.astype(np.int64), spans_hash(data, starts, ends, seed))
 
 
-def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of the bytes of each span."""
-    up, down = powers(_BASE, len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    size, key = ends - starts, np.uint64(seed)
+    out = mix(size.astype(np.uint64) * _SIZE + key)
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        step = eight[starts[live] + at] & _FIRST[np.minimum(left, 8)]
+        out[live] = mix(out[live] ^ mix(step + _GRAM + key))
+        live, at = live[left > 8], at + 8
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[s:e], seed) for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
+
+
+def spans_digest(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits for each span, as two int64."""
+    raw = memoryview(np.ascontiguousarray(data))
+    told = b"".join([xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(told, dtype="<i8").reshape(-1, 2)
+
+
+def same_spans(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Whether span i of the bytes ``one`` equals span i of the bytes ``two``."""
+    size = ends - starts
+    same = size == ends2 - starts2
+    some = np.flatnonzero(same & (size > 0))
+    if len(some):
+        n = size[some]
+        total = np.cumsum(n)
+        step = np.arange(total[-1]) - np.repeat(total - n, n)
+        differ = one[np.repeat(starts[some], n) + step] != two[np.repeat(starts2[some], n) + step]
+        same[some] = ~np.logical_or.reduceat(differ, total - n)
+    return same
 
 
 def gram_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hash of the n words from each word on, for all but the last n - 1 words; rows are not looked at."""
+    """Hash of the n words from each word on, for all but the last n - 1 words; rows are not looked at.
+
+    Stretches of 1, 2, 4, ... words are put together from halves, and two that overlap make n words.
+    """
     count = len(hashes) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    up, down = powers(_GRAM, len(hashes) + 1)
-    own = hashes if not seed else mix(hashes + np.uint64(seed))
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(own * up[: len(hashes)], out=sums[1:])
-    return mix((sums[n:] - sums[:count]) * down[:count] + np.uint64(n))
+    key = np.uint64(seed)
+    level, have = mix(hashes + key) if seed else hashes, 1
+    while have < n:
+        step = min(have, n - have)
+        level = mix(level[: len(level) - step] ^ mix(level[step:] + _GRAM + key))
+        have += step
+    return level if n > 1 else mix(level)
 
 
 def sequence_hash(hashes: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
-    """One hash for the words first[i]:first[i + 1] of each row."""
-    up, down = powers(_GRAM, len(hashes) + 1)
-    own = hashes if not seed else mix(hashes + np.uint64(seed))
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(own * up[: len(hashes)], out=sums[1:])
-    return mix((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64))
+    """One hash for the words first[i]:first[i + 1] of each row: each is mixed with its place, then summed."""
+    size = np.diff(first)
+    place = np.arange(first[0], first[-1]) - np.repeat(first[:-1], size)
+    sums = np.zeros(len(place) + 1, dtype=np.uint64)
+    np.cumsum(mix(hashes[first[0] : first[-1]] ^ mix(place.astype(np.uint64) * _PLACE + _PLACE + np.uint64(seed))), out=sums[1:])
+    at = first - first[0]
+    return mix(sums[at[1:]] - sums[at[:-1]] + size.astype(np.uint64) * _SIZE)
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
