@@ -1,29 +1,28 @@
-"""Line dedup: ranks of line sequences by distributed prefix doubling.
+"""Line dedup: a suffix array over line sequences by distributed prefix doubling.
 
 A document is its sequence of lines (between line feeds) that hold a word; blank lines stay
 where they are.  Suffixes of all documents are sorted by their first 1, 2, 4, ... lines:
 
-* rank 1 sorts the lines' 128-bit hashes; rank 2h of a place sorts the pair (rank h there,
-  rank h at h lines on).  Ranks keep the order of what they name: groups are sorted by
-  range, and the row number in partition order is the rank.
-* A suffix whose rank occurs once has no equal and leaves (discarding), so each round works
-  on what is still repeated.  No round is needed beyond the longest run that can decide.
-
-The run at a place is its shortest one of ``MIN_WORDS`` words or more.  Two ranks of length
-h that overlap name a run of h to 2h lines exactly; places with equal names are one
-interval of suffixes with that common prefix.  The interval's first place in the order of
-(doc_id, place) stays, and at all others the run is deleted.
-
-With ``whole`` all repeated runs of ``MIN_WORDS`` words or more are deleted but their first
-copy, up to their maximal length.  A longer run is the union of the shortest ones that start
-in it and of the lines after the last of these starts, fewer than ``MIN_WORDS`` words: so a
-place also has the longer runs that end before the shortest run of the next line does (or
-with the document).  Each end belongs to one place, so there are at most two runs a line,
-none of over ``MIN_WORDS`` lines.  Without ``whole``, as in op1's SQL, those last lines stay.
+* Rank 1 sorts the lines' 128-bit ids; the rank at 2h of a place sorts the pair (rank at h
+  there, rank at h of the place h lines on).  Groups are sorted by range, and the row number in
+  partition order is the rank, so ranks are in suffix order.
+* Suffixes of equal rank at h are neighbours in the suffix array with a common prefix of h
+  lines or more: the LCP interval of h.  Intervals of one suffix leave (discarding).  Rounds go
+  on until no interval is left, whatever the longest repeat.
+* Of an interval the first place, in the order of (doc_id, place), stays.  Every other place
+  begins a later copy of h lines.
+
+A maximal repeated run of h to 2h lines is what two later copies of h lines cover together, one
+that begins with the run and one that ends with it, so whole runs are deleted, to their last
+line.  A run counts from ``MIN_WORDS`` words on.  Where one of the two halves has fewer words
+though the run has enough, the run's own interval is formed: its places agree in two ranks
+that overlap.  That happens below 16 lines only, since each line has a word.
 
 Nulls: a null text has no lines and stays null.  Rows without id come last in the order.
 Rows equal in id and text are one document.  A document may repeat itself, also
-overlapping.  An empty table gives an empty result.
+overlapping.  A text of any length is one row; its lines are rows of numbers.  Ties in the
+order are equal places.  Columns named as those added are replaced.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -48,9 +47,9 @@ KEY = ["doc", "text_hash"]
 
 
 class Lines:
-    """The lines of a slice that hold a word: their row, number in it, words, run length (0: too short to count) and longest run that decides."""
+    """The lines of a slice that hold a word: their row, number in it, words, place in the bytes."""
 
-    def __init__(self, column: pa.Array, min_words: int):
+    def __init__(self, column: pa.Array):
         lines, words = vec.words_of(column, _LINE), vec.words_of(column)
         count = np.diff(np.searchsorted(words.starts, np.r_[lines.starts, len(lines.data)]))
         full = count > 0
@@ -59,98 +58,117 @@ class Lines:
         n = len(lines.first) - 1
         self.first = np.searchsorted(self.rows, np.arange(n + 1))
         self.number = np.arange(len(self.rows)) - self.first[self.rows]
-        total = np.cumsum(self.count)
-        end = np.searchsorted(total, total - self.count + min_words)  # the line that completes the run
-        self.length = np.where(end < self.first[self.rows + 1], end - np.arange(len(end)) + 1, 0)
-        later = np.where(self.number[1:] > 0, self.length[1:], 0) if len(end) else self.length  # the next line's run
-        later = np.r_[later, 0][: len(end)]
-        rest = self.first[self.rows + 1] - np.arange(len(end))
-        self.most = np.where(self.length == 0, 0, np.where(later > 0, np.maximum(self.length, later), rest))
-        self.one = lines.hashes[full]
-        self.full = full
-        self.column = column
+        self.data = lines.data
 
-    def second(self) -> np.ndarray:
-        return vec.words_of(self.column, _LINE, seed=0x11E).hashes[self.full]
+    def enough(self, min_words: int) -> np.ndarray:
+        """Lines of the shortest run from each line on that has ``min_words`` words; 0 where the text ends before."""
+        total = np.cumsum(self.count)
+        end = np.searchsorted(total, total - self.count + min_words)
+        return np.where(end < self.first[self.rows + 1], end - np.arange(len(end)) + 1, 0)
+
+    def between(self, min_words: int) -> list[list[int]]:
+        """Of each line the run lengths, no powers of two, that have enough words though one of their halves has not."""
+        n = len(self.rows)
+        enough = np.r_[self.enough(min_words), 0]
+        rest = self.first[self.rows + 1] - np.arange(n)
+        least = np.where(enough > 0, enough, np.iinfo(np.int64).max)  # lines that it takes
+        out: list[list[int]] = [[] for _ in range(n)]
+        h = 2
+        while h < min_words:
+            for length in range(h + 1, 2 * h):
+                at = np.flatnonzero((rest >= length) & (least[:n] <= length))
+                for i in at[(least[at] > h) | (least[at + length - h] > h)].tolist():
+                    out[i].append(length)
+            h *= 2
+        return out
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
 
-def _line_rows(keyed: DataFrame, min_words: int, whole: bool) -> DataFrame:
-    more = ["most"] if whole else []
-
+def _line_rows(keyed: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                x = Lines(part.column(2), min_words)
+                x = Lines(part.column(2))
                 at = pa.array(x.rows)
+                told = vec.spans_digest(x.data, x.starts, x.ends)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(x.number.astype(np.int32)), pa.array(x.length.astype(np.int32)),
-                     pa.array(x.one.view(np.int64)), pa.array(x.second().view(np.int64)), *(pa.array(x.most.astype(np.int32)) for _ in more)],
-                    ["doc", "text_hash", "place", "length", "x", "y", *more],
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(x.number.astype(np.int32)), pa.array(x.enough(min_words).astype(np.int32)),
+                     pa.array(x.between(min_words), pa.list_(pa.int32())), pa.array(told[:, 0]), pa.array(told[:, 1])],
+                    ["doc", "text_hash", "place", "enough", "between", "x", "y"],
                 )
 
-    return keyed.mapInArrow(run, "doc long, text_hash long, place int, length int, x long, y long" + "".join(f", {c} int" for c in more))
+    return keyed.mapInArrow(run, "doc long, text_hash long, place int, enough int, between array<int>, x long, y long")
+
+
+_PLACE = ["doc", "text_hash", "place"]
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc").isNull().alias("last"), *_PLACE)
+
+
+def _intervals(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, first): of the keys that occur at two places or more, the first place."""
+    found = rows.groupBy(*key).agg(F.min(_place()).alias("first"), F.max(_place()).alias("end"))
+    return found.where("first <> end").drop("end")
+
+
+def _later(rows: DataFrame, intervals: DataFrame, *key: str) -> DataFrame:
+    """The rows in intervals, with ``later``: it isn't the first place.  Both sides are plain shuffles, so a hot key's rows are split."""
+    return rows.join(intervals, [*key]).withColumn("later", _place() != F.col("first")).drop("first")
 
 
 def _ranked(rows: DataFrame) -> Stored:
-    """The rows whose (x, y) occurs twice or more, with its rank instead: ranks are in the order of (x, y)."""
-    groups = rows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-    spread = groups.repartitionByRange(partitions(rows.sparkSession), "x", "y").sortWithinPartitions("x", "y")
+    """The rows whose (x, y) occurs at two places or more, with rank and later: ranks are in the order of (x, y)."""
+    spread = _intervals(rows, "x", "y").repartitionByRange(partitions(rows.sparkSession), "x", "y").sortWithinPartitions("x", "y")
     ranks = Stored(spread.withColumn("rank", F.monotonically_increasing_id()))  # written once: a retry can't number them anew
-    kept = Stored(rows.join(ranks.df, ["x", "y"]).drop("x", "y"))
+    kept = Stored(_later(rows, ranks.df, "x", "y").drop("x", "y"))
     ranks.drop()
     return kept
 
 
-def runs(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """Runs to delete: doc, text_hash, place and length in lines that hold a word.  They may overlap."""
-    return _runs(_keyed(docs, id, text), min_words, whole)
-
-
-def _runs(keyed: DataFrame, min_words: int, whole: bool) -> DataFrame:
-    level = _ranked(_line_rows(keyed, min_words, whole))
-    own = [*KEY, "place", "length", *(["most"] if whole else [])]
-    named, h = [], 1
-    while True:
-        order = Window.partitionBy(*KEY).orderBy("place")
-        at = lambda step: F.max("rank").over(order.rangeBetween(step, step))  # noqa: E731  the rank so many lines on
-        steps = range(min(h, max(1, min_words - h + 1)))
-        if whole:
-            ends = [F.when(F.lit(h + o).between(F.col("length"), F.col("most")), F.struct(F.lit(h + o).alias("length"), at(o).alias("over"))) for o in steps]
-            seen = level.df.select(*own, "rank", at(h).alias("next"), F.array(*ends).alias("ends"))
-            each = seen.where(f"length < {2 * h} and most >= {h}").select(*KEY, "place", "rank", F.inline(F.filter("ends", lambda e: e["over"].isNotNull())))
-        else:
-            over = F.coalesce(*[F.when(F.col("length") == h + o, at(o)) for o in steps])
-            seen = level.df.select(*own, "rank", at(h).alias("next"), over.alias("over"))
-            each = seen.where(f"length between {h} and {2 * h - 1} and over is not null")
-        named.append(each.where("length > 0").select(*KEY, "place", "length", F.lit(h).alias("h"), F.col("rank").alias("a"), F.col("over").alias("b")))
-        h *= 2
-        if h > min_words:  # a line has one word at least
-            break
+def runs(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Later copies: doc, text_hash, place and length in lines that hold a word.  Those that overlap make up maximal repeated runs."""
+    return _runs(_keyed(docs, id, text), min_words)
+
+
+def _runs(keyed: DataFrame, min_words: int) -> DataFrame:
+    level = _ranked(_line_rows(keyed, min_words))
+    order = Window.partitionBy(*KEY).orderBy("place")
+    found, h = [], 1
+    while not level.df.isEmpty():
+        found.append(level.df.where(F.col("later") & F.col("enough").between(1, h)).select(*_PLACE, F.lit(h).alias("length")))
+        # The rank so many lines on; equal rows agree.
+        at = lambda step: F.max("rank").over(order.rangeBetween(step, step))
+        steps = [F.when(F.array_contains("between", h + o), F.struct(F.lit(h + o).alias("length"), at(o).alias("over"))) for o in range(1, h)] if h < min_words else []
+        seen = level.df.select(*_PLACE, "enough", "between", "rank", at(h).alias("next"), *([F.array(*steps).alias("runs")] if steps else []))
+        if steps:
+            own = seen.select(*_PLACE, "rank", F.inline(F.filter("runs", lambda r: r["over"].isNotNull())))
+            named = Stored(own).df
+            both = Stored(_intervals(named, "rank", "over", "length")).df
+            found.append(_later(named, both, "rank", "over", "length").where("later").select(*_PLACE, "length"))
         # Places whose next h lines, or themselves, occur once can't be equal to another: they are gone already.
-        pairs = seen.where("next is not null").select(*own, F.col("rank").alias("x"), F.col("next").alias("y"))
-        level = _ranked(pairs)
-    every = named[0]
-    for more in named[1:]:
+        level = _ranked(seen.where("next is not null").select(*_PLACE, "enough", "between", F.col("rank").alias("x"), F.col("next").alias("y")))
+        h *= 2
+    every = found[0] if found else level.df.select(*_PLACE, F.lit(0).alias("length")).limit(0)
+    for more in found[1:]:
         every = every.union(more)
-    name = ["h", "length", "a", "b"]
-    place = F.struct(F.col("doc").isNull().alias("last"), "doc", "text_hash", "place")
-    first = every.groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return every.join(first, name).where(place != F.col("first")).select(*KEY, "place", "length")
+    return every
 
 
 FIELDS = [field("n_lines", T.LongType()), field("n_removed", T.LongType()), field("kept", T.StringType()), field("kept_sha256", T.StringType())]
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with n_lines, n_removed (of lines that hold a word), kept (the text without the deleted lines) and its kept_sha256.
 
     Columns of these names are replaced.
     """
-    spans = _runs(_keyed(docs, id, text), min_words, whole).groupBy(*KEY).agg(F.collect_list(F.struct("place", "length")).alias("spans"))
+    longest = _runs(_keyed(docs, id, text), min_words).groupBy(*_PLACE).agg(F.max("length").alias("length"))
+    spans = longest.groupBy(*KEY).agg(F.collect_list(F.struct("place", "length")).alias("spans"))
     spans = spans.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans.place").alias("_starts"), F.col("spans.length").alias("_lengths"))
     own = [c for c in docs.columns if c not in {f.name for f in FIELDS}]
     same = docs[id].cast("long").eqNullSafe(spans["_doc"]) & (F.xxhash64(docs[text]) == spans["_hash"])
@@ -159,7 +177,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: in
     def make():
         def work(part: pa.RecordBatch) -> list:
             column, starts, lengths = (part.column(part.schema.get_field_index(n)) for n in (text, "_starts", "_lengths"))
-            x = Lines(column, min_words)
+            x = Lines(column)
             data, offsets = vec.flat(column)
             raw, out = data.tobytes(), ([], [], [], [])
             for i in range(len(column)):
@@ -193,6 +211,6 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents without later copies of maximal repeated runs, with their own columns; a document that loses all its lines goes."""
     names = {f.name for f in FIELDS}
     spare = {c: f"_kept_{c}" for c in docs.columns if c in names}
-    done = dedup(docs.withColumnsRenamed(spare), whole=True).where("n_removed = 0 or n_removed < n_lines")
+    done = dedup(docs.withColumnsRenamed(spare)).where("n_removed = 0 or n_removed < n_lines")
     made = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return done.select(*[(made[c] if c in made else F.col(spare.get(c, c))).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

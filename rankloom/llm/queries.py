@@ -19,7 +19,7 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
-#: Each line's run is its shortest of MIN_WORDS words; all places of a run but the first lose it.
+#: All runs of MIN_WORDS words or more, of any length: all places of a run but the first lose it.
 OP1_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
 every AS (SELECT r, doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS i FROM docs),
@@ -27,12 +27,11 @@ sized AS (SELECT *, len(regexp_extract_all(line, '[^ \x09-\x0D]+')) AS w FROM ev
 full_lines AS (
   SELECT r, doc_id, i, line, w, row_number() OVER o AS p, sum(w) OVER o AS upto
   FROM sized WHERE w > 0 WINDOW o AS (PARTITION BY r ORDER BY i)),
-ends AS (
-  SELECT a.r, a.doc_id, a.p, min(b.p) AS e
-  FROM full_lines a JOIN full_lines b ON a.r = b.r AND b.p >= a.p AND b.p < a.p + {lines.MIN_WORDS}
-  WHERE b.upto - a.upto + a.w >= {lines.MIN_WORDS} GROUP BY ALL),
 texts AS (SELECT r, list(line ORDER BY p) AS l FROM full_lines GROUP BY r),
-named AS (SELECT r, doc_id, p, e, array_to_string(l[p:e], chr(10)) AS run FROM ends JOIN texts USING (r)),
+named AS (
+  SELECT a.r, a.doc_id, a.p, b.p AS e, md5(array_to_string(l[a.p:b.p], chr(10))) AS run
+  FROM full_lines a JOIN full_lines b ON a.r = b.r AND b.p >= a.p JOIN texts ON texts.r = a.r
+  WHERE b.upto - a.upto + a.w >= {lines.MIN_WORDS}),
 later AS (SELECT r, p, e FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS k FROM named) WHERE k > 1),
 gone AS (SELECT DISTINCT r, unnest(range(p, e + 1)) AS p FROM later),
 marked AS (
