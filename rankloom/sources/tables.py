@@ -9,17 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is not set, as in tests, a folder of our own."""
+    """spark.checkpoint.dir.  Where it is not set, a folder of this machine, but only if all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("executors need a shared folder: set spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; ``clear`` deletes it."""
+    return f"{shared_dir(spark).rstrip('/')}/rankloom-{spark.sparkContext.applicationId}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written.  Frames read from them can't be used afterwards."""
+    drop_path(spark, own_dir(spark))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows written as Parquet and read back: lineage ends there, and what was not deterministic is settled."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
