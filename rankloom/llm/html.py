@@ -13,13 +13,16 @@ references are decoded, white space inside a block (``<br>`` too) becomes one sp
 the article's blocks are joined by a line feed.
 
 Nulls and pages without article: the empty text.  Unclosed, misnested and cut-off markup is
-read as far as it goes.  Equal pages give equal texts.
+read as far as it goes; one look at each character, so a page's time and memory grow with its
+length.  Equal pages, and repeated rows, give equal texts; there are no ties.  An empty table
+gives an empty result, and columns named as those added are replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +36,8 @@ from .frames import add_columns, field
 
 #: Hash buckets and widths of path and word vectors; width of each direction's state.
 BUCKETS, PATH, WORD, STATE = 2048, 24, 8, 24
+#: Blocks, with padding, that are labelled together.
+CELLS = 1 << 14
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 BLOCKS = frozenset(
@@ -46,26 +51,18 @@ ENDS = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
     "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "body": ("head title", ()),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>|<[/!?a-zA-Z][^<>]*\Z|([^<]+|<)",
-    re.S | re.I,
-)
+#: A tag; quoted values may hold its end.  Possessive, so a tag that never ends is given up after one look.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+OTHER = re.compile(r"<[!?/][^>]*+>")
+#: Elements whose content is no markup, and their ends.
+RAW_ENDS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in ("script", "style", "iframe")}
 #: Elements whose content is skipped if they end.
 UNSEEN = frozenset("template svg object audio video".split())
-UNSEEN_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)(template|svg|object|audio|video)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
-    re.S | re.I,
-)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def hidden(attributes: str) -> bool:
-    return "hidden" in attributes
-
-
 class Block:
     __slots__ = ("text", "path", "linked")
 
@@ -89,25 +86,69 @@ def marks(tag: str, attributes: str) -> tuple[str, ...]:
     return _marks[key]
 
 
-def unseen(page: str) -> dict[int, int]:
+def tokens(page: str) -> list[tuple[str | None, str, str, str]]:
+    """(text, closing, tag, attributes): stretches of text (tag empty) and tags (text None) in order.
+
+    The time grows with the page's length: where a tag's quotes run to the end of the page without its end, quotes
+    are no longer heeded on that page.
+    """
+    out: list[tuple[str | None, str, str, str]] = []
+    here, last, quotes = 0, page.rfind(">"), True
+    while 0 <= (at := page.find("<", here)) < last:
+        if at > here:
+            out.append((page[here:at], "", "", ""))
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            if end < 0:
+                return out
+            here = end + 3
+            continue
+        m = TAG.match(page, at) if quotes else None
+        if not m and (m := PLAIN_TAG.match(page, at)):
+            quotes = False
+        if m:
+            tag, here = m.group(2).lower(), m.end()
+            if tag in RAW_ENDS and not m.group(1):
+                if not (end_tag := RAW_ENDS[tag].search(page, here)):
+                    return out
+                here = end_tag.end()
+            else:
+                out.append((None, m.group(1), tag, m.group(3)))
+        elif m := OTHER.match(page, at):
+            here = m.end()
+        else:
+            out.append(("<", "", "", ""))
+            here = at + 1
+    rest = page[here:].split("<!--", 1)[0]  # nothing ends any more
+    cut = rest.rfind("<")
+    if cut >= 0 and re.match(r"[/!?a-zA-Z]", rest[cut + 1 : cut + 2]):
+        rest = rest[:cut]
+    return [*out, (rest, "", "", "")] if rest else out
+
+
+def unseen(found: list[tuple[str | None, str, str, str]]) -> dict[int, int]:
     """Where each element of UNSEEN that ends starts, and its end; start and end tags of a name pair up from the inside."""
     ends: dict[int, int] = {}
     starts: dict[str, list[int]] = {}
-    for m in UNSEEN_TAG.finditer(page):
-        name = (m.group(3) or "").lower()
-        if not name:
+    for i, (_, closing, tag, attributes) in enumerate(found):
+        if tag not in UNSEEN:
             continue
-        if not m.group(2):
-            if name != "svg" or not m.group(4).endswith("/"):  # only foreign elements can be self-closed
-                starts.setdefault(name, []).append(m.start())
-        elif starts.get(name):
-            ends[starts[name].pop()] = m.end()
+        if not closing:
+            if tag != "svg" or not attributes.endswith("/"):  # only foreign elements can be self-closed
+                starts.setdefault(tag, []).append(i)
+        elif starts.get(tag):
+            ends[starts[tag].pop()] = i
     return ends
 
 
+#: Elements around a block that the labeller reads, from the inside.
+DEEPEST = 64
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()  # the tags of the stack
     parts: list[str] = []
     linked = in_link = 0
 
@@ -116,35 +157,39 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(m for _, ms in stack for m in ms), min(linked, len(text))))
+                out.append(Block(text, tuple(m for _, ms in stack[-DEEPEST:] for m in ms), min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def cut(at: int) -> None:
+        for tag, _ in stack[at:]:
+            opened[tag] -= 1
+        del stack[at:]
+
     def close(names: str, until: tuple[str, ...]) -> None:
+        kinds = names.split()
+        if not any(opened[k] > 0 for k in kinds):
+            return
         for at in range(len(stack) - 1, -1, -1):
             if stack[at][0] in until:
                 return
-            if stack[at][0] in names.split():
-                del stack[at:]
-                return
+            if stack[at][0] in kinds:
+                return cut(at)
 
+    found = tokens(page)
     ends: dict[int, int] | None = None
-    here = 0
-    while m := TOKEN.search(page, here):
-        here = m.end()
-        text = m.group(5)
+    here = -1
+    for i, (text, closing, tag, attributes) in enumerate(found):
+        if i <= here:
+            continue
         if text is not None:
             parts.append(text)
             if in_link:
                 linked += len(text)
             continue
-        tag = m.group(3)
-        if tag is None:
-            continue
-        tag, closing = tag.lower(), m.group(2)
         if tag in UNSEEN and not closing:
-            ends = unseen(page) if ends is None else ends
-            here = ends.get(m.start(), here)
+            ends = unseen(found) if ends is None else ends
+            here = ends.get(i, here)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -154,19 +199,17 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             if closing:
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == tag or (tag in HEADINGS and stack[at][0] in HEADINGS):  # any heading's end ends a heading
-                        del stack[at:]
-                        break
+                close(" ".join(HEADINGS) if tag in HEADINGS else tag, ())  # any heading's end ends a heading
             else:
                 if tag not in ("button", "label", "select", "option", "textarea"):
                     close("p", ("button", "td", "th", "caption"))
                 if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
-                    stack.pop()
+                    cut(len(stack) - 1)
                 if tag in ENDS:
                     close(*ENDS[tag])
-                if not m.group(4).rstrip().endswith("/"):
-                    stack.append((tag, marks(tag, m.group(4))))
+                if not attributes.rstrip().endswith("/"):
+                    stack.append((tag, marks(tag, attributes)))
+                    opened[tag] += 1
             in_link = 0
     flush()
     return out
@@ -283,10 +326,12 @@ class Labeller:
         steps, pages, _ = x.shape
         h, c = np.zeros((pages, STATE)), np.zeros((pages, STATE))
         wx, wh, bias = weights[: x.shape[2]], weights[x.shape[2] : -1], weights[-1]
-        given = x @ wx + bias
+        span, given = max(1, CELLS // pages), np.zeros((0, pages, 4 * STATE))
         out, kept = np.zeros((steps, pages, STATE)), []
         for t in range(steps):
-            z = given[t] + h @ wh
+            if t % span == 0:  # what the inputs give, so many steps at a time
+                given = x[t : t + span] @ wx + bias
+            z = given[t % span] + h @ wh
             gates = _sigmoid(z[:, : 3 * STATE])
             i, f, o = gates[:, :STATE], gates[:, STATE : 2 * STATE], gates[:, 2 * STATE :]
             g = np.tanh(z[:, 3 * STATE :])
@@ -310,12 +355,16 @@ class Labeller:
         out[time, page], mask[time, page] = x, True
         return out, mask, time * pages + page
 
-    def label(self, pages: list[list[Block]], group: int = 64) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, its blocks' probabilities of being article."""
         result = [np.zeros(0)] * len(pages)
         order = [int(i) for i in np.argsort([len(p) for p in pages], kind="stable") if pages[i]]
-        for at in range(0, len(order), group):
-            own = order[at : at + group]
+        at = 0
+        while at < len(order):
+            to = at + 1  # pages padded to the longest of them hold CELLS blocks at most, unless it is one page
+            while to < len(order) and len(pages[order[to]]) * (to + 1 - at) <= CELLS:
+                to += 1
+            own, at = order[at:to], to
             x = Inputs([pages[i] for i in own])
             flat = self.inputs(x)
             padded, mask, place = self.padded(flat, x.sizes)

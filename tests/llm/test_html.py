@@ -1,3 +1,6 @@
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -32,6 +35,22 @@ def test_unseen_elements_lose_no_text():
     assert texts("<p>a <svg><!-- <svg> --><style>no</style>no</SVG > b<template><p>no</p></template><p>c<script>no") == ["a b", "c"]
 
 
+def test_cut_off_and_deep_markup_takes_linear_time(net):
+    began = time.time()
+    assert texts("<p>one</p><a " + '"x" ' * 10_000) == ["one"]
+    assert texts("<p>one</p><a " + "\"x' " * 10_001 + "<p>two")[0] == "one"
+    assert texts('<a ">" ' * 20_000 + "<p>two</p>")[-1].endswith("two")
+    assert texts("<" * 50_000 + "p>x</p>") == ["<" * 49_999, "x"]
+    assert texts("<a" * 50_000 + "<p>") == [] and texts("<!-- " * 50_000) == []
+    assert len(texts("<div>a" * 20_000)) == 20_000
+    assert time.time() - began < 10
+    tracemalloc.start()
+    long = [html.blocks("<p>a" * 50_000)] + [html.blocks("<p>b</p>")] * 63
+    assert sum(map(len, net.label(long))) == 50_063
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
 def test_gradient(monkeypatch):
     r = np.random.default_rng(0)
     net = html.Labeller({k: r.normal(0, 0.3, s) for k, s in html.Labeller.SHAPES.items()})
