@@ -41,25 +41,28 @@ SPAN = T.ArrayType(T.StructType([field("start", T.IntegerType()), field("end", T
 FIELDS = [
     field("n_words", T.LongType()),
     field("n_hit", T.LongType()),
-    field("items", T.ArrayType(T.LongType())),
+    field("items", T.ArrayType(T.StringType())),
     field("spans", SPAN),
 ]
 
 
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> Iterator[list[tuple]]:
-    """Blocks of (word hashes, item ids), of about ``MOST_WINDOWS`` windows; one block at least."""
-    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long"), F.col(text))
+    """Blocks of (words, item ids), of ``MOST_WINDOWS`` windows at most; one block at least."""
+    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string"), F.col(text))
     found: dict[tuple, set] = {}
+    names: dict[bytes, bytes] = {}
     pending, some = rows.toLocalIterator(), False
     for chunk in iter(lambda: [r for _, r in zip(range(1000), pending)], []):
         words = vec.words_of(pa.array([r[1] for r in chunk], pa.string()), WORDS, lower=True)
         for i, r in enumerate(chunk):
-            own = words.hashes[words.first[i] : words.first[i + 1]].tolist()
+            spans = slice(words.first[i], words.first[i + 1])
+            own = [words.data[s:e].tobytes() for s, e in zip(words.starts[spans].tolist(), words.ends[spans].tolist())]
+            own = [names.setdefault(w, w) for w in own]
             for at in range(max(1, len(own) - size + 1) if own else 0):
-                found.setdefault(tuple(own[at : at + size]), set()).add(int(r[0]))
-            if len(found) >= MOST_WINDOWS:
-                yield [(k, tuple(v)) for k, v in found.items()]
-                found, some = {}, True
+                found.setdefault(tuple(own[at : at + size]), set()).add(r[0])
+                if len(found) >= MOST_WINDOWS:
+                    yield [(k, tuple(v)) for k, v in found.items()]
+                    found, names, some = {}, {}, True
     if found or not some:
         yield [(k, tuple(v)) for k, v in found.items()]
 
@@ -68,11 +71,17 @@ class Scanner:
     """The automaton of one block."""
 
     def __init__(self, patterns: list[tuple]):
-        self.vocabulary = np.unique(np.array([h for p, _ in patterns for h in p], dtype=np.uint64))
-        number = {int(h): i + 1 for i, h in enumerate(self.vocabulary)}
+        every = sorted({w for p, _ in patterns for w in p})
+        self.data = np.frombuffer(b"".join(every), np.uint8)
+        ends = np.cumsum([len(w) for w in every], dtype=np.int64)
+        starts = ends - np.array([len(w) for w in every], dtype=np.int64)
+        hashes = vec.spans_hash(self.data, starts, ends)
+        order = np.argsort(hashes)
+        self.vocabulary, self.starts, self.ends = hashes[order], starts[order], ends[order]
+        number = {every[k]: i + 1 for i, k in enumerate(order.tolist())}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for p, items in patterns:
-            self.automaton.add_word(tuple(number[h] for h in p), (len(p), items))
+            self.automaton.add_word(tuple(number[w] for w in p), (len(p), items))
         if patterns:
             self.automaton.make_automaton()
         self.shortest = min((len(p) for p, _ in patterns), default=0)
@@ -87,19 +96,32 @@ class Scanner:
         at[at == len(self.vocabulary)] = 0
         numbers = np.where(self.vocabulary[at] == words.hashes, at + 1, 0)
         rows = words.row_of()
-        # A match lies in a stretch of known words of one row; stretches shorter than any window can't hold one.
-        known = np.flatnonzero(numbers)
-        if not len(known):
+        begins, lengths = self._stretches(numbers, rows)
+        if not len(begins):
             return hit, found
-        breaks = np.flatnonzero((np.diff(known) != 1) | (np.diff(rows[known]) != 0)) + 1
-        begins, lengths = known[np.r_[0, breaks]], np.diff(np.r_[0, breaks, len(known)])
-        long = lengths >= self.shortest
-        for s, n in zip(begins[long].tolist(), lengths[long].tolist()):
+        # What may be part of a match is compared byte by byte.
+        some = np.repeat(begins, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        k = at[some]
+        same = vec.same_spans(words.data, words.starts[some], words.ends[some], self.data, self.starts[k], self.ends[k])
+        if not same.all():
+            numbers[some[~same]] = 0
+            begins, lengths = self._stretches(numbers, rows)
+        for s, n in zip(begins.tolist(), lengths.tolist()):
             for end, (length, items) in self.automaton.iter(tuple(numbers[s : s + n].tolist())):
                 hit[s + end - length + 1 : s + end + 1] = True
                 found.setdefault(int(rows[s]), set()).update(items)
         return hit, found
 
+    def _stretches(self, numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and lengths of stretches of known words of one row: a match lies in one that is as long as the shortest window."""
+        known = np.flatnonzero(numbers)
+        if not len(known):
+            return known, known
+        breaks = np.flatnonzero((np.diff(known) != 1) | (np.diff(rows[known]) != 0)) + 1
+        begins, lengths = known[np.r_[0, breaks]], np.diff(np.r_[0, breaks, len(known)])
+        long = lengths >= self.shortest
+        return begins[long], lengths[long]
+
 
 _scanners: dict[str, Scanner] = {}
 
@@ -158,7 +180,7 @@ def _scanned(docs: DataFrame, patterns: list[tuple], text: str, again: bool) ->
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted ids) and spans of hit words; columns of these names are replaced."""
+    """``docs`` with n_words, n_hit, items (ids as text, sorted) and spans of hit words; columns of these names are replaced."""
     found = None
     for patterns in windows(benchmark, size=size):
         found = _scanned(docs, patterns, text, False) if found is None else _scanned(Stored(found).df, patterns, text, True)
@@ -170,7 +192,7 @@ def contaminated() -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    items = F.array_join(F.array_sort("items"), ",")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(items, 256).alias("items_sha256"), contaminated().alias("contaminated"),

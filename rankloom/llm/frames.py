@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from rankloom.sources.tables import drop_path, own_dir
+
 from . import vec
 
 
@@ -25,30 +26,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is named, as in tests, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 class Stored:
     """A frame written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+        self.path = f"{own_dir(self.spark)}/table-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

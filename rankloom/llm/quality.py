@@ -7,8 +7,10 @@ all rows.  A tree is a heap-ordered row of two arrays (feature, threshold), so a
 a slice descend together, one numpy step for each level.
 
 Nulls: a null text counts as empty; empty texts get a score too.  Labels that are null are
-left out, several labels of a document are averaged.  With labels of one kind or none the
-score is their smoothed share.  Equal texts get equal scores.
+left out, several labels of a document are averaged; of several texts with one id the one with the
+least statistics is learnt from.  With labels of one kind or none the score is their smoothed share.
+Equal texts get equal scores; a tie, 0.5, counts as good.  A text of any length is read whole.  An
+empty table gives an empty result, and columns named as those added are replaced.
 """
 
 from __future__ import annotations
@@ -176,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = SA
         return lambda part: [pa.array(list(statistics(part.column(part.schema.get_field_index(text)))), pa.list_(pa.float64()))]
 
     rows = add_columns(chosen, make, [field("_x", T.ArrayType(T.DoubleType()))], text, keep=["doc_id", "_mark"])
-    got = rows.toPandas().sort_values("doc_id")
+    one = rows.groupBy("doc_id", "_mark").agg(F.min("_x").alias("_x"))  # of rows with the same id one, so ``most`` rows at most
+    got = one.toPandas().sort_values("doc_id")
     x = np.array(got["_x"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES))
     return fit(x, got["_mark"].to_numpy(np.float64))
 

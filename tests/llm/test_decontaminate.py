@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from rankloom.llm import decontaminate
@@ -75,3 +76,17 @@ def test_edges(spark, edge_docs, no_docs, edge_texts):
     assert kept.columns == edge_docs.columns and {x.doc_id for x in kept.collect()} == {1, 2, 3, 4, 7, 8, 10}
     assert decontaminate.clean(edge_docs, items.limit(0)).count() == len(edge_texts)
     assert decontaminate.find(no_docs, items).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    items = spark.createDataFrame([("q-1", "alpha beta"), ("q-10", "Beta GAMMA"), ("p", "delta")], "item_id string, text string")
+    docs = spark.createDataFrame([(0, "alpha beta gamma"), (1, None)], "doc_id long, text string")
+    got = {x.doc_id: x["items"] for x in decontaminate.find(docs, items).collect()}
+    assert got == {0: ["q-1", "q-10"], 1: []}
+
+
+def test_words_of_equal_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate.vec, "spans_hash", lambda data, s, e, seed=0: (e - s).astype("uint64"))
+    scanner = decontaminate.Scanner([((b"ab", b"c"), ("0",))])
+    words = decontaminate.vec.words_of(pa.array(["ab c", "xy c", "ab d"]))
+    assert list(scanner.scan(words)[1]) == [0]
