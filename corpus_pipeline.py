@@ -3,6 +3,12 @@
 A stage takes (spark, docs, sf_dir) and returns a frame; what it returns is written as
 Parquet and read again as the next one's documents.  All but the last return the columns of
 ``documents``.
+
+Nulls and empty texts pass all stages: the classifier scores them as empty texts, they have no
+lines, are near copies of nothing, hit nothing, and have no pieces.  Rows equal in id and text
+are one document to the line and near-duplicate stages, and one of them stays.  Extra columns
+are kept whatever their names.  Empty tables give empty results; without labels every document
+scores one half and stays.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontaminate, jaccard, lines, pieces, quality
-from rankloom.llm.frames import shared_dir, table
+from rankloom.llm.frames import own_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}-{name}"
+        path = f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
