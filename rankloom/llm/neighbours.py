@@ -4,27 +4,35 @@ Vectors with the same components form one class with a multiplicity; classes are
 
 1. Seeds.  In each of several random-hyperplane trees, rows are sorted by cell and by a
    projection inside the cell, and each is compared with the few rows before it.  Sorting is
-   by range, so a large cell is split over tasks.
+   by range, so a large cell is split over tasks.  Rows carry a byte a component: seeds only
+   say what to compare first.
 2. Descent.  Each round joins neighbours of neighbours: the vectors around a node meet in one
-   row, and pairs that are closer than what they have join each other's lists.  A list keeps
-   its K best, and links beyond K in ever longer lists while links saturate it.
-3. Components of the links; inside a component all links are counted exactly, in blocks of a
-   bounded size, and no pair is written.
-4. Audit.  A bounded sample of rows is compared with all rows, in blocks; while the share of
-   their links that lie inside a component is below the target, another set of trees follows.
-   What a list had to drop still ties components: the links of all rounds and sets count.
-5. If the last audit misses any link, all rows are compared with all rows, in blocks, and
-   what links two components joins them.  That is quadratic work, but no pair is written.
-
-All cosines are in double precision.
+   row, and pairs that are closer than what they have join each other's lists.  A list keeps its
+   K best; while links saturate it, it is enlarged to twice the length.  What a list has no
+   room for is not lost: the links among the vectors that meet are followed, and those that tie
+   two of them together are kept whatever the lists hold.  Rounds go on while they tie
+   components together or enlarge lists that found more links, ``ROUNDS`` at least.
+3. Bridges.  Tight groups see only themselves in their lists.  The members of components lie in
+   blocks with a centre and a radius; two blocks are compared whole if their centres are near
+   enough for any link.  So all links between components of several classes are found.
+4. Inside a component all links are counted exactly, in blocks of a bounded size, and no pair
+   is written.
+5. Audit.  A sample of rows is compared with all rows, in blocks.  It is enlarged until it has
+   ``ENOUGH`` links, is the whole table, or is ``LARGEST`` rows; without any link the recall is
+   unmeasured, not perfect.  If a link lies in no component, all blocks that could hold a link
+   are compared, single rows too: quadratic work at worst, but no pair is written.
+
+All cosines that decide are in double precision.
 
 Nulls: a vector that is null, empty, zero or holds null or non-finite components links with
 nothing; vectors of different lengths don't link.  A row without id takes part, and a
-component's id is the least id in it.  Equal rows link with each other.
+component's id is the least id in it.  Equal rows link with each other; equal cosines are
+ordered by class.  Other columns are left out.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,10 +45,12 @@ from .frames import Stored, partitions
 from .graph import components
 
 THRESHOLD = 0.9
-#: Length of a neighbour list, trees of a set, rows compared in a tree, rounds of descent, rows that meet in a block.
-NEIGHBOURS, TREES, NEAR, ROUNDS, BLOCK = 10, 24, 32, 3, 1024
-#: Rows of the audit at most, its target, and the sets of trees tried.
-AUDIT, TARGET, SETS = 1000, 0.999, 3
+#: Length of a neighbour list, trees, rows compared in a tree, rounds of descent at least, rows that meet in a block.
+NEIGHBOURS, TREES, NEAR, ROUNDS, BLOCK = 10, 16, 32, 2, 1024
+#: Rows of an audit at first and at most, and the links that it should see.
+AUDIT, LARGEST, ENOUGH = 1000, 16_000, 200
+#: Rows of a block that are multiplied at a time.
+STRIP = 256
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -75,8 +85,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
 
 
+def _coarse(m: np.ndarray) -> np.ndarray:
+    """A byte for each component."""
+    top = np.maximum(np.abs(m).max(1, keepdims=True), 1e-300)
+    return np.rint(m / top * 127).astype(np.int8)
+
+
+def _finer(raw: list[bytes]) -> np.ndarray:
+    """Unit vectors, about, of what ``_coarse`` has left."""
+    m = np.frombuffer(b"".join(raw), dtype=np.int8).reshape(len(raw), -1).astype(np.float32)
+    return m / np.sqrt(np.maximum((m * m).sum(1, keepdims=True), 1e-30))
+
+
 def _seeds(classes: DataFrame, count: int, trees: int, seed: int) -> DataFrame:
-    """Directed (a, b, s): the best of the rows near each row in each tree."""
+    """Directed (a, b, s): the best of the rows near each row in each tree, by cosines that are about right."""
     bits = max(1, int(np.ceil(np.log2(max(2, count / NEAR)))))
 
     def planes(width: int, tree: int) -> np.ndarray:
@@ -88,11 +110,12 @@ def _seeds(classes: DataFrame, count: int, trees: int, seed: int) -> DataFrame:
             for size in np.unique(sizes):
                 own = batch.filter(pa.array(sizes == size))
                 m = _matrix(own.column(1))
+                q = pa.array([x.tobytes() for x in _coarse(m)], pa.binary())
                 for tree in range(trees):
                     p = m @ planes(m.shape[1], tree)
                     cell = ((p[:, :bits] > 0) << np.arange(bits)).sum(1).astype(np.int64)
-                    arrays = [pa.array(np.full(len(m), tree, np.int32)), pa.array(cell), pa.array(p[:, bits]), *own.columns]
-                    yield pa.RecordBatch.from_arrays(arrays, ["tree", "cell", "place", "c", "v"])
+                    arrays = [pa.array(np.full(len(m), tree, np.int32)), pa.array(cell), pa.array(p[:, bits]), own.column(0), q]
+                    yield pa.RecordBatch.from_arrays(arrays, ["tree", "cell", "place", "c", "q"])
 
     def near(batches):
         last: list[tuple[int, int, bytes]] = []
@@ -106,11 +129,11 @@ def _seeds(classes: DataFrame, count: int, trees: int, seed: int) -> DataFrame:
                     end = start
                     while end < len(rows) and rows[end][0] == rows[start][0] and len(rows[end][2]) == len(rows[start][2]):
                         end += 1
-                    m = np.frombuffer(b"".join(r[2] for r in rows[start:end]), dtype=np.float64).reshape(end - start, -1)
+                    m = _finer([r[2] for r in rows[start:end]])
                     ids = np.array([r[1] for r in rows[start:end]], dtype=np.int64)
                     for step in range(1, min(NEAR, end - start - 1) + 1):
                         keep = np.arange(step, end - start) + start >= old
-                        sims = np.einsum("ij,ij->i", m[step:], m[:-step])
+                        sims = np.einsum("ij,ij->i", m[step:], m[:-step]).astype(np.float64)
                         a.append(ids[step:][keep])
                         b.append(ids[:-step][keep])
                         s.append(sims[keep])
@@ -125,20 +148,45 @@ def _seeds(classes: DataFrame, count: int, trees: int, seed: int) -> DataFrame:
                 good = (rank < 3) | ((z >= THRESHOLD) & (rank < NEIGHBOURS))
                 yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good]), pa.array(z[good])], ["a", "b", "s"])
 
-    dealt = classes.select("c", "v").mapInArrow(deal, "tree int, cell long, place double, c long, v binary")
+    dealt = classes.select("c", "v").mapInArrow(deal, "tree int, cell long, place double, c long, q binary")
     dealt = dealt.repartitionByRange(partitions(classes.sparkSession), "tree", "cell", "place").sortWithinPartitions("tree", "cell", "place")
-    return dealt.select("tree", "c", "v").mapInArrow(near, "a long, b long, s double")
+    return dealt.select("tree", "c", "q").mapInArrow(near, "a long, b long, s double")
 
 
 def _best(edges: DataFrame, most: int) -> DataFrame:
-    """Each list's best K, and its links up to ``most``."""
+    """Each list's best K; of a list whose best K all are links, links up to ``most``."""
     once = edges.where("a <> b").groupBy("a", "b").agg(F.max("s").alias("s"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b")))
     return ranked.where((F.col("rank") <= NEIGHBOURS) | ((F.col("rank") <= most) & (F.col("s") >= THRESHOLD))).drop("rank")
 
 
+def _ties(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of links that are enough to connect all that the links of the square or oblong matrix connect.
+
+    Rows and columns have labels of their own; the least ones spread over the links, and what changes one is a tie.
+    """
+    rows, columns = near.shape
+    low, far = np.arange(rows, dtype=np.int64), np.arange(rows, rows + columns, dtype=np.int64)
+    none, out_i, out_j = np.iinfo(np.int64).max, [], []
+    while True:
+        best = np.where(near, low[:, None], none)
+        at, value = best.argmin(0), best.min(0)
+        move = np.flatnonzero(value < far)
+        out_i.append(at[move])
+        out_j.append(move)
+        far[move] = value[move]
+        best = np.where(near, far[None, :], none)
+        at, value = best.argmin(1), best.min(1)
+        back = np.flatnonzero(value < low)
+        out_i.append(back)
+        out_j.append(at[back])
+        low[back] = value[back]
+        if not len(move) and not len(back):
+            return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def _joined(graph: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Neighbours of neighbours: directed (a, b, s) of rows that meet around a node."""
+    """Neighbours of neighbours: directed (a, b, s) of rows that meet around a node, the best of each and what ties them together."""
 
     def run(batches):
         for batch in batches:
@@ -154,6 +202,8 @@ def _joined(graph: DataFrame, classes: DataFrame, most: int) -> DataFrame:
                 i = np.repeat(np.arange(len(ids)), best.shape[1])
                 j = best.ravel()
                 good = s[i, j] > -2
+                tie_i, tie_j = _ties(s >= THRESHOLD)
+                i, j, good = np.r_[i, tie_i], np.r_[j, tie_j], np.r_[good, np.ones(len(tie_i), bool)]
                 out_a.append(ids[i[good]])
                 out_b.append(ids[j[good]])
                 out_s.append(s[i[good], j[good]])
@@ -184,10 +234,12 @@ def _counts(members: DataFrame) -> DataFrame:
                         continue
                     a = np.frombuffer(b"".join(mine[k]["v"] for k in i)).reshape(len(i), -1)
                     b = np.frombuffer(b"".join(other[k]["v"] for k in j)).reshape(len(j), -1)
-                    near = a @ b.T >= THRESHOLD
                     ids_a, ids_b = (np.array([own[k]["c"] for k in at]) for own, at in ((mine, i), (other, j)))
-                    near |= ids_a[:, None] == ids_b[None, :]
-                    links[i] = near @ np.array([other[k]["n"] for k in j])
+                    n = np.array([other[k]["n"] for k in j])
+                    for at in range(0, len(i), STRIP):
+                        near = a[at : at + STRIP] @ b.T >= THRESHOLD
+                        near |= ids_a[at : at + STRIP, None] == ids_b[None, :]
+                        links[i[at : at + STRIP]] = near @ n
                 yield pa.RecordBatch.from_arrays([pa.array([x["c"] for x in mine], pa.int64()), pa.array(links)], ["c", "links"])
 
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -199,64 +251,130 @@ def _counts(members: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
 
 
-def _across(rooted: DataFrame) -> DataFrame:
-    """Of rows (c, v, root): enough linked pairs (a, b) to connect all that is linked across components."""
+#: A block's centre lies within the angle of ``slack`` of what it stands for, for rounding.
+SLACK = 1e-6
 
-    def run(batches):
+
+def _placed(rooted: DataFrame, count: int) -> DataFrame:
+    """Blocks (block, width, rows, centre, radius) of about ``BLOCK`` rows (c, v, root): rows of a component, or of a direction, lie together.
+
+    A component is cut by a projection of its rows; those alone in theirs are put together by the same.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            sizes = np.array([len(x) for x in batch.column(1).to_pylist()])
+            for size in np.unique(sizes):
+                own = batch.filter(pa.array(sizes == size))
+                m = _matrix(own.column(1))
+                p = m @ np.random.default_rng([5, m.shape[1]]).normal(size=(m.shape[1], 17))
+                cell = ((p[:, :16] > 0) << np.arange(16)).sum(1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(m), int(size), np.int32)), pa.array(cell), pa.array(p[:, 16])], ["c", "v", "root", "alone", "width", "cell", "place"])
+
+    dealt = rooted.select("c", "v", "root", "alone").mapInArrow(deal, "c long, v binary, root long, alone boolean, width int, cell long, place double")
+    group = F.when(F.col("alone"), F.col("cell")).otherwise(F.col("root"))
+    parts = max(1, min(partitions(rooted.sparkSession), -(-count // BLOCK)))
+    order = ["width", "alone", "group", "place", "c"]
+    lined = dealt.withColumn("group", group).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def block(batches):
+        from pyspark import TaskContext
+
+        number, pending, key = TaskContext.get().partitionId() << 32, [], None
+
+        def made(rows):
+            m = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.float64).reshape(len(rows), -1)
+            centre = m.sum(0)
+            size = np.sqrt((centre * centre).sum())
+            centre = centre / size if size > 1e-9 else m[0]
+            radius = float(np.arccos(np.clip((m @ centre).min(), -1, 1)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([m.shape[1]], pa.int32()), pa.array([[{"c": r[0], "root": r[2], "v": r[1]} for r in rows]], ROWS),
+                 pa.array([centre.tobytes()], pa.binary()), pa.array([radius])],
+                ["block", "width", "rows", "centre", "radius"],
+            )
+
+        for batch in batches:
+            for r in zip(*(batch.column(n).to_pylist() for n in ("c", "v", "root", "alone", "width", "group"))):
+                now = (r[4], r[3], None if r[3] else r[5])  # single rows share blocks, components don't
+                if pending and (now != key or len(pending) >= BLOCK):
+                    yield made(pending)
+                    number, pending = number + 1, []
+                key = now
+                pending.append(r)
+        if pending:
+            yield made(pending)
+
+    return lined.mapInArrow(block, "block long, width int, rows array<struct<c:bigint,root:bigint,v:binary>>, centre binary, radius double")
+
+
+ROWS = pa.list_(pa.struct([("c", pa.int64()), ("root", pa.int64()), ("v", pa.binary())]))
+
+
+def _across(rooted: DataFrame, count: int) -> DataFrame:
+    """Of rows (c, v, root, alone): enough linked pairs (a, b) to connect all that is linked across components.
+
+    Two blocks can hold a link only if the angle between their centres is at most their radii and the threshold's angle together.
+    """
+    angle = math.acos(THRESHOLD) + SLACK
+
+    def pairs(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one, two = (batch.column(k)[i].values for k in (0, 1))
-                (ca, ra, va), (cb, rb, vb) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), x.field(2)) for x in (one, two))
-                sizes_a, sizes_b = (np.array([len(v) for v in x.to_pylist()]) for x in (va, vb))
+                (ba, ca, ra), (bb, cb, rb) = ((x.field(0).to_numpy(), _matrix(x.field(1)), x.field(2).to_numpy()) for x in (one, two))
+                for at in range(0, len(ba), STRIP):
+                    apart = np.arccos(np.clip(ca[at : at + STRIP] @ cb.T, -1, 1))
+                    x, y = np.nonzero((apart <= ra[at : at + STRIP, None] + rb[None, :] + angle) & (ba[at : at + STRIP, None] <= bb[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ba[at + x]), pa.array(bb[y])], ["one", "two"])
+
+    def compared(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ca, ra, va), (cb, rb, vb) = ((x.field(0).to_numpy(), x.field(1).to_numpy(), _matrix(x.field(2))) for x in (batch.column(k)[i].values for k in (0, 1)))
                 out_a, out_b = [ca[:0]], [cb[:0]]
-                for size in np.intersect1d(sizes_a, sizes_b):
-                    own, other = np.flatnonzero(sizes_a == size), np.flatnonzero(sizes_b == size)
-                    near = _matrix(va.take(pa.array(own))) @ _matrix(vb.take(pa.array(other))).T >= THRESHOLD
-                    low_a, low_b = ra[own].copy(), rb[other].copy()
-                    while True:  # least labels spread over the links; what changes a label is an edge
-                        far = np.where(near, low_b[None, :], np.iinfo(np.int64).max)
-                        at, low = far.argmin(1), far.min(1)
-                        move = np.flatnonzero(low < low_a)
-                        out_a.append(ca[own[move]])
-                        out_b.append(cb[other[at[move]]])
-                        low_a[move] = low[move]
-                        far = np.where(near, low_a[:, None], np.iinfo(np.int64).max)
-                        at, low = far.argmin(0), far.min(0)
-                        back = np.flatnonzero(low < low_b)
-                        out_a.append(ca[own[at[back]]])
-                        out_b.append(cb[other[back]])
-                        low_b[back] = low[back]
-                        if not len(move) and not len(back):
-                            break
+                for at in range(0, len(ca), STRIP):
+                    near = (va[at : at + STRIP] @ vb.T >= THRESHOLD) & (ra[at : at + STRIP, None] != rb[None, :])
+                    if near.any():
+                        x, y = _ties(near)
+                        out_a.append(ca[at + x])
+                        out_b.append(cb[y])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_a, out_b)], ["a", "b"])
 
-    count = -(-rooted.count() // BLOCK)
-    placed = rooted.withColumn("block", F.pmod(F.xxhash64("c", F.lit(5)), F.lit(count)).cast("int"))
-    blocks = Stored(placed.groupBy("block").agg(F.collect_list(F.struct("c", "root", "v")).alias("rows"))).df
-    one = blocks.select(F.col("rows").alias("one"), F.explode(F.sequence(F.col("block"), F.lit(count - 1))).alias("block"))
-    met = one.join(blocks.withColumnRenamed("rows", "two"), "block").select("one", "two")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    blocks = Stored(_placed(rooted, count)).df
+    # The centres themselves are compared in blocks of centres.
+    n = blocks.count()
+    sets = max(1, -(-n // BLOCK))
+    centres = blocks.groupBy("width", F.pmod(F.xxhash64("block"), F.lit(sets)).cast("int").alias("set")).agg(F.collect_list(F.struct("block", "centre", "radius")).alias("rows"))
+    one = centres.select("width", F.col("rows").alias("one"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"))
+    met = one.join(centres.withColumnRenamed("rows", "two"), ["width", "set"]).select("one", "two").mapInArrow(pairs, "one long, two long")
+    first = met.join(blocks.select(F.col("block").alias("one"), F.col("rows").alias("rows1")), "one")
+    both = first.join(blocks.select(F.col("block").alias("two"), F.col("rows").alias("rows2")), "two")
+    return both.select("rows1", "rows2").mapInArrow(compared, "a long, b long").distinct()
 
 
 @dataclass
 class Audit:
-    links: int  # of the sampled rows, by comparison with all rows
+    rows: int  # that were compared with all rows
+    links: int  # of these rows
     found: int  # those inside a component
 
     @property
-    def recall(self) -> float:
-        return self.found / self.links if self.links else 1.0
+    def recall(self) -> float | None:
+        """None where no link was seen: unmeasured."""
+        return self.found / self.links if self.links else None
 
 
-def _audited(rooted: DataFrame, most: int) -> Audit:
+def _sampled(rooted: DataFrame, most: int) -> Audit:
     """rooted: (c, v, root).  The sample is broadcast: at most ``most`` vectors."""
-    sample = rooted.orderBy(F.xxhash64("c", F.lit(17)), "c").limit(most).collect()
+    sample = rooted.select("c", "v", "root").orderBy(F.xxhash64("c", F.lit(17)), "c").limit(most).collect()
     asked = [(r["c"], r["root"], np.frombuffer(r["v"])) for r in sample]
+    sent = rooted.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches):
         sets = {}
-        for width in {len(v) for _, _, v in asked}:
-            own = [(c, r, v) for c, r, v in asked if len(v) == width]
+        for width in {len(v) for _, _, v in sent.value}:
+            own = [(c, r, v) for c, r, v in sent.value if len(v) == width]
             sets[width * 8] = (np.array([c for c, _, _ in own]), np.array([r for _, r, _ in own]), np.stack([v for _, _, v in own]))
         links = found = 0
         for batch in batches:
@@ -264,66 +382,90 @@ def _audited(rooted: DataFrame, most: int) -> Audit:
             for size in np.unique(sizes):
                 if int(size) not in sets:
                     continue
-                own = batch.filter(pa.array(sizes == size))
+                whole = batch.filter(pa.array(sizes == size))
                 c, root, m = sets[int(size)]
-                near = (m @ _matrix(own.column(1)).T >= THRESHOLD) & (c[:, None] != own.column(0).to_numpy()[None, :])
-                links += int(near.sum())
-                found += int((near & (root[:, None] == own.column(2).to_numpy()[None, :])).sum())
+                for own in (whole.slice(at, STRIP) for at in range(0, whole.num_rows, STRIP)):
+                    near = (m @ _matrix(own.column(1)).T >= THRESHOLD) & (c[:, None] != own.column(0).to_numpy()[None, :])
+                    links += int(near.sum())
+                    found += int((near & (root[:, None] == own.column(2).to_numpy()[None, :])).sum())
         yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([found])], ["links", "found"])
 
     got = rooted.select("c", "v", "root").mapInArrow(run, "links long, found long").agg(F.sum("links"), F.sum("found")).first()
-    return Audit(got[0] or 0, got[1] or 0)
+    return Audit(len(asked), got[0] or 0, got[1] or 0)
+
+
+def _audited(rooted: DataFrame, count: int) -> Audit:
+    """Of as many rows as show ``ENOUGH`` links."""
+    most = AUDIT
+    while True:
+        audit = _sampled(rooted, most)
+        if audit.links >= ENOUGH or most >= min(count, LARGEST):
+            return audit
+        most = min(4 * most, LARGEST)
 
 
 def near_duplicates(df: DataFrame, id: str = "vec_id", embedding: str = "embedding", audits: list | None = None) -> DataFrame:
-    """id, n_links, component_id and kept (is the component's least id) of each row.  ``audits`` gets the Audit of each set of trees."""
+    """id, n_links, component_id and kept (is the component's least id) of each row.  ``audits`` gets each Audit."""
     units = Stored(_units(df, id, embedding).withColumn("c", F.when(F.col("v").isNotNull(), F.xxhash64("v")))).df
     classes = Stored(units.where("v is not null").groupBy("c").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least")))
     count = classes.df.count()
-    graph, ties = None, None
+    audits = [] if audits is None else audits
+    ties = Stored(classes.df.sparkSession.createDataFrame([], "a long, b long"))
 
     def tied(edges: DataFrame) -> None:
-        """``ties`` gets the links among edges (a, b, s)."""
-        nonlocal ties
-        own = edges.where((F.col("s") >= THRESHOLD) & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        made = Stored((own if ties is None else own.union(ties.df)).distinct())
-        if ties is not None:
+        """Adds the links among edges (a, b, s) to ``ties``, but for those inside its components."""
+        nonlocal ties, rooted
+        own = edges.where((F.col("s") >= THRESHOLD) & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        side = lambda n: rooted.df.select(F.col("c").alias(n), F.col("root").alias(f"r{n}"))
+        fresh = own.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select("a", "b")
+        more = Stored(fresh)
+        if not more.df.isEmpty():
+            made = Stored(ties.df.union(more.df))
             ties.drop()
-        ties = made
+            ties = made
+            rooted = rooted_by(ties.df)
+        more.drop()
 
     def rooted_by(edges: DataFrame) -> Stored:
         root = components(edges).select(F.col("node").alias("c"), "root")
         return Stored(classes.df.join(root, "c", "left").withColumn("root", F.coalesce("root", "c")))
 
-    for attempt in range(SETS):
-        edges = Stored(_seeds(classes.df, count, TREES, attempt))
-        tied(edges.df)
-        made = Stored(_best(edges.df if graph is None else edges.df.union(graph.df), NEIGHBOURS))
-        edges.drop()
-        if graph is not None:
-            graph.drop()
-        graph = made
-        for turn in range(ROUNDS):
-            most = NEIGHBOURS << (turn + 1)
-            met = Stored(_joined(graph.df, classes.df, most))
-            tied(met.df)
-            made = Stored(_best(graph.df.union(met.df), most))
-            met.drop()
-            before, after = (x.df.where(F.col("s") >= THRESHOLD).count() for x in (graph, made))
-            graph.drop()
-            graph = made
-            if after == before:  # no list has a link more
-                break
-        rooted = rooted_by(ties.df)
-        audit = _audited(rooted.df, AUDIT)
-        if audits is not None:
-            audits.append(audit)
-        if audit.recall >= TARGET:
-            break
-    if audit.found < audit.links:
-        rooted = rooted_by(ties.df.union(_across(rooted.df)))
-        if audits is not None:
-            audits.append(_audited(rooted.df, AUDIT))
+    def bridged(everything: bool) -> None:
+        """Follows what is linked across components: of several classes, or of any."""
+        nonlocal ties, rooted
+        sizes = rooted.df.groupBy("root").agg((F.count("*") == 1).alias("alone"))
+        rows = rooted.df.join(sizes, "root").select("c", "v", "root", "alone")
+        more = Stored(_across(rows if everything else rows.where("not alone"), count))
+        if not more.df.isEmpty():
+            ties = Stored(ties.df.union(more.df))
+            rooted = rooted_by(ties.df)
+
+    rooted = rooted_by(ties.df)
+    graph = Stored(_best(_seeds(classes.df, count, TREES, 0), NEIGHBOURS))
+    turn, most, links = 0, NEIGHBOURS, -1
+    while count:
+        met = Stored(_joined(graph.df, classes.df, most))
+        before = rooted
+        tied(met.df)
+        # Seeds' cosines are about right only: what met replaces them.
+        exact = met.df if turn == 0 else graph.df.union(met.df)
+        saturated = exact.where(F.col("s") >= THRESHOLD).groupBy("a").agg(F.count_distinct("b").alias("n")).where(F.col("n") >= most).isEmpty() is False
+        most = 2 * most if saturated else most
+        made = Stored(_best(exact, most))
+        met.drop()
+        graph.drop()
+        graph, turn = made, turn + 1
+        now = graph.df.where(F.col("s") >= THRESHOLD).count()
+        if turn >= ROUNDS and rooted is before and (now == links or turn > 2 * ROUNDS):
+            break  # a round that ties nothing together, with lists that are as they were or hold a group's own links
+        links = now
+    bridged(False)
+    audits.append(_audited(rooted.df, count))
+    if audits[-1].found < audits[-1].links:
+        bridged(True)
+        audits.append(_audited(rooted.df, count))
+        if audits[-1].found < audits[-1].links:
+            raise RuntimeError(f"links are missing after all blocks were compared: {audits[-1]}")
     several = rooted.df.groupBy("root").agg(F.count("*").alias("size"), F.min("least").alias("component_id"))
     members = rooted.df.join(several.where("size > 1").select("root"), "root").select("root", "c", "n", "v")
     counts = _counts(members)

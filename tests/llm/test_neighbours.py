@@ -38,22 +38,60 @@ def test_against_brute_force(spark, monkeypatch, seed, block):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = {x.vec_id: (x.n_links, x.component_id) for x in neighbours.near_duplicates(df, audits=audits).collect()}
     assert got == {i: v for (i, _), v in zip(rows, brute(rows))}
-    assert audits[-1].recall >= 0.999 and audits[-1].links > 0
+    assert len(audits) == 1 and audits[0].recall == 1 and audits[0].links > 0
 
 
-def test_links_between_two_tight_groups(spark, monkeypatch):
-    """Each group fills all lists with its own members."""
+@pytest.mark.parametrize("size,count", [(0.004, 240), (0.03, 500)])
+def test_links_between_two_tight_groups(spark, monkeypatch, size, count):
+    """Each group fills all lists with its own members; some or all of them link across."""
     monkeypatch.setattr(neighbours, "BLOCK", 64)
     r = np.random.default_rng(3)
     one, turn = np.zeros(24), np.zeros(24)
     one[0], turn[1] = 1, 1
-    two = 0.93 * one + np.sqrt(1 - 0.93**2) * turn
-    rows = [(i, ((one, two)[i % 2] + r.normal(size=24) * 0.004).tolist()) for i in range(240)]
+    cosine = 0.93 if count == 240 else 0.893
+    two = cosine * one + np.sqrt(1 - cosine**2) * turn
+    rows = [(i, ((one, two)[i % 2] + r.normal(size=24) * size).tolist()) for i in range(count)]
     audits = []
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = {x.vec_id: (x.n_links, x.component_id) for x in neighbours.near_duplicates(df, audits=audits).collect()}
-    assert got == {i: v for (i, _), v in zip(rows, brute(rows))} and got[239][1] == 0
-    assert audits[-1].recall == 1
+    assert got == {i: v for (i, _), v in zip(rows, brute(rows))} and got[count - 1][1] == 0
+    assert [a.recall for a in audits] == [1]
+
+
+def test_a_failed_audit_compares_all_blocks_or_raises(spark, monkeypatch):
+    """The descent finds nothing; the audit sees that."""
+    monkeypatch.setattr(neighbours, "_joined", lambda graph, classes, most: graph.limit(0))
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(30, 16))
+    rows = [(i, (centres[i % 30] + r.normal(size=16) * 0.05).tolist()) for i in range(90)]
+    df, audits = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), []
+    got = {x.vec_id: (x.n_links, x.component_id) for x in neighbours.near_duplicates(df, audits=audits).collect()}
+    assert got == {i: v for (i, _), v in zip(rows, brute(rows))} and [a.recall for a in audits] == [0, 1]
+    monkeypatch.setattr(neighbours, "_across", lambda rooted, count: rooted.select(rooted.c.alias("a"), rooted.c.alias("b")).limit(0))
+    with pytest.raises(RuntimeError):
+        neighbours.near_duplicates(df)
+    alone, audits = spark.createDataFrame(rows[:30], "vec_id long, embedding array<double>"), []
+    assert neighbours.near_duplicates(alone, audits=audits).count() == 30 and audits[0].recall is None and audits[0].rows == 30
+
+
+def test_ties_connect_what_links_connect():
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        near = r.random((r.integers(1, 12), r.integers(1, 12))) < 0.15
+        root = {x: x for x in range(sum(near.shape))}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        def parts(pairs):
+            root.update({x: x for x in root})
+            for i, j in pairs:
+                root[find(i)] = find(near.shape[0] + j)
+            return {frozenset(y for y in root if find(y) == find(x)) for x in root}
+
+        assert parts(zip(*np.nonzero(near))) == parts(zip(*neighbours._ties(near)))
 
 
 def test_edges(spark):
