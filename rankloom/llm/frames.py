@@ -43,6 +43,18 @@ def stored(df: DataFrame) -> DataFrame:
     return Stored(df).df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` if it does no more than read files row by row, so that each walk sees the same rows in the same partitions; else written first."""
+
+    def plain(node) -> bool:
+        kids = node.children()
+        if not kids.size():
+            return node.nodeName() in ("LogicalRelation", "RelationV2", "DataSourceV2ScanRelation")
+        return node.nodeName() in ("Project", "Filter") and all(plain(kids.apply(i)) for i in range(kids.size()))
+
+    return df if plain(df._jdf.queryExecution().optimizedPlan()) else stored(df)
+
+
 def add_columns(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], list]],

@@ -11,16 +11,22 @@ encoded:
 3. Spark's higher-order ``aggregate`` folds the edges.  For a unigram model this is Viterbi:
    by start, each edge improves the best score at its end.  For a BPE model, whose encoding
    is no best path, edges are folded in the order of their merges: an edge is taken if its
-   two ends still are borders and one border is left between them.  A chunk's borders are
-   the bits of a long, so a chunk has up to 62 characters; a longer one is folded alike in
-   Python.
+   two ends still are borders and one border is left between them.  Borders of a chunk of up to
+   62 characters are the bits of a long, those of a longer one an array; a stretch of over
+   ``LONG`` characters without a cut is folded by the same rule in Python.
 4. The encodings go back to their blocks by number, and documents are put together there.
 
 Characters without a piece become byte pieces, or the unknown piece where there are none.
 Decoding gives the text back exactly, except that the escape character U+2581 itself reads as a
 space, as in the library.
 
-Nulls: a null or empty text has no pieces.  Equal rows are encoded alike.
+Documents and dictionary come from two walks over the same files, partition by partition; an
+input that is more than a read of files is written first, so that both walks see the same rows.
+A block's dictionary must have a row for each of its numbers, or the query fails.
+
+Nulls: a null or empty text has no pieces.  Equal rows are encoded alike.  Equal scores: the
+piece that comes first in the model.  Columns beside id and text are left out, whatever their
+names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +43,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import vec
+from .frames import settled
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Text of a block, and characters of a chunk that Spark folds.
-BLOCK_BYTES, SHORT = 16 << 20, 62
+#: Text of a block; characters of a chunk whose borders fit a long, and of one that Spark folds.
+BLOCK_BYTES, SHORT, LONG = 16 << 20, 62, 2048
+#: Bits of a chunk's number in its block, and of a block's number in its task.
+NUMBER_BITS, BLOCK_BITS = 28, 12
 #: Places of a chunk that one row holds: those of 2**TASK_BITS tasks.
 TASK_BITS = 12
 #: Pieces of a model, at most: the table is broadcast.
@@ -149,12 +158,14 @@ def _blocks(docs: DataFrame, id: str, text: str, dictionary: bool, joints: np.nd
         from pyspark import TaskContext
 
         task, count, size = TaskContext.get().partitionId(), 0, 0
-        known, numbered = np.empty(0, np.uint64), np.empty(0, np.int64)
+        known: dict[str, int] = {}
         for batch in batches:
             for part in vec.slices(batch, text):
                 if size > BLOCK_BYTES:
-                    known, numbered, count, size = known[:0], numbered[:0], count + 1, 0
-                block = (task << 16) + count
+                    known, count, size = {}, count + 1, 0
+                    if count >> BLOCK_BITS:
+                        raise ValueError("a task has too many blocks: spread the texts over more partitions")
+                block = (task << BLOCK_BITS) + count
                 column = pc.replace_substring(part.column(1).fill_null(""), SPACE, " ")  # the library's escape is a space to it
                 column = pc.if_else(pc.equal(pc.binary_length(column), 0), "", pc.binary_join_element_wise(" ", column, ""))
                 data, offsets = vec.flat(column)
@@ -165,41 +176,32 @@ def _blocks(docs: DataFrame, id: str, text: str, dictionary: bool, joints: np.nd
                 if not len(data):
                     edge[:] = False
                 cuts = np.flatnonzero(edge)
-                begins, ends = cuts[:-1], cuts[1:]
-                first = np.searchsorted(begins, offsets)
-                hashes = vec.spans_hash(data, begins, ends)
-                told = pa.array(hashes).dictionary_encode()  # in the order of appearance: numbers of frequent chunks are small
-                inverse, unique = told.indices.to_numpy(), told.dictionary.to_numpy()
-                at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-                old = known[at] == unique if len(known) else np.zeros(len(unique), bool)
-                numbers = np.where(old, numbered[at] if len(known) else 0, len(known) + np.cumsum(~old) - 1)
-                fresh = np.flatnonzero(~old)
-                known, numbered = np.r_[known, unique[fresh]], np.r_[numbered, numbers[fresh]]
-                order = np.argsort(known)
-                known, numbered = known[order], numbered[order]
+                first = np.searchsorted(cuts[:-1], offsets)
+                n = max(0, len(cuts) - 1)
+                chunks = pa.LargeStringArray.from_buffers(n, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+                told = chunks.dictionary_encode()  # in the order of appearance: numbers of frequent chunks are small
+                inverse, unique, old = told.indices.to_numpy(), told.dictionary.to_pylist(), len(known)
+                numbers = np.array([known.setdefault(c, len(known)) for c in unique], dtype=np.int64)
                 if dictionary:
-                    raw = data.tobytes()
-                    seen = np.full(len(unique), -1)
-                    seen[inverse[::-1]] = np.arange(len(inverse))[::-1]
-                    spans = zip(begins[seen[fresh]].tolist(), ends[seen[fresh]].tolist())
-                    words = pa.array([raw[x:y] for x, y in spans], pa.binary()).cast(pa.string())
-                    places = pa.array((block << 24) + numbers[fresh])
+                    fresh = numbers >= old
+                    words = told.dictionary.filter(pa.array(fresh)).cast(pa.string())
+                    places = pa.array((block << NUMBER_BITS) + numbers[fresh])
                     for k in range(0, len(words), 1 << 14):
                         yield pa.RecordBatch.from_arrays([words[k : k + (1 << 14)], places[k : k + (1 << 14)]], ["chunk", "place"])
                 else:
-                    codes = numbers[inverse].astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]
+                    codes = numbers[inverse].astype(np.uint32).view(np.uint8).reshape(-1, 4)
                     blob = pa.compress(np.ascontiguousarray(codes.T).tobytes(), codec="zstd", asbytes=True)  # byte planes: high ones are nearly empty
                     one = pa.array([0, len(part)], pa.int32())
                     counts = pa.array(np.diff(first).astype(np.int32))
                     ids = part.column(0).cast(id_kind)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, counts), pa.array([blob], pa.binary())],
-                        ["block", "ids", "counts", "codes"],
+                        [pa.array([block]), pa.array([len(known)]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, counts), pa.array([blob], pa.binary())],
+                        ["block", "known", "ids", "counts", "codes"],
                     )
 
     if dictionary:
         return docs.select(id, text).mapInArrow(run, "chunk string, place long")
-    kinds = [("block", T.LongType()), ("ids", T.ArrayType(docs.schema[id].dataType)), ("counts", T.ArrayType(T.IntegerType())), ("codes", T.BinaryType())]
+    kinds = [("block", T.LongType()), ("known", T.LongType()), ("ids", T.ArrayType(docs.schema[id].dataType)), ("counts", T.ArrayType(T.IntegerType())), ("codes", T.BinaryType())]
     return docs.select(id, text).mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
 
 
@@ -211,7 +213,7 @@ def _fold_merges(edges: Column, n: Column) -> Column:
     """The borders (a bit for each) that are left; edges in the order of merges, each a long: order, start, end."""
 
     def take(b: Column, x: Column) -> Column:
-        s, e = _bit(F.shiftright(x, 8).bitwiseAND(63)), _bit(x.bitwiseAND(63))
+        s, e = _bit(F.shiftright(x, 16).bitwiseAND(63)), _bit(x.bitwiseAND(63))
         inner = b.bitwiseAND(e - s - s)
         good = (b.bitwiseAND(s + e) == s + e) & (inner != 0) & (inner.bitwiseAND(inner - 1) == 0)
         return F.when(good, b - inner).otherwise(b)
@@ -219,22 +221,42 @@ def _fold_merges(edges: Column, n: Column) -> Column:
     return F.aggregate(edges, _bit(n + 1) - 1, take)
 
 
+def _fold_merges_long(edges: Column, n: Column) -> Column:
+    """The same for any number of borders: an array with the place of each border that is left, -1 elsewhere."""
+
+    def take(b: Column, x: Column) -> Column:
+        s, e = F.shiftright(x, 16).bitwiseAND(65535).cast("int"), x.bitwiseAND(65535).cast("int")
+        inner = F.filter(F.slice(b, s + 2, e - s - 1), lambda v: v >= 0)
+        good = (F.element_at(b, s + 1) >= 0) & (F.element_at(b, e + 1) >= 0) & (F.size(inner) == 1)
+        return F.when(good, F.transform(b, lambda v: F.when(v == inner[0], -1).otherwise(v))).otherwise(b)
+
+    return F.filter(F.aggregate(edges, F.sequence(F.lit(0), n), take), lambda v: v >= 0)
+
+
 def _fold_viterbi(edges: Column, n: Column) -> Column:
-    """The borders of the best path; edges (s, e, score) by start.  A character without an edge costs ``score`` of (s, s + 1, null)."""
-    start = F.concat(F.array(F.struct(F.lit(0.0).alias("v"), F.lit(1).cast("long").alias("b"))), F.array_repeat(F.lit(None).cast("struct<v:double,b:bigint>"), n.cast("int")))
+    """The borders of the best path; edges (s, e, score) by start.  A character without an edge costs ``score`` of (s, s + 1, null).
+
+    The state is the best score of each border and the border before it; the way back is another fold.
+    """
+    start = F.concat(F.array(F.struct(F.lit(0.0).alias("v"), F.lit(-1).alias("s"))), F.array_repeat(F.lit(None).cast("struct<v:double,s:int>"), n.cast("int")))
 
     def take(best: Column, x: Column) -> Column:
         here, there = F.element_at(best, x["s"] + 1), F.element_at(best, x["e"] + 1)
         v = here["v"] + x["score"]
         better = here.isNotNull() & (there.isNull() | (v > there["v"]))
-        new = F.struct(v.alias("v"), (here["b"] + _bit(x["e"])).alias("b"))
+        new = F.struct(v.alias("v"), x["s"].alias("s"))
         return F.when(better, F.transform(best, lambda old, i: F.when(i == x["e"], new).otherwise(old))).otherwise(best)
 
-    return F.element_at(F.aggregate(edges, start, take), -1)["b"]
+    def back(path: Column, x: Column) -> Column:  # x: a border and the one before it, from the end
+        return F.when(path[0] == x["e"], F.concat(F.array(x["s"]), path)).otherwise(path)
+
+    best = F.aggregate(edges, start, take)
+    steps = F.reverse(F.slice(F.transform(best, lambda b, e: F.struct(e.alias("e"), b["s"].alias("s"))), 2, n.cast("int")))
+    return F.aggregate(steps, F.array(n.cast("int")), back)
 
 
 def _borders(chunks: DataFrame, model: Model) -> DataFrame:
-    """(chunk, places, b): of chunks at places, each distinct one with its places and borders; 0 for those over SHORT characters.
+    """(chunk, places, b, cuts): of chunks at places, each distinct one with its places and borders, as bits or, over SHORT characters, as places.
 
     A chunk is one row for each TASKS tasks that read documents, so its places are bounded.  After one shuffle rows
     stay where their chunk is; edges are grouped by a number first, which makes it a radix sort.
@@ -242,9 +264,9 @@ def _borders(chunks: DataFrame, model: Model) -> DataFrame:
     use, rank, longest = model.usable(), model.order(), model.longest()
     rows = [(p, rank[p], model.scores[use[p]]) for p in use if model.unigram or len(p) > 1]
     table = chunks.sparkSession.createDataFrame([*rows, ("", -1, 0.0)], "piece string, o long, score double").withColumn("h", F.xxhash64("piece"))
-    keyed = chunks.groupBy("chunk", F.shiftright("place", 40 + TASK_BITS).alias("set")).agg(F.min("place").alias("key"), F.collect_list("place").alias("places"))
+    keyed = chunks.groupBy("chunk", F.shiftright("place", NUMBER_BITS + BLOCK_BITS + TASK_BITS).alias("set")).agg(F.min("place").alias("key"), F.collect_list("place").alias("places"))
     keyed = keyed.select("chunk", "set", "key", "places", F.translate("chunk", " ", SPACE).alias("text"), F.length("chunk").alias("n"))
-    short, least = F.col("n") <= SHORT, 1 if model.unigram else 2
+    short, least = F.col("n") <= LONG, 1 if model.unigram else 2
     # From each place the substrings up to the longest piece's length; the empty one, which is in the table, keeps every chunk.
     last = F.greatest(F.col("n") - least, F.lit(0))
     spans = keyed.select("chunk", "set", "key", "places", "text", "n", F.explode(F.sequence(F.lit(0), F.when(short, last).otherwise(0))).alias("s"))
@@ -260,17 +282,19 @@ def _borders(chunks: DataFrame, model: Model) -> DataFrame:
     if model.unigram:
         edge = F.struct("s", end.alias("e"), "score")
     else:
-        edge = F.shiftleft(F.col("o"), 16) + F.shiftleft(F.col("s"), 8) + end
+        edge = F.shiftleft(F.col("o"), 32) + F.shiftleft(F.col("s").cast("long"), 16) + end
     edges = lattice.groupBy("key", "chunk", "set").agg(F.sort_array(F.collect_list(F.when(F.col("l") > 0, edge))).alias("edges"), F.first("places", ignorenulls=True).alias("places"))
     n = F.length("chunk")
     if model.unigram:
         # A character without piece costs more than any piece, as in the library.
         alone = F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.struct(s.alias("s"), (s + 1).alias("e"), F.lit(float(min(model.scores) - 10)).alias("score")))
         have = F.transform(F.filter("edges", lambda x: x["e"] - x["s"] == 1), lambda x: x["s"])
-        left = _fold_viterbi(F.array_sort(F.concat("edges", F.filter(alone, lambda x: ~F.array_contains(have, x["s"])))), n)
+        path = _fold_viterbi(F.array_sort(F.concat("edges", F.filter(alone, lambda x: ~F.array_contains(have, x["s"])))), n)
+        bits, cuts = F.lit(None).cast("long"), F.when(n <= LONG, path)
     else:
-        left = _fold_merges(F.col("edges"), n)
-    return edges.select("chunk", "places", F.when(n <= SHORT, left).otherwise(F.lit(0).cast("long")).alias("b"))
+        bits = F.when(n <= SHORT, _fold_merges(F.col("edges"), n))
+        cuts = F.when((n > SHORT) & (n <= LONG), _fold_merges_long(F.col("edges"), n))
+    return edges.select("chunk", "places", bits.alias("b"), cuts.alias("cuts"))
 
 
 def _spelled(model: Model):
@@ -292,9 +316,11 @@ def _spelled(model: Model):
             e = best[e][1]
         return out[::-1]
 
-    def ids(chunk: str, b: int) -> list[int]:
+    def ids(chunk: str, b: int | None, cuts: list[int] | None) -> list[int]:
         text = chunk.replace(" ", SPACE)
-        if b:
+        if cuts is not None:
+            parts = [text[s:e] for s, e in zip(cuts, cuts[1:])]
+        elif b is not None:
             parts, s, b, e = [], 0, b >> 1, 1
             while b:
                 if b & 1:
@@ -321,16 +347,16 @@ def _unzipped(raw: bytes) -> np.ndarray:
 
 
 def _packed_ids(rows: DataFrame, model: Model) -> DataFrame:
-    """(block, numbers, lengths, ids): a batch's encodings packed for each block; chunks over SHORT are folded here."""
+    """(block, numbers, lengths, ids): a batch's encodings packed for each block; chunks over LONG are folded here."""
     sent = rows.sparkSession.sparkContext.broadcast(model)  # MOST_PIECES pieces at most
 
     def run(batches):
         spell = _spelled(sent.value)
         for batch in batches:
-            ids = pa.array([spell(c, b) for c, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())], pa.list_(pa.int32()))
+            ids = pa.array([spell(c, b, cuts) for c, b, cuts in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))], pa.list_(pa.int32()))
             place = batch.column(1).flatten().to_numpy()
             which = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
-            block, number = place >> 24, place & 0xFFFFFF
+            block, number = place >> NUMBER_BITS, place & ((1 << NUMBER_BITS) - 1)
             order = np.argsort(block, kind="stable")
             ids = ids.take(pa.array(which[order]))
             flat, size = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
@@ -343,7 +369,7 @@ def _packed_ids(rows: DataFrame, model: Model) -> DataFrame:
                 ["block", "numbers", "lengths", "ids"],
             )
 
-    return rows.select("chunk", "places", "b").mapInArrow(run, "block long, numbers binary, lengths binary, ids binary")
+    return rows.select("chunk", "places", "b", "cuts").mapInArrow(run, "block long, numbers binary, lengths binary, ids binary")
 
 
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: Model | None = None, decoded: bool = False) -> DataFrame:
@@ -351,7 +377,7 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: Model
     model = model or Model.load(MODEL)
     if not model.unigram and (bad := out_of_order(model)):
         raise ValueError(f"pieces out of order: {bad[:5]}")
-    joints = model.joints()
+    joints, docs = model.joints(), settled(docs.select(id, text))
     coded, asked = (_blocks(docs, id, text, dictionary, joints) for dictionary in (False, True))
     back = _packed_ids(_borders(asked, model), model)
     docs_id = docs.schema[id].dataType
@@ -366,12 +392,15 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: Model
         size, start = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         size[numbers] = lengths
         start[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths
+        known = max(left.column("known").to_pylist(), default=0)
+        if len(numbers) != known or len(np.unique(numbers)) != known:
+            raise ValueError(f"a block has {known} chunks and {len(numbers)} encodings: the input gave other rows when it was read again")
         out = []
         for i in range(left.num_rows):
             counts = left.column("counts")[i].values.to_numpy()
             n = int(counts.sum())
-            planes = np.frombuffer(pa.decompress(left.column("codes")[i].as_py(), decompressed_size=3 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, n)
-            codes = planes[0].astype(np.int64) | (planes[1].astype(np.int64) << 8) | (planes[2].astype(np.int64) << 16)
+            planes = np.frombuffer(pa.decompress(left.column("codes")[i].as_py(), decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+            codes = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
             own = size[codes]
             total = np.r_[0, np.cumsum(own)]
             ids = flat[np.repeat(start[codes] - total[:-1], own) + np.arange(total[-1])]

@@ -3,7 +3,7 @@ import random
 import pytest
 import sentencepiece
 
-from rankloom.llm import pieces
+from rankloom.llm import frames, pieces
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +27,38 @@ def test_like_the_library(spark, model, edge_texts, monkeypatch):
         assert x.text == t.replace("▁", " ")
 
 
+def test_input_that_is_not_a_read_of_files(spark, tmp_path, monkeypatch):
+    """Shuffled rows are written first; a read of files is walked as it is; long and look-alike chunks."""
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    r, one = random.Random(3), "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), "ab" * 50, "x" * 3000, "".join(r.choice("abcdefgh") for _ in range(700))]
+    texts += [" ".join(r.choice(("the", "cat", "sat", "international")) for _ in range(r.randint(0, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    assert frames.settled(read.where("doc_id >= 0").select("text", "doc_id")).inputFiles() == read.inputFiles()
+    monkeypatch.setattr(pieces, "_spelled", without_python(pieces._spelled))
+    for df in (read.repartition(5, "text"), read.join(docs.select("doc_id"), "doc_id")):
+        assert {x.doc_id: list(x.ids) for x in pieces.encode(df).collect()} == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
+def without_python(spelled):
+    """Chunks of up to LONG characters come with their borders."""
+
+    def made(model):
+        spell = spelled(model)
+
+        def ids(chunk, b, cuts):
+            assert len(chunk) > pieces.LONG or b is not None or cuts is not None
+            return spell(chunk, b, cuts)
+
+        return ids
+
+    return made
+
+
 def test_pieces_are_in_order(model):
     assert pieces.out_of_order(model) == []
     odd = pieces.Model(["<unk>", "ab", "abc"], [0.0, -9.0, -1.0], [2, 1, 1], False, 0)
