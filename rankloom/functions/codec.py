@@ -159,12 +159,22 @@ def decode(payload: Column, strict: bool = False) -> Column:
     return decode_hex(F.hex(payload), strict)
 
 
+def _headed(hexed: Column) -> Column:
+    return (F.length(hexed) >= 4) & F.substring(hexed, 1, 1).rlike("[89AB]")
+
+
+def fault(payload: Column) -> Column:
+    """Why a byte stream is no whole coded stream; null if it is one."""
+    hexed = F.hex(payload)
+    whole = F.forall(decode_units(hexed), lambda u: ~u.rlike("^[89AB]") | ((F.length(u) >= 4) & F.substring(u, -2, 1).rlike("[89A-F]")))
+    return F.when(~_headed(hexed), "no header").when(~whole, "cut off inside an id")
+
+
 def decode_hex(hexed: Column, strict: bool = False) -> Column:
-    us = decode_units(hexed)
-    headed = (F.length(hexed) >= 4) & F.substring(hexed, 1, 1).rlike("[89AB]")
+    us, headed = decode_units(hexed), _headed(hexed)
     if strict:
-        whole = F.forall(us, lambda u: ~u.rlike("^[89AB]") | ((F.length(u) >= 4) & F.substring(u, -2, 1).rlike("[89A-F]")))
-        us = F.when(headed & whole, us).otherwise(F.raise_error(F.lit("not a whole coded stream")).cast("array<string>"))
+        wrong = fault(F.unhex(hexed))
+        us = F.when(wrong.isNull(), us).otherwise(F.raise_error(F.concat(F.lit("not a whole coded stream: "), wrong)).cast("array<string>"))
     window = F.when(headed, _explicit_value(F.get(us, F.lit(0)))).otherwise(F.lit(WINDOW)).cast("int")
     rest = F.when(headed, F.slice(us, 2, F.greatest(F.size(us) - 1, F.lit(0)))).otherwise(us)
     return F.struct(window.alias("window"), F.flatten(F.transform(rest, _unit_tokens)).alias("tokens"))
@@ -175,6 +185,13 @@ def leading_zeros(stream: Column) -> Column:
     return F.length(F.regexp_extract(written(stream), r"^((?:z.{7})*)", 1)) / 8
 
 
+def pairs(stream: Column) -> Column:
+    """How many neighbours could share a byte."""
+    next_ = F.slice(stream, 2, F.greatest(F.size(stream) - 1, F.lit(0)))
+    both = F.zip_with(F.slice(stream, 1, F.size(next_)), next_, pairable)
+    return F.size(F.filter(both, lambda p: p))
+
+
 def zero_runs(stream: Column) -> Column:
     """Lengths of the runs of two zeros or more."""
     return F.transform(F.regexp_extract_all(written(stream), F.lit(r"(?:z.{7}){2,}"), F.lit(0)), lambda u: (F.length(u) / 8).cast("int"))

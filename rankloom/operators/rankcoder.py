@@ -1,16 +1,28 @@
 """Tokenising, the rank model and the rank coder over chunk rows.
 
-Every position of a chunk is coded from the tokens before it, so encoding is one window and
-two joins; decoding is serial inside a chunk and parallel over chunks.
+The model is a vocabulary and, for each context of up to ``ORDER`` tokens that training has seen,
+a list of the tokens that followed it, the most frequent first.  The candidates of a place are the
+lists of its contexts, the longest first, one after the other, up to 64; a window limits the
+length of contexts.  A token's rank is where it first stands.
+
+Every position of a chunk is coded from the tokens before it, so encoding is one window over the
+document's tokens and a lookup for each length of context; decoding is serial inside a chunk and
+parallel over documents.  A model's size is bounded when it is fitted (``MOST_TOKENS``,
+``MOST_RANKS``), whatever the training texts, so it is broadcast; what it leaves out is coded by
+explicit ids, and no text is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from rankloom.functions import codec
@@ -19,15 +31,26 @@ from rankloom.sources.tables import written
 
 #: Fixed value: words, symbols and white space, each with one white-space character before it.
 WORDS = r"[ \t\n\f\r]?[0-9A-Za-z_]+|[ \t\n\f\r]?[^ \t\n\f\r0-9A-Za-z_]+|[ \t\n\f\r]+"
-#: Candidates of a context.
-CANDIDATES = 64
+#: Candidates of a place; tokens of the longest context.
+CANDIDATES, ORDER = 64, 3
+#: Size of a model: tokens of the vocabulary, entries of all lists.  Contexts of several tokens list what followed them so often.
+MOST_TOKENS, MOST_RANKS, LEAST = 1 << 19, 4_000_000, 2
+#: A context is a long: each id, plus one, has so many bits, the last token lowest.  Ids with those of code points stay below.
+ID_BITS = 21
 
 
-class RankModel(Protocol):
-    """A table of candidates: context (id of the token before), token id, rank."""
+class Tokenizer(Protocol):
+    """Text to ids and back, in Python: for models from outside."""
 
-    vocabulary: DataFrame
-    ranks: DataFrame
+    def tokenize(self, text: str) -> list[int]: ...
+
+    def detokenize(self, ids: list[int]) -> str: ...
+
+
+class RankModel(Tokenizer, Protocol):
+    """A tokenizer that also says what may follow: for each context the candidates, best first, at most 64."""
+
+    def top_k(self, contexts: list[list[int]]) -> list[Sequence[int]]: ...
 
 
 def tokenize(text: Column, how: str = "words") -> Column:
@@ -51,12 +74,14 @@ def token_rows(chunks: DataFrame, how: str = "words") -> DataFrame:
     return chunks.select("doc_id", "chunk_no", F.posexplode(tokenize(F.col("chunk"), how)).alias("pos", "token"))
 
 
-def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token, n and token_id: ids by falling count, then by token.
+def vocabulary(tokens: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
+    """token, n and token_id of the ``most`` most frequent tokens: ids by falling count, then by token.
 
     Ids are dense.  Tokens are sorted by range, and the sizes of the partitions before are added, so no task
     sees all tokens.
     """
+    if not 0 < most < (1 << ID_BITS) - 0x110000 - 1:
+        raise ValueError("a vocabulary has fewer tokens than that")
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     order = [F.desc("n"), F.asc("token")]
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -66,23 +91,40 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     first = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_size"))  # a row for each partition
     before = first.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = F.col("_at").bitwiseAND((1 << 33) - 1)
-    return rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part").select("token", "n", (F.col("_before") + own).cast("int").alias("token_id"))
+    numbered = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part")
+    return numbered.select("token", "n", (F.col("_before") + own).cast("int").alias("token_id")).where(F.col("token_id") < most)
+
+
+def _size(vocab: DataFrame) -> DataFrame:
+    return F.broadcast(vocab.agg((F.coalesce(F.max("token_id"), F.lit(-1)) + 1).alias("_size")))
 
 
 def item_rows(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, pos and token_id: tokens outside the vocabulary become ids of code points above it."""
-    size = vocab.agg((F.coalesce(F.max("token_id"), F.lit(-1)) + 1).alias("_size"))
-    known = tokens.join(vocab.select("token", "token_id"), "token", "left").join(F.broadcast(size))
+    """doc_id, chunk_no, pos and token_id, with p1 to p3, the ids before it in its chunk.
+
+    Tokens outside the vocabulary become ids of code points above it.  Tokens are shuffled once, by document.
+    """
+    known = tokens.join(F.broadcast(vocab.select("token", "token_id")), "token", "left").join(_size(vocab))  # MOST_TOKENS rows at most
     points = F.transform(F.filter(F.split("token", ""), lambda c: c != ""), lambda c: F.ascii(c) + F.col("_size"))
     ids = F.when(F.col("token_id").isNotNull(), F.array("token_id")).otherwise(points)
-    spread = known.select("doc_id", "chunk_no", "pos", F.posexplode(ids).alias("sub", "token_id"))
-    order = Window.partitionBy("doc_id", "chunk_no").orderBy("pos", "sub")
-    return spread.select("doc_id", "chunk_no", (F.row_number().over(order) - 1).alias("pos"), "token_id")
+    spread = known.select("doc_id", "chunk_no", F.col("pos").alias("at"), F.posexplode(ids).alias("sub", "token_id")).repartition("doc_id")
+    order = Window.partitionBy("doc_id", "chunk_no").orderBy("at", "sub")
+    before = [F.lag("token_id", k).over(order).alias(f"p{k}") for k in range(1, ORDER + 1)]
+    return spread.select("doc_id", "chunk_no", (F.row_number().over(order) - 1).alias("pos"), "token_id", *before)
+
 
+def word_ids(words: DataFrame, vocab: DataFrame, column: str = "word") -> DataFrame:
+    """``words`` with ids: the vocabulary's id of the word, or its code points above the vocabulary."""
+    points = F.transform(F.filter(F.split(column, ""), lambda c: c != ""), lambda c: F.ascii(c) + F.col("_size"))
+    known = words.join(F.broadcast(vocab.select(F.col("token").alias(column), "token_id")), column, "left").join(_size(vocab))
+    return known.select(*words.columns, F.when(F.col("token_id").isNotNull(), F.array("token_id")).otherwise(points).alias("ids"))
 
-def with_context(items: DataFrame) -> DataFrame:
-    """Items with ``ctx``, the id before it in its chunk (null for the first)."""
-    return items.withColumn("ctx", F.lag("token_id").over(Window.partitionBy("doc_id", "chunk_no").orderBy("pos")))
+
+def id_words(rows: DataFrame, vocab: DataFrame, column: str = "token_id") -> DataFrame:
+    """``rows`` with word: what an id stands for."""
+    known = rows.join(F.broadcast(vocab.select(F.col("token_id").alias(column), "token")), column, "left").join(_size(vocab))
+    point = F.decode(F.unhex(F.lpad(F.hex(F.col(column) - F.col("_size")), 8, "0")), "UTF-32")
+    return known.select(*rows.columns, F.coalesce("token", point).alias("word"))
 
 
 def context_rows(items: DataFrame, window: int, column: str = "token_id") -> DataFrame:
@@ -91,30 +133,70 @@ def context_rows(items: DataFrame, window: int, column: str = "token_id") -> Dat
     return items.withColumn("context", F.collect_list(column).over(frame))
 
 
-def rank_table(items: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """ctx, token_id, n and rank (0 to k - 1): by falling count, then by id."""
+def context_keys() -> list[Column]:
+    """Of an item, its contexts of 0, 1, ... tokens as longs; null where the chunk has not so many before it."""
+    keys = [F.lit(0).cast("long")]
+    for k in range(1, ORDER + 1):
+        keys.append(keys[-1] + F.call_function("shiftleft", F.col(f"p{k}").cast("long") + 1, F.lit(ID_BITS * (k - 1))))
+    return keys
+
+
+def reach(window: int) -> int:
+    """Tokens of the longest context that a window lets through."""
+    if not 1 <= window < codec.EXPLICIT_4:
+        raise ValueError("a window is from 1 to 2**27 - 1")
+    return min(window, ORDER)
+
+
+def rank_table(items: DataFrame, k: int = CANDIDATES, least: int = LEAST, most: int = MOST_RANKS) -> DataFrame:
+    """ctx, token_id, n and rank (0 to k - 1): by falling count, then by id.
+
+    Contexts of several tokens list what followed them ``least`` times or more.  If there still are over ``most``
+    entries, the least frequent go, all of a count alike.
+    """
     if not 1 <= k <= CANDIDATES:
         raise ValueError(f"k is from 1 to {CANDIDATES}")
-    counts = with_context(items).where("ctx is not null").groupBy("ctx", "token_id").agg(F.count("*").alias("n"))
+    seen = items.select("token_id", F.explode(F.filter(F.array(*context_keys()), lambda c: c.isNotNull())).alias("ctx"))
+    counts = seen.groupBy("ctx", "token_id").agg(F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("ctx") < 1 << ID_BITS))
     order = Window.partitionBy("ctx").orderBy(F.desc("n"), "token_id")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    ranked = written(counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k))
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, lowest = 0, None
+    for r in sorted(ranked.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows, whatever the input
+        total += r["count"]
+        if total > most:
+            break
+        lowest = r["step"]
+    return ranked if total <= most else ranked.where(step >= (lowest if lowest is not None else 1 << 30))
 
 
 def next_words(contexts: DataFrame, vocab: DataFrame, ranks: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """token, rank and next of the k candidates after each token of ``contexts``."""
     words = vocab.select(F.col("token_id"), F.col("token").alias("next"))
-    found = contexts.join(vocab.select("token", F.col("token_id").alias("ctx")), "token").join(ranks.where(F.col("rank") < k), "ctx")
+    found = contexts.join(vocab.select("token", (F.col("token_id").cast("long") + 1).alias("ctx")), "token").join(ranks.where(F.col("rank") < k), "ctx")
     return found.join(words, "token_id").select("token", "rank", "next", "n")
 
 
-def encode_rows(items: DataFrame, ranks: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, pos, kind and value: the rank where the context has the token, else its id."""
-    table = ranks.select("ctx", "token_id", "rank")
-    coded = with_context(items).join(table, ["ctx", "token_id"], "left")
-    return coded.select(
+def encode_rows(items: DataFrame, ranks: DataFrame, window: int = codec.WINDOW, k: int = CANDIDATES) -> DataFrame:
+    """doc_id, chunk_no, pos, kind and value: the rank where the token is a candidate, else its id; the first is an id."""
+    lists = ranks.groupBy("ctx").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token_id"))), lambda x: x["token_id"]).alias("l"))
+    keys = context_keys()
+    rows = items.select("doc_id", "chunk_no", "pos", "token_id", *[c.alias(f"c{j}") for j, c in enumerate(keys)])
+    longest = reach(window)
+    for j in range(longest + 1):
+        rows = rows.join(F.broadcast(lists.select(F.col("ctx").alias(f"c{j}"), F.col("l").alias(f"l{j}"))), f"c{j}", "left")  # MOST_RANKS entries at most
+    rank, before = F.lit(None).cast("long"), F.lit(0)
+    tries = []
+    for j in range(longest, -1, -1):
+        at = F.coalesce(F.array_position(f"l{j}", F.col("token_id")), F.lit(0))
+        tries.append(F.when(at > 0, before + at - 1))
+        before = before + F.coalesce(F.size(f"l{j}"), F.lit(0)) * F.col(f"l{j}").isNotNull().cast("int")
+    rank = F.coalesce(*tries)
+    rank = F.when((F.col("pos") > 0) & (rank < k), rank)
+    return rows.select(
         "doc_id", "chunk_no", "pos",
-        F.when(F.col("rank").isNotNull(), codec.RANK).otherwise(codec.EXPLICIT).alias("kind"),
-        F.coalesce("rank", "token_id").cast("int").alias("value"),
+        F.when(rank.isNotNull(), codec.RANK).otherwise(codec.EXPLICIT).alias("kind"),
+        F.coalesce(rank, "token_id").cast("int").alias("value"),
     )
 
 
@@ -130,79 +212,87 @@ def streams(coded: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.flatten(F.transform("rows", spread)).alias("stream"))
 
 
-def decode_rows(coded: DataFrame, vocab: DataFrame, ranks: DataFrame) -> DataFrame:
-    """doc_id, chunk_no and chunk: the texts of coded chunk rows (doc_id, chunk_no, pos, kind, value).
+def stream_rows(streams: DataFrame) -> DataFrame:
+    """doc_id, chunk_no, pos, kind and value from streams with breaks: the inverse of ``streams``."""
+    cut = streams.select("doc_id", F.posexplode(codec.split_breaks(F.col("stream"))).alias("chunk_no", "tokens"))
+    return cut.select("doc_id", "chunk_no", F.posexplode("tokens").alias("pos", "t")).select("doc_id", "chunk_no", "pos", "t.kind", "t.value")
+
 
-    A chunk's tokens depend on each other, so each chunk is walked in Python, over the candidates of a
-    bounded table.
+class Table:
+    """A fitted model in Python: the lists as flat arrays, the words as an Arrow array."""
+
+    def __init__(self, vocab: DataFrame, ranks: DataFrame, k: int = CANDIDATES):
+        own = ranks.select("ctx", "rank", "token_id").toArrow()  # MOST_RANKS rows at most
+        ctx, rank, ids = (own.column(c).to_numpy() for c in ("ctx", "rank", "token_id"))
+        order = np.lexsort((rank, ctx))
+        self.ids = ids[order].astype(np.int32)
+        self.ctx, self.first = np.unique(ctx[order], return_index=True)
+        self.first = np.r_[self.first, len(order)]
+        words = vocab.select("token_id", "token").toArrow()  # MOST_TOKENS rows at most
+        at = words.column("token_id").to_numpy()
+        self.words = words.column("token").combine_chunks().take(pa.array(np.argsort(at)))
+        self.k = k
+        self.known: dict[tuple[int, int], list[int]] = {}
+
+    def candidates(self, ids: list[int], longest: int) -> list[int]:
+        """What may follow ids."""
+        key, keys = 0, [0]
+        for j in range(min(longest, len(ids))):
+            key += (ids[-1 - j] + 1) << ID_BITS * j
+            keys.append(key)
+        told = self.known.get((key, longest))
+        if told is None:
+            told = []
+            for c in reversed(keys):
+                at = int(np.searchsorted(self.ctx, c))
+                if at < len(self.ctx) and self.ctx[at] == c:
+                    told += self.ids[self.first[at] : self.first[at + 1]].tolist()
+            if len(self.known) > 50_000:
+                self.known.clear()
+            told = self.known[key, longest] = told[: self.k]
+        return told
+
+    def spell(self, chunks: list[list[int]]) -> list[str]:
+        size = len(self.words)
+        flat = np.array([i for c in chunks for i in c], dtype=np.int64)
+        words = self.words.take(pa.array(np.where(flat < size, flat, 0))).to_pylist() if size else [""] * len(flat)
+        for at in np.flatnonzero(flat >= size).tolist():
+            words[at] = chr(flat[at] - size)
+        ends = np.cumsum([0, *map(len, chunks)]).tolist()
+        return ["".join(words[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def walked(tokens: list[dict], candidates: Callable[[list[int]], Sequence[int]]) -> list[int]:
+    """The ids of one chunk's coded tokens."""
+    ids: list[int] = []
+    for t in tokens:
+        ids.append(int(candidates(ids)[t["value"]]) if t["kind"] == codec.RANK else t["value"])
+    return ids
+
+
+def decode_streams(rows: DataFrame, vocab: DataFrame, ranks: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """doc_id, chunks (array of text) and error of rows (doc_id, window, stream); error says why chunks is null.
+
+    A chunk's tokens depend on each other, so each chunk is walked in Python; nothing is shuffled or joined.
     """
-    table: dict[int, dict[int, int]] = {}
-    size = ranks.count()
-    if size > MOST_RANKS:
-        raise ValueError(f"the table has {size} ranks; decode_joined takes any number")
-    for r in ranks.select("ctx", "rank", "token_id").toArrow().to_pylist():
-        table.setdefault(r["ctx"], {})[r["rank"]] = r["token_id"]
-    sent = coded.sparkSession.sparkContext.broadcast(table)
+    sent = rows.sparkSession.sparkContext.broadcast(Table(vocab, ranks, k))
+    kind = rows.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
 
     def run(batches):
-        candidates = sent.value
+        table = sent.value
         for batch in batches:
-            out = []
-            for tokens in batch.column(2).to_pylist():
-                ids: list[int] = []
-                for t in tokens:
-                    ids.append(candidates[ids[-1]][t["value"]] if t["kind"] == codec.RANK else t["value"])
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "chunk_no", "ids"])
-
-    rows = coded.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "value"))).alias("tokens"))
-    ids = rows.select("doc_id", "chunk_no", "tokens").mapInArrow(run, "doc_id long, chunk_no int, ids array<int>")
-    return spelled(ids.select("doc_id", "chunk_no", F.posexplode("ids").alias("pos", "token_id")), vocab)
-
-
-#: Ranks that are broadcast for decoding, at most.
-MOST_RANKS = 4_000_000
-
-
-def decode_joined(coded: DataFrame, vocab: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The same for a rank table of any size: chunks advance by joins.
-
-    Between two explicit ids lies a stretch of ranks; a round resolves one more rank of every stretch,
-    so there are as many rounds as the longest stretch has ranks.
-    """
-    order = Window.partitionBy("doc_id", "chunk_no").orderBy("pos")
-    stretch = F.sum(F.when(F.col("kind") == codec.RANK, 0).otherwise(1)).over(order)
-    rows = coded.withColumn("stretch", stretch).withColumn("step", F.row_number().over(Window.partitionBy("doc_id", "chunk_no", "stretch").orderBy("pos")) - 1)
-    rows = written(rows)
-    last = rows.agg(F.max("step")).first()[0] or 0
-    done = front = rows.where("step = 0").select("doc_id", "chunk_no", "stretch", "pos", F.col("value").alias("token_id"))
-    for step in range(1, last + 1):
-        more = rows.where(F.col("step") == step).select("doc_id", "chunk_no", "stretch", "pos", F.col("value").alias("rank"))
-        told = more.join(front.select("doc_id", "chunk_no", "stretch", F.col("token_id").alias("ctx")), ["doc_id", "chunk_no", "stretch"])
-        front = told.join(ranks.select("ctx", "rank", "token_id"), ["ctx", "rank"]).select("doc_id", "chunk_no", "stretch", "pos", "token_id")
-        if step % 8 == 0:
-            front = written(front)
-        done = done.union(front)
-    return spelled(done.select("doc_id", "chunk_no", "pos", "token_id"), vocab)
-
-
-def spelled(items: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, chunk_no and chunk from ids: words of the vocabulary, and code points above it."""
-    size = vocab.agg((F.coalesce(F.max("token_id"), F.lit(-1)) + 1).alias("_size"))
-    known = items.join(vocab.select("token_id", "token"), "token_id", "left").join(F.broadcast(size))
-    point = F.decode(F.unhex(F.lpad(F.hex(F.col("token_id") - F.col("_size")), 8, "0")), "UTF-32")
-    word = known.select("doc_id", "chunk_no", "pos", F.coalesce("token", point).alias("token"))
-    rows = word.groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("rows"))
-    return rows.select("doc_id", "chunk_no", F.array_join(F.transform("rows", lambda x: x["token"]), "").alias("chunk"))
-
-
-def texts(chunks: DataFrame) -> DataFrame:
-    """doc_id and text: the chunks of each document, joined in order."""
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("rows"))
-    return rows.select("doc_id", F.array_join(F.transform("rows", lambda x: x["chunk"]), "").alias("text"))
-
-
-def stream_rows(streams: DataFrame) -> DataFrame:
-    """doc_id, chunk_no, pos, kind and value from streams with breaks: the inverse of ``streams``."""
-    cut = streams.select("doc_id", F.posexplode(codec.split_breaks(F.col("stream"))).alias("chunk_no", "tokens"))
-    return cut.select("doc_id", "chunk_no", F.posexplode("tokens").alias("pos", "t")).select("doc_id", "chunk_no", "pos", "t.kind", "t.value")
+            texts, errors = [], []
+            for window, chunks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                try:
+                    longest = reach(window)
+                    made = [walked(c, lambda ids: table.candidates(ids, longest)) for c in chunks]
+                    texts.append(table.spell(made))
+                    errors.append(None)
+                except (IndexError, ValueError, OverflowError, TypeError) as e:
+                    texts.append(None)
+                    errors.append(f"not of this model: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow), pa.array(texts, pa.list_(pa.string())), pa.array(errors, pa.string())], ["doc_id", "chunks", "error"])
+
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("chunks", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
+    return rows.select("doc_id", "window", codec.split_breaks(F.col("stream")).alias("chunks")).mapInArrow(run, schema)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import codec
+from rankloom.functions import text as rules
 from rankloom.operators import rankcoder, reports
 from rankloom.sources.tables import written
 
@@ -17,95 +19,141 @@ LEAST, MOST = 100, 500
 
 @dataclass
 class Model:
-    """A vocabulary and a rank table, fitted to declared texts; kept as Parquet with its name beside each payload."""
+    """A vocabulary and a table of candidates, fitted to declared texts; kept as Parquet with its name beside each payload."""
 
     name: str
     vocab: DataFrame
     ranks: DataFrame
     how: str = "words"
+    k: int = rankcoder.CANDIDATES
 
     @classmethod
-    def fit(cls, docs: DataFrame, name: str = "model", how: str = "words", least: int = LEAST, most: int = MOST, k: int = rankcoder.CANDIDATES) -> Model:
+    def fit(
+        cls, docs: DataFrame, name: str = "model", how: str = "words", least: int = LEAST, most: int = MOST, k: int = rankcoder.CANDIDATES,
+        most_tokens: int = rankcoder.MOST_TOKENS, most_ranks: int = rankcoder.MOST_RANKS,
+    ) -> Model:
+        """The model's size is bounded by ``most_tokens`` and ``most_ranks``; what it leaves out is coded by explicit ids."""
         tokens = rankcoder.token_rows(rankcoder.chunk_rows(docs, least, most), how)
-        vocab = rankcoder.vocabulary(tokens)
-        return cls(name, vocab, written(rankcoder.rank_table(rankcoder.item_rows(tokens, vocab), k)), how)
+        vocab = written(rankcoder.vocabulary(tokens, most_tokens))
+        return cls(name, vocab, rankcoder.rank_table(rankcoder.item_rows(tokens, vocab), k, most=most_ranks), how, k)
 
     def save(self, path: str) -> None:
+        spark = self.vocab.sparkSession
         self.vocab.write.parquet(f"{path}/vocabulary")
         self.ranks.write.parquet(f"{path}/ranks")
+        spark.createDataFrame([(self.name, self.how, self.k)], "name string, how string, k int").coalesce(1).write.parquet(f"{path}/about")
 
     @classmethod
-    def load(cls, spark, path: str, name: str, how: str = "words") -> Model:
-        return cls(name, spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/ranks"), how)
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        about = spark.read.parquet(f"{path}/about").first()
+        return cls(about["name"], spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/ranks"), about["how"], about["k"])
 
-    def windowed(self, window: int) -> DataFrame:
-        """The ranks that a context of ``window`` tokens can use; one token of context is all that the table needs."""
-        if not 1 <= window < codec.EXPLICIT_4:
-            raise ValueError("a window is from 1 to 2**27 - 1")
-        return self.ranks
+
+def items(docs: DataFrame, model: Model, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """The ids of all chunks' tokens, with those before them."""
+    return rankcoder.item_rows(rankcoder.token_rows(rankcoder.chunk_rows(docs, least, most), model.how), model.vocab)
 
 
 def coded(docs: DataFrame, model: Model, window: int = codec.WINDOW, least: int = LEAST, most: int = MOST) -> DataFrame:
     """doc_id, chunk_no, pos, kind and value."""
-    tokens = rankcoder.token_rows(rankcoder.chunk_rows(docs, least, most), model.how)
-    return rankcoder.encode_rows(rankcoder.item_rows(tokens, model.vocab), model.windowed(window))
+    return rankcoder.encode_rows(items(docs, model, least, most), model.ranks, window, model.k)
+
+
+_NONE = f"array<{codec.TOKEN}>"
+
+
+def token_streams(docs: DataFrame, model: Model, window: int = codec.WINDOW, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """doc_id and stream of every document: empty for an empty text, null for none."""
+    made = rankcoder.streams(coded(docs, model, window, least, most))
+    every = docs.select("doc_id", F.col("text").isNotNull().alias("_there")).join(made, "doc_id", "left")
+    return every.select("doc_id", F.when(F.col("_there"), F.coalesce("stream", F.array().cast(_NONE))).alias("stream"))
 
 
 def compress(docs: DataFrame, model: Model, window: int = codec.WINDOW, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """doc_id, window_size, model, payload and compressed_size of each document; an empty text is a header."""
-    streams = rankcoder.streams(coded(docs, model, window, least, most))
-    empty = F.array().cast(f"array<{codec.TOKEN}>")
-    every = docs.select("doc_id").join(streams, "doc_id", "left").withColumn("stream", F.coalesce("stream", empty))
-    payload = codec.encode(F.col("stream"), window)
-    return every.select("doc_id", F.lit(window).alias("window_size"), F.lit(model.name).alias("model"), payload.alias("payload")).withColumn(
-        "compressed_size", F.octet_length("payload").cast("long"))
+    """doc_id, window_size, model, payload, compressed_size and error of each document.
+
+    An empty text is a header.  A document without text, as a file that can't be decoded, is a row with an error.
+    """
+    rankcoder.reach(window)
+    payload = F.when(F.col("stream").isNotNull(), codec.encode(F.col("stream"), window))
+    rows = token_streams(docs, model, window, least, most).select("doc_id", F.lit(window).alias("window_size"), F.lit(model.name).alias("model"), payload.alias("payload"))
+    return rows.withColumn("compressed_size", F.octet_length("payload").cast("long")).withColumn("error", F.when(F.col("payload").isNull(), "no text"))
 
 
-def decompress(payloads: DataFrame, model: Model, joined: bool | None = None) -> DataFrame:
-    """doc_id and text of payloads; the window comes from the header.
+def decompress_chunks(payloads: DataFrame, model: Model, strict: bool = False) -> DataFrame:
+    """doc_id, chunks and error of payloads; the window comes from the header.
 
-    joined: by joins, for a rank table of any size; by default where the table is too large to broadcast.
+    strict: a stream without header, or cut off inside an id, is an error; else it is read as far as it goes.
     """
-    if joined is None:
-        joined = model.ranks.count() > rankcoder.MOST_RANKS
-    streams = payloads.select("doc_id", codec.decode(F.col("payload"))["tokens"].alias("stream"))
-    rows = rankcoder.stream_rows(streams)
-    back = (rankcoder.decode_joined if joined else rankcoder.decode_rows)(rows, model.vocab, model.ranks)
-    return payloads.select("doc_id").join(rankcoder.texts(back), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    fault = codec.fault(F.col("payload")) if strict else F.lit(None).cast("string")
+    fault = F.when(F.col("payload").isNull(), "no payload").otherwise(fault)
+    rows = payloads.select("doc_id", fault.alias("fault"), codec.decode(F.coalesce("payload", F.lit(b""))).alias("d"))
+    good = rankcoder.decode_streams(rows.where("fault is null").select("doc_id", F.col("d.window").alias("window"), F.col("d.tokens").alias("stream")), model.vocab, model.ranks, model.k)
+    bad = rows.where("fault is not null").select("doc_id", F.lit(None).cast("array<string>").alias("chunks"), F.col("fault").alias("error"))
+    return good.unionByName(bad)
+
+
+def decompress(payloads: DataFrame, model: Model, strict: bool = False) -> DataFrame:
+    """doc_id, text and error of payloads."""
+    return decompress_chunks(payloads, model, strict).select("doc_id", F.array_join("chunks", "").alias("text"), "error")
+
+
+def _original(docs: DataFrame) -> Column:
+    """Bytes of the file where they are known, else of the text in UTF-8."""
+    return (F.col("original_size") if "original_size" in docs.columns else F.octet_length("text")).cast("long").alias("original_size")
 
 
 def sizes(docs: DataFrame, model: Model, window: int = codec.WINDOW, least: int = LEAST, most: int = MOST) -> DataFrame:
     """doc_id, original_size and compressed_size with ratio and savings, without making bytes."""
-    streams = rankcoder.streams(coded(docs, model, window, least, most))
-    packed = streams.select("doc_id", codec.packed_size(F.col("stream"), window).alias("compressed_size"))
-    own = docs.select("doc_id", F.octet_length("text").cast("long").alias("original_size"))
-    head = 2 if window < codec.EXPLICIT_2 else 3 if window < codec.EXPLICIT_3 else 4
-    return reports.ratios(own.join(packed, "doc_id", "left").withColumn("compressed_size", F.coalesce("compressed_size", F.lit(head).cast("long"))))
+    packed = token_streams(docs, model, window, least, most).select("doc_id", codec.packed_size(F.col("stream"), window).alias("compressed_size"))
+    return reports.ratios(docs.select("doc_id", _original(docs)).join(packed, "doc_id"))
 
 
 def report(docs: DataFrame, model: Model, window: int = codec.WINDOW, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """One row a document: sizes, ratio, identity of text and tokens.  Times are of the whole job."""
+    """One row a document: sizes, ratio, identity of bytes, text and tokens, encoding, and an error instead of a failed job.
+
+    Columns file_name, encoding, original_size and content of ``docs`` are used where they are there: a size is the
+    file's, and ``identical_bytes`` compares its bytes.  Times are of the whole job.
+    """
     began = time.time()
     payloads = written(compress(docs, model, window, least, most))
     packed = time.time()
-    texts = written(decompress(payloads, model))
+    texts = written(decompress(payloads, model).withColumnsRenamed({"text": "back", "error": "back_error"}))
     done = time.time()
-    own = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("original_size"))
-    both = own.join(payloads, "doc_id").join(texts.withColumnRenamed("text", "back"), "doc_id")
-    again = rankcoder.streams(coded(docs, model, window, least, most)).withColumnRenamed("stream", "first")
+    again = token_streams(docs, model, window, least, most).withColumnRenamed("stream", "first")
     second = payloads.select("doc_id", codec.decode(F.col("payload"))["tokens"].alias("second"))
-    tokens = second.join(again, "doc_id", "left").select("doc_id", (F.coalesce("first", F.array().cast(f"array<{codec.TOKEN}>")) == F.col("second")).alias("tokens_identical"))
-    rows = both.join(tokens, "doc_id").select(
-        "doc_id", "window_size", "original_size", "compressed_size", (F.col("text") == F.col("back")).alias("identical"), "tokens_identical",
-        F.lit(packed - began).alias("compression_time"), F.lit(done - packed).alias("decompression_time"), F.lit(None).cast("string").alias("error"),
+    tokens = second.join(again, "doc_id").select("doc_id", F.coalesce(F.col("first") == F.col("second"), F.lit(False)).alias("tokens_identical"))
+    names = [c for c in ("file_name", "encoding") if c in docs.columns]
+    raw = F.col("content") if "content" in docs.columns else F.encode("text", "UTF-8")
+    own = docs.select("doc_id", "text", *names, raw.alias("content"), _original(docs))
+    both = own.join(payloads, "doc_id").join(texts, "doc_id").join(tokens, "doc_id")
+    out = F.encode("back", "UTF-8")
+    rows = both.select(
+        "doc_id", *names, "window_size", "original_size", "compressed_size",
+        F.coalesce(F.col("content") == out, F.lit(False)).alias("identical_bytes"), F.coalesce(rules.same_text(F.encode("text", "UTF-8"), out), F.lit(False)).alias("identical"),
+        "tokens_identical", F.lit(packed - began).alias("compression_time"), F.lit(done - packed).alias("decompression_time"), F.coalesce("error", "back_error").alias("error"),
     )
     return reports.ratios(rows)
 
 
-def sweep(docs: DataFrame, model: Model, start: int = 20, count: int = 10, step: int = 16, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """Totals for each window size.  The coded tokens are made once; only the header depends on the size."""
-    streams = rankcoder.streams(coded(docs, model, start, least, most))
-    windows = F.explode(F.sequence(F.lit(start), F.lit(start + (count - 1) * step), F.lit(step))).alias("window_size")
-    packed = streams.select("doc_id", "stream", windows).select("doc_id", "window_size", codec.packed_size(F.col("stream"), F.col("window_size")).alias("compressed_size"))
-    own = docs.select("doc_id", F.octet_length("text").cast("long").alias("original_size"))
-    return reports.corpus(packed.join(own, "doc_id"), "window_size").drop("n_identical")
+def sweep(docs: DataFrame, model: Model, windows: Sequence[int], least: int = LEAST, most: int = MOST, timed: bool = False) -> DataFrame:
+    """Totals for each window size: sizes and ratios, and with ``timed`` also identity and seconds of both ways.
+
+    Tokens are looked up once.  Windows that let the same contexts through share their streams; the header depends on each.
+    """
+    if timed:
+        made = [reports.corpus(report(docs, model, w, least, most), "window_size", "compression_time", "decompression_time") for w in windows]
+        out = made[0]
+        for more in made[1:]:
+            out = out.unionByName(more)
+        return out
+    own = written(items(docs, model, least, most))
+    sizes_ = None
+    for longest in sorted({rankcoder.reach(w) for w in windows}):
+        same = [w for w in windows if rankcoder.reach(w) == longest]
+        made = rankcoder.streams(rankcoder.encode_rows(own, model.ranks, longest, model.k))
+        every = docs.where("text is not null").select("doc_id").join(made, "doc_id", "left").withColumn("stream", F.coalesce("stream", F.array().cast(_NONE)))
+        each = every.select("doc_id", "stream", F.explode(F.array(*map(F.lit, same))).alias("window_size"))
+        packed = each.select("doc_id", "window_size", codec.packed_size(F.col("stream"), F.col("window_size")).alias("compressed_size"))
+        sizes_ = packed if sizes_ is None else sizes_.union(packed)
+    return reports.corpus(sizes_.join(docs.select("doc_id", _original(docs)), "doc_id"), "window_size").drop("n_identical")

@@ -1,19 +1,25 @@
 """Named queries over the driver's tables, with their DuckDB counterparts.
 
-The rank model is fitted to documents with an even id and applied to the others, so ratios are
-of texts that the model has not seen.
+The rank model is fitted to all documents.  It codes all documents and all turns of the
+conversations: the latter, whose ids are negative and whose language is ``talk``, are texts that
+the model has not seen, so their ratios are held out.  Model, coded streams and the folder of
+files are made once in an application and read by all queries that need them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom import client
 from rankloom.functions import codec, splitter, text
-from rankloom.operators import rankcoder, reports
-from rankloom.plans import compress, sql
+from rankloom.operators import external, rankcoder, reports
+from rankloom.plans import compress, folder, sql
+from rankloom.sources import files
+from rankloom.sources.tables import kept, own_dir
 
 LEAST, MOST = 100, 500
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,16 +59,33 @@ variants AS (
 
 
 def model(spark: SparkSession, sf_dir: str) -> compress.Model:
-    return compress.Model.fit(documents(spark, sf_dir).where("doc_id % 2 = 0"), "even documents")
+    """Fitted once, saved, and loaded."""
 
+    def made() -> DataFrame:
+        path = f"{own_dir(spark)}/model-{uuid.uuid4().hex}"
+        compress.Model.fit(documents(spark, sf_dir), "documents").save(path)
+        return spark.createDataFrame([(path,)], "path string").coalesce(1)
 
-def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where("doc_id % 2 = 1")
+    return compress.Model.load(spark, kept(spark, ("model", sf_dir), made).first()["path"])
 
 
-_ALL = f"{sql.chunks('documents', 'doc_id', LEAST, MOST)},{sql.tokens()}"
-_EVEN = f"{_ALL}, even AS (SELECT * FROM tokens WHERE doc_id % 2 = 0), odd AS (SELECT * FROM tokens WHERE doc_id % 2 = 1),{sql.model('even')}"
-_CODED = f"{_EVEN},{sql.items('odd')},{sql.coded()}"
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text and lang of all documents and of all turns."""
+    talk = table(spark, sf_dir, "conversations")
+    turns = talk.select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("doc_id"), "text", F.lit("talk").alias("lang"))
+    return documents(spark, sf_dir).union(turns)
+
+
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and stream of all texts."""
+    return kept(spark, ("streams", sf_dir), lambda: compress.token_streams(texts(spark, sf_dir), model(spark, sf_dir)))
+
+
+_TEXTS = "texts AS (SELECT doc_id, lang, text FROM documents UNION ALL SELECT -1 - conv_id * 1000 - turn, 'talk', text FROM conversations)"
+_ALL = f"{_TEXTS},{sql.chunks('texts', 'doc_id', LEAST, MOST)},{sql.tokens()}"
+_MODEL = f"{_ALL}, seen AS (SELECT * FROM tokens WHERE doc_id >= 0),{sql.model('seen')}"
+_LOOKED = f"{_MODEL},{sql.items('tokens')},{sql.looked()}"
+_CODED = f"{_LOOKED},{sql.coded()}"
 _STREAMS = f"{_CODED},{sql.streams()}"
 
 
@@ -175,15 +198,14 @@ def detokenize_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(back).alias("md5"), (back == F.col("text")).alias("identical"))
 
 
-@query(f"WITH {_EVEN} SELECT c.token AS context, w.token, ranks.n::BIGINT AS n, rank FROM ranks JOIN vocab c ON ctx = c.token_id JOIN vocab w ON ranks.token_id = w.token_id")
+@query(f"WITH {_MODEL} SELECT ctx, token, ranks.n::BIGINT AS n, rank FROM ranks JOIN vocab USING (token_id)")
 def rank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model(spark, sf_dir)
-    context, word = (m.vocab.select(F.col("token_id").alias(i), F.col("token").alias(t)) for i, t in (("ctx", "context"), ("token_id", "token")))
-    return m.ranks.join(context, "ctx").join(word, "token_id").select("context", "token", "n", "rank")
+    return m.ranks.join(m.vocab.select("token_id", "token"), "token_id").select("ctx", "token", "n", "rank")
 
 
 @query(f"""
-WITH {_EVEN}, asked AS (SELECT token, token_id AS ctx FROM vocab WHERE token_id < 50)
+WITH {_MODEL}, asked AS (SELECT token, token_id + 1 AS ctx FROM vocab WHERE token_id < 50)
 SELECT asked.token, rank, w.token AS next, ranks.n::BIGINT AS n FROM asked JOIN ranks USING (ctx) JOIN vocab w ON ranks.token_id = w.token_id WHERE rank < 10""")
 def next_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten likeliest words after each of the fifty most frequent ones: a top-k report."""
@@ -191,6 +213,23 @@ def next_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankcoder.next_words(m.vocab.where("token_id < 50").select("token"), m.vocab, m.ranks, 10)
 
 
+@query(f"""
+WITH {_MODEL}, said AS (SELECT DISTINCT token AS word FROM tokens WHERE doc_id < 0)
+SELECT word, CASE WHEN token_id IS NOT NULL THEN token_id::VARCHAR
+    ELSE array_to_string(list_transform(string_split(word, ''), lambda c: (unicode(c) + size)::VARCHAR), ',') END AS ids, word AS back
+FROM said LEFT JOIN vocab ON token = word, (SELECT count(*) AS size FROM vocab)""")
+def word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all words of the conversations, and the words that these ids stand for."""
+    m = model(spark, sf_dir)
+    turns = texts(spark, sf_dir).where("lang = 'talk'")
+    words = rankcoder.token_rows(rankcoder.chunk_rows(turns, LEAST, MOST)).select(F.col("token").alias("word")).distinct()
+    asked = rankcoder.word_ids(words, m.vocab)
+    each = rankcoder.id_words(asked.select(F.col("word").alias("asked"), F.posexplode("ids").alias("at", "token_id")), m.vocab)
+    told = each.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("at", "token_id", "word"))).alias("r"))
+    joined = lambda f, sep: F.array_join(F.transform("r", lambda x: x[f].cast("string")), sep)
+    return told.select(F.col("asked").alias("word"), joined("token_id", ",").alias("ids"), joined("word", "").alias("back"))
+
+
 @query(f"""
 WITH talk AS (SELECT conv_id AS doc_id, turn AS chunk_no, text AS chunk FROM conversations),{sql.tokens("talk")}
 SELECT doc_id AS conv_id, chunk_no AS turn, pos::INT AS pos, token,
@@ -203,16 +242,16 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CODED} SELECT doc_id, chunk_no, pos, kind, value FROM coded")
 def rank_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compress.coded(held_out(spark, sf_dir), model(spark, sf_dir))
+    return compress.coded(texts(spark, sf_dir), model(spark, sf_dir))
 
 
 @query(f"""
-WITH {_CODED} SELECT lang, count(*)::BIGINT AS n_tokens, (count(*) FILTER (kind = 'r'))::BIGINT AS n_ranks, (count(*) FILTER (kind = 'e'))::BIGINT AS n_explicit,
+WITH {_CODED} SELECT lang, lang = 'talk' AS held_out, count(*)::BIGINT AS n_tokens, (count(*) FILTER (kind = 'r'))::BIGINT AS n_ranks, (count(*) FILTER (kind = 'e'))::BIGINT AS n_explicit,
   round(100 * (count(*) FILTER (kind = 'r')) / count(*), 6) AS pct_ranks, round(100 * (count(*) FILTER (kind = 'e')) / count(*), 6) AS pct_explicit
-FROM coded JOIN documents USING (doc_id) GROUP BY lang""")
+FROM coded JOIN texts USING (doc_id) GROUP BY lang""")
 def rank_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = held_out(spark, sf_dir)
-    return reports.token_mix(compress.coded(docs, model(spark, sf_dir)).join(docs.select("doc_id", "lang"), "doc_id"), "lang")
+    rows = rankcoder.stream_rows(streams(spark, sf_dir)).join(texts(spark, sf_dir).select("doc_id", "lang", (F.col("lang") == "talk").alias("held_out")), "doc_id")
+    return reports.token_mix(rows, "lang", "held_out")
 
 
 @query(f"""
@@ -224,96 +263,150 @@ def explicit_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.groupBy("doc_id", codec.explicit_width(F.ascii("c") * 64).alias("width")).agg(F.count("*").alias("n"))
 
 
-def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rankcoder.streams(compress.coded(held_out(spark, sf_dir), model(spark, sf_dir)))
-
-
 @query(f"""
 WITH {_STREAMS}, runs AS (SELECT doc_id, list_transform(regexp_extract_all(written, '(?:z.{{7}}){{2,}}'), lambda u: length(u) // 8) AS r, written FROM streams)
 SELECT doc_id, len(r)::BIGINT AS n_runs, coalesce(list_max(r), 0)::BIGINT AS longest, (length(regexp_extract(written, '^((?:z.{{7}})*)', 1)) // 8)::BIGINT AS leading FROM runs""")
 def zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _streams(spark, sf_dir).withColumn("r", codec.zero_runs(F.col("stream")))
+    runs = streams(spark, sf_dir).withColumn("r", codec.zero_runs(F.col("stream")))
     longest = F.coalesce(F.array_max("r"), F.lit(0)).cast("long").alias("longest")
     return runs.select("doc_id", F.size("r").cast("long").alias("n_runs"), longest, codec.leading_zeros(F.col("stream")).cast("long").alias("leading"))
 
 
 @query(f"WITH {_STREAMS} SELECT doc_id, len(u)::BIGINT AS n_units, md5(array_to_string(u, ' ')) AS md5 FROM (SELECT doc_id, {sql.units('written')} AS u FROM streams)")
 def pack_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _streams(spark, sf_dir).withColumn("u", codec.units(F.col("stream")))
+    rows = streams(spark, sf_dir).withColumn("u", codec.units(F.col("stream")))
     return rows.select("doc_id", F.size("u").cast("long").alias("n_units"), F.md5(F.array_join("u", " ")).alias("md5"))
 
 
 @query(f"WITH {_STREAMS} SELECT doc_id, {sql.packed_size('written', '64')} AS compressed_size FROM streams")
 def packed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streams(spark, sf_dir).select("doc_id", codec.packed_size(F.col("stream")).alias("compressed_size"))
+    return streams(spark, sf_dir).select("doc_id", codec.packed_size(F.col("stream")).alias("compressed_size"))
 
 
 @query(f"WITH {_STREAMS} SELECT doc_id, {sql.encoded('written', '64')} AS payload_hex FROM streams")
 def encode_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streams(spark, sf_dir).select("doc_id", codec.encode_hex(F.col("stream")).alias("payload_hex"))
+    return streams(spark, sf_dir).select("doc_id", codec.encode_hex(F.col("stream")).alias("payload_hex"))
 
 
 @query(f"""
-WITH {_STREAMS}, hexed AS (SELECT doc_id, {sql.encoded('written', '(64 + doc_id * 1000)')} AS h FROM streams)
-SELECT doc_id, (64 + doc_id * 1000)::INT AS window_size, md5({sql.decoded('h')}) AS md5 FROM hexed""")
+WITH {_STREAMS}, hexed AS (SELECT doc_id, {sql.encoded('written', '(64 + abs(doc_id) % 100000 * 1000)')} AS h FROM streams)
+SELECT doc_id, (64 + abs(doc_id) % 100000 * 1000)::INT AS window_size, md5({sql.decoded('h')}) AS md5 FROM hexed""")
 def decode_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hexed = _streams(spark, sf_dir).select("doc_id", codec.encode_hex(F.col("stream"), F.col("doc_id") * 1000 + 64).alias("h"))
+    hexed = streams(spark, sf_dir).select("doc_id", codec.encode_hex(F.col("stream"), F.abs("doc_id") % 100_000 * 1000 + 64).alias("h"))
     back = hexed.withColumn("d", codec.decode_hex(F.col("h")))
     return back.select("doc_id", F.col("d.window").alias("window_size"), F.md5(codec.written(F.col("d.tokens"))).alias("md5"))
 
 
 @query(f"WITH {_CODED} SELECT doc_id, chunk_no, count(*)::BIGINT AS n_tokens, md5(string_agg({sql.written('kind', 'value')}, '' ORDER BY pos)) AS md5 FROM coded GROUP BY ALL")
 def split_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _streams(spark, sf_dir).select("doc_id", F.posexplode(codec.split_breaks(F.col("stream"))).alias("chunk_no", "tokens"))
+    cut = streams(spark, sf_dir).select("doc_id", F.posexplode(codec.split_breaks(F.col("stream"))).alias("chunk_no", "tokens"))
     return cut.select("doc_id", "chunk_no", F.size("tokens").cast("long").alias("n_tokens"), F.md5(codec.written(F.col("tokens"))).alias("md5"))
 
 
 @query(f"WITH {_STREAMS} SELECT doc_id, (length(written) // 8)::BIGINT AS n_tokens, true AS identical FROM streams")
 def roundtrip_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = codec.decode(codec.encode(F.col("stream")))["tokens"]
-    return _streams(spark, sf_dir).select("doc_id", F.size("stream").cast("long").alias("n_tokens"), (back == F.col("stream")).alias("identical"))
+    return streams(spark, sf_dir).select("doc_id", F.size("stream").cast("long").alias("n_tokens"), (back == F.col("stream")).alias("identical"))
+
+
+@query(f"WITH {_STREAMS} SELECT doc_id, (length(written) // 8)::BIGINT AS n_tokens, md5(written) AS md5 FROM streams")
+def combine_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks taken apart and put together again."""
+    chunks = rankcoder.stream_rows(streams(spark, sf_dir)).groupBy("doc_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "value"))).alias("t"))
+    tokens = F.transform("t", lambda x: codec.token(x["kind"], x["value"]))
+    whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", tokens.alias("tokens")))).alias("c"))
+    made = whole.withColumn("s", codec.combine(F.transform("c", lambda x: x["tokens"])))
+    return made.select("doc_id", F.size("s").cast("long").alias("n_tokens"), F.md5(codec.written(F.col("s"))).alias("md5"))
+
+
+@query(f"""
+WITH {_STREAMS} SELECT doc_id, len(list_filter(range(0, length(written) // 8 - 1), lambda i: written[8 * i + 1] IN ('z', 's') AND written[8 * i + 9] IN ('z', 's')))::BIGINT AS n_pairs
+FROM streams""")
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams(spark, sf_dir).where(F.size("stream") > 0).select("doc_id", codec.pairs(F.col("stream")).cast("long").alias("n_pairs"))
 
 
-@query("SELECT doc_id, text, true AS identical FROM documents WHERE doc_id % 2 = 1")
+@query(f"WITH {_STREAMS} SELECT doc_id, len(regexp_extract_all({sql.encoded('written', '64')}, '{sql.BYTES}'))::BIGINT AS n_units FROM streams")
+def sql_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte units of all payloads, by a table function of SQL."""
+    client.register_functions(spark)
+    streams(spark, sf_dir).select("doc_id", codec.encode(F.col("stream")).alias("payload")).createOrReplaceTempView("rank_payloads")
+    return spark.sql("SELECT doc_id, count(*) AS n_units FROM rank_payloads, LATERAL rank_units(payload) GROUP BY doc_id")
+
+
+@query("SELECT doc_id, text, true AS identical FROM documents UNION ALL SELECT -1 - conv_id * 1000 - turn, text, true FROM conversations")
 def roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, m = held_out(spark, sf_dir), model(spark, sf_dir)
-    back = compress.decompress(compress.compress(docs, m), m).withColumnRenamed("text", "back")
-    return docs.join(back, "doc_id").select("doc_id", F.col("back").alias("text"), text.same_text(F.col("text").cast("binary"), F.col("back").cast("binary")).alias("identical"))
+    payloads = streams(spark, sf_dir).select("doc_id", codec.encode(F.col("stream")).alias("payload"))
+    back = compress.decompress(payloads, model(spark, sf_dir)).withColumnRenamed("text", "back")
+    same = text.same_text(F.col("text").cast("binary"), F.col("back").cast("binary"))
+    return texts(spark, sf_dir).join(back, "doc_id").select("doc_id", F.col("back").alias("text"), same.alias("identical"))
 
 
 _SIZES = f"""{_STREAMS},
 sizes AS (
   SELECT doc_id, lang, strlen(text)::BIGINT AS original_size, coalesce({sql.packed_size('written', '64')}, 2) AS compressed_size
-  FROM documents LEFT JOIN streams USING (doc_id) WHERE doc_id % 2 = 1)"""
+  FROM texts LEFT JOIN streams USING (doc_id))"""
 _RATIOS = """round(CASE WHEN compressed_size > 0 THEN original_size / compressed_size ELSE 0 END, 6) AS compression_ratio,
   round((1 - compressed_size / nullif(original_size, 0)) * 100, 6) AS space_savings"""
 
 
-@query(f"WITH {_SIZES} SELECT doc_id, original_size, compressed_size, {_RATIOS} FROM sizes")
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = streams(spark, sf_dir).select("doc_id", codec.packed_size(F.col("stream")).alias("compressed_size"))
+    return files.from_texts(texts(spark, sf_dir)).select("doc_id", "lang", "original_size").join(packed, "doc_id")
+
+
+@query(f"WITH {_SIZES} SELECT doc_id, doc_id < 0 AS held_out, original_size, compressed_size, {_RATIOS} FROM sizes")
 def ratio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compress.sizes(held_out(spark, sf_dir), model(spark, sf_dir))
+    return reports.ratios(_sized(spark, sf_dir).select("doc_id", (F.col("doc_id") < 0).alias("held_out"), "original_size", "compressed_size"))
 
 
-@query(f"""
-WITH {_SIZES}, totals AS (
-  SELECT lang, count(*)::BIGINT AS n_files, sum(original_size)::BIGINT AS original_size, sum(compressed_size)::BIGINT AS compressed_size, 0::BIGINT AS n_identical FROM sizes GROUP BY lang)
-SELECT lang, n_files, original_size, compressed_size, n_identical, {_RATIOS} FROM totals""")
+_TOTALS = f"""{_SIZES}, totals AS (
+  SELECT lang, count(*)::BIGINT AS n_files, sum(original_size)::BIGINT AS original_size, sum(compressed_size)::BIGINT AS compressed_size, 0::BIGINT AS n_identical FROM sizes GROUP BY lang)"""
+
+
+@query(f"WITH {_TOTALS} SELECT lang, n_files, original_size, compressed_size, n_identical, {_RATIOS} FROM totals")
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = held_out(spark, sf_dir)
-    sizes = compress.sizes(docs, model(spark, sf_dir)).select("doc_id", "original_size", "compressed_size")
-    return reports.corpus(sizes.join(docs.select("doc_id", "lang"), "doc_id"), "lang")
+    return reports.corpus(_sized(spark, sf_dir), "lang")
 
 
 @query(f"""
-WITH {_STREAMS}, windows AS (SELECT unnest([20, 1020, 8020, 9020, 1048600]) AS window_size),
-sizes AS (SELECT window_size, strlen(text) AS o, {sql.packed_size('written', 'window_size')} AS c FROM streams JOIN documents USING (doc_id), windows),
-totals AS (SELECT window_size, count(*)::BIGINT AS n_files, sum(o)::BIGINT AS original_size, sum(c)::BIGINT AS compressed_size FROM sizes GROUP BY window_size)
-SELECT window_size::INT AS window_size, n_files, original_size, compressed_size, {_RATIOS} FROM totals""")
+WITH {_TOTALS} SELECT lang, n_files, format('{{:,}} bytes', original_size) AS original_size, format('{{:,}} bytes', compressed_size) AS compressed_size, n_identical,
+  printf('%.2fx', original_size / compressed_size) AS compression_ratio, printf('%.2f%%', (1 - compressed_size / original_size) * 100) AS space_savings FROM totals""")
+def displayed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.displayed(corpus_report(spark, sf_dir))
+
+
+WINDOWS = [1, 2, 3, 64, 9020, 1048600]
+_SWEEP = f"""{_LOOKED},{sql.coded(name='coded1', longest=1)},{sql.streams('coded1', 'streams1')},{sql.coded(name='coded2', longest=2)},{sql.streams('coded2', 'streams2')},
+  {sql.coded(name='coded3', longest=3)},{sql.streams('coded3', 'streams3')},
+windows AS (SELECT unnest({WINDOWS}) AS window_size),
+each AS (
+  SELECT window_size, doc_id, written FROM windows, streams1 WHERE window_size = 1 UNION ALL
+  SELECT window_size, doc_id, written FROM windows, streams2 WHERE window_size = 2 UNION ALL
+  SELECT window_size, doc_id, written FROM windows, streams3 WHERE window_size > 2),
+sizes AS (SELECT window_size, strlen(text) AS o, {sql.packed_size('written', 'window_size')} AS c FROM each JOIN texts USING (doc_id)),
+totals AS (SELECT window_size, count(*)::BIGINT AS n_files, sum(o)::BIGINT AS original_size, sum(c)::BIGINT AS compressed_size FROM sizes GROUP BY window_size),
+sweep AS (SELECT window_size::INT AS window_size, n_files, original_size, compressed_size, {_RATIOS} FROM totals)"""
+
+
+@query(f"WITH {_SWEEP} SELECT * FROM sweep")
 def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows on both sides of the header's widths."""
-    docs, m = held_out(spark, sf_dir), model(spark, sf_dir)
-    small = compress.sweep(docs, m, 20, 2, 1000).union(compress.sweep(docs, m, 8020, 2, 1000))
-    return small.union(compress.sweep(docs, m, 1048600, 1, 16))
+    """Windows that let one, two or three tokens of context through, on both sides of the header's widths."""
+    return kept(spark, ("sweep", sf_dir), lambda: compress.sweep(texts(spark, sf_dir), model(spark, sf_dir), WINDOWS))
+
+
+@query(f"WITH {_SWEEP} SELECT * FROM sweep ORDER BY compression_ratio DESC, window_size LIMIT 1")
+def best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one best window: an arg-max."""
+    return reports.best_window(window_sweep(spark, sf_dir))
+
+
+def fastest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one fastest window: an arg-min over measured times, so without SQL."""
+    return reports.fastest_window(compress.sweep(texts(spark, sf_dir), model(spark, sf_dir), [1, 3], timed=True))
+
+
+QUERIES["fastest_window"] = fastest_window
 
 
 @query(f"""
@@ -322,8 +415,141 @@ n AS (SELECT doc_id, count(*)::BIGINT AS n_tokens, (count(*) FILTER (pos % 97 =
 SELECT doc_id, n_tokens, n_diffs, round(100 * n_diffs / n_tokens, 6) AS pct_diffs, n_diffs = 0 AS identical FROM n""")
 def token_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams against themselves with some values changed and some tokens lost."""
-    flat = _streams(spark, sf_dir).select("doc_id", F.filter("stream", lambda t: ~codec.is_break(t)).alias("s")).select("doc_id", F.posexplode("s").alias("pos", "t"))
+    flat = streams(spark, sf_dir).select("doc_id", F.filter("stream", lambda t: ~codec.is_break(t)).alias("s")).select("doc_id", F.posexplode("s").alias("pos", "t"))
     first = flat.select("doc_id", "pos", "t.kind", "t.value")
     value = F.when(F.col("pos") % 97 == 5, F.col("value") + 1).otherwise(F.col("value")).alias("value")
     second = first.where("pos % 211 <> 7").select("doc_id", "pos", "kind", value)
     return reports.difference_rate(reports.token_diff(first, second), first)
+
+
+_LISTED = f"""{_STREAMS}, listed_tokens AS (
+  SELECT doc_id, length(written) // 8 AS n, list_transform(range(0, length(written) // 8), lambda i: {{
+    'k': CASE WHEN written[8 * i + 1] = 'E' THEN 'Expl' WHEN written[8 * i + 1] = 'B' THEN 'Break' ELSE 'Rank' END, 'v': ('0x' || written[8 * i + 2:8 * i + 8])::INT}}) AS t FROM streams)"""
+_KINDS_OF = "len(list_filter(t, lambda x: x.k = '{}'))"
+
+
+@query(f"""
+WITH {_LISTED}, counted AS (SELECT *, {_KINDS_OF.format("Rank")} AS r, {_KINDS_OF.format("Expl")} AS e FROM listed_tokens)
+SELECT doc_id, md5('Index | Type | Value' || chr(10) || array_to_string(list_transform(range(1, n + 1), lambda i: printf('%5d | %s | %d', i - 1, t[i].k, t[i].v)), chr(10)) || chr(10)
+  || printf('Tokens: %d', n) || chr(10) || printf('Ranks: %d, %.2f%%', r, round(100 * r / n, 2)) || chr(10) || printf('Explicit: %d, %.2f%%', e, round(100 * e / n, 2))) AS md5 FROM counted""")
+def token_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.token_dumps(streams(spark, sf_dir).where(F.size("stream") > 0)).select("doc_id", F.md5("dump").alias("md5"))
+
+
+@query(f"""
+WITH {_LISTED}, odd AS (SELECT doc_id, n, t, list_filter(range(1, n + 1), lambda i: i % 101 = 50 OR i = n) AS o FROM listed_tokens)
+SELECT doc_id, md5(printf('Tokens differ: %d of %d, %d decoded', len(o), n, n - 1) || chr(10) || array_to_string(list_transform(o, lambda i: printf('%5d | %s %d | %s', i - 1, t[i].k, t[i].v,
+  CASE WHEN i = n THEN 'none' ELSE printf('%s %d', t[i].k, t[i].v + 1) END)), chr(10)) || chr(10) || printf('Differences: %.2f%%', round(100 * len(o) / n, 2))) AS md5 FROM odd""")
+def token_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams against themselves with some values raised and the last token lost."""
+    first = streams(spark, sf_dir).where(F.size("stream") > 0)
+    changed = F.transform("stream", lambda t, i: codec.token(t["kind"], t["value"] + F.when(i % 101 == 49, 1).otherwise(0)))
+    second = first.select("doc_id", F.slice(changed, 1, F.size("stream") - 1).alias("stream"))
+    return reports.token_comparisons(first, second).select("doc_id", F.md5("comparison").alias("md5"))
+
+
+@query("""
+WITH torn AS (
+  SELECT doc_id, text, length(text) AS n, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN doc_id % length(text) ELSE greatest(length(text) - 10, 0) END AS d,
+    CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text[1:doc_id % length(text)] || chr(1) || text[doc_id % length(text) + 2:] ELSE text[1:length(text) - 10] END AS back FROM documents)
+SELECT doc_id, md5(text) AS md5_one, md5(back) AS md5_two, d IS NULL AS ok, d::BIGINT AS first_difference, text[d + 1:d + 20] AS excerpt_one, back[d + 1:d + 20] AS excerpt_two,
+  CASE WHEN doc_id % 3 = 2 THEN text[d + 1:d + 50] END AS missing_tail FROM torn""")
+def torn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text beside itself, with a character changed, or without its last ten."""
+    n, at = F.length("text"), (F.col("doc_id") % F.length("text")).cast("int")
+    changed = F.concat(F.substring("text", F.lit(1), at), F.lit("\x01"), F.substring("text", at + 2, n))
+    back = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, changed).otherwise(F.substring("text", F.lit(1), F.greatest(n - 10, F.lit(0))))
+    return reports.compared(documents(spark, sf_dir).select("doc_id", "text", back.alias("back")), "text", "back").drop("text", "back")
+
+
+_TYPED = {k: v for k, v in text.ENDINGS.items()}
+
+
+@query(f"""
+WITH cut AS (SELECT doc_id, kind, CASE kind {" ".join(f"WHEN '{k}' THEN regexp_extract_all(text, '(?s).*?(?:\\n\\n|{v}|\\z)')" for k, v in _TYPED.items())} END AS p
+  FROM documents, (SELECT unnest({list(_TYPED)}) AS kind)),
+whole AS (SELECT doc_id, kind, list_filter(p, lambda v: v <> '') AS p FROM cut)
+SELECT doc_id, kind, len(p)::BIGINT AS n_pieces, md5(array_to_string(p, chr(1))) AS md5 FROM whole""")
+def typed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).repartition("doc_id")
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), text.typed_pieces(F.col("text"), k).alias("p")) for k in text.ENDINGS])
+    return docs.select("doc_id", F.inline(each)).select("doc_id", "kind", F.size("p").cast("long").alias("n_pieces"), F.md5(F.array_join("p", "\x01")).alias("md5"))
+
+
+@query(f"""
+WITH {sql.chunks("documents", "doc_id", LEAST, MOST)},
+points AS (SELECT doc_id, chunk_no, unnest(l) AS u, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, chunk_no, list_transform(string_split(chunk, ''), lambda c: unicode(c)) AS l FROM chunks)),
+near AS (SELECT *, u - lag(u) OVER (PARTITION BY doc_id, chunk_no ORDER BY pos) AS d FROM points)
+SELECT doc_id, chunk_no, count(*)::BIGINT AS n_tokens, md5(string_agg({sql.written("CASE WHEN d BETWEEN 0 AND 63 THEN 'r' ELSE 'e' END", "(CASE WHEN d BETWEEN 0 AND 63 THEN d ELSE u END)")}, '' ORDER BY pos)) AS md5,
+  true AS identical FROM near GROUP BY doc_id, chunk_no""")
+def external_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks coded and decoded by a model from outside the engine."""
+    chunks = rankcoder.chunk_rows(documents(spark, sf_dir), LEAST, MOST)
+    made = external.detokenize_chunks(external.tokenize_chunks(chunks, external.NextPoints), external.NextPoints)
+    return made.select("doc_id", "chunk_no", F.size("tokens").cast("long").alias("n_tokens"), F.md5(codec.written(F.col("tokens"))).alias("md5"), (F.col("chunk") == F.col("text")).alias("identical"))
+
+
+#: Files of a language; what a file's number decides: CR LF, Latin-1 where that can say it, or UTF-8.
+FILES = 6
+_FILES = f"""
+whole AS (SELECT lang || '-' || doc_id % {FILES} || ['.txt', '.md', '.PY'][doc_id % {FILES} % 3 + 1] AS doc_id, any_value(doc_id % {FILES} % 3) AS kind, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text
+  FROM documents GROUP BY 1),
+files AS (
+  SELECT *, kind = 1 AND regexp_full_match(text, '(?s)[\\x{{00}}-\\x{{FF}}]*') AS narrow FROM whole),
+raw AS (
+  SELECT doc_id, text, CASE WHEN narrow AND strlen(text) <> length(text) THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+    (CASE WHEN kind = 0 THEN strlen(text) + len(string_split(text, chr(10))) - 1 WHEN narrow THEN length(text) ELSE strlen(text) END)::BIGINT AS original_size,
+    kind = 0 AND contains(text, chr(10)) AS changed FROM files)"""
+
+
+def corpus_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with all documents in files of every encoding, and two that are hidden."""
+
+    def made() -> DataFrame:
+        path, number = f"{own_dir(spark)}/files-{uuid.uuid4().hex}", F.col("doc_id") % FILES
+        ends = F.get(F.array(*map(F.lit, [".txt", ".md", ".PY"])), (number % 3).cast("int"))
+        docs = documents(spark, sf_dir).groupBy(F.concat("lang", F.lit("-"), number.cast("string"), ends).alias("name"), (number % 3).alias("kind"))
+        whole = docs.agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d")).withColumn("text", F.array_join(F.transform("d", lambda x: x["text"]), "\n\n"))
+        narrow = (F.col("kind") == 1) & F.col("text").rlike(r"(?s)\A[\x00-\xFF]*\z")
+        raw = F.when(F.col("kind") == 0, F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")).when(narrow, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+        files.write_files(whole.withColumn("raw", raw), path, "name", "raw")
+        hidden = spark.createDataFrame([(".hidden.txt", b"x"), ("_under.txt", b"y\r\n")], "name string, raw binary")
+        files.write_files(hidden, path, "name", "raw")
+        return spark.createDataFrame([(path,)], "path string").coalesce(1)
+
+    return kept(spark, ("files", sf_dir), made).first()["path"]
+
+
+@query(f"""
+WITH {_FILES} SELECT doc_id AS file_name, CASE WHEN doc_id LIKE '%.PY' THEN 'python' WHEN doc_id LIKE '%.md' THEN 'markdown' ELSE 'general' END AS file_type,
+  encoding, original_size, md5(text) AS md5, CASE WHEN encoding = 'utf-8' THEN md5(text) END AS utf8_md5 FROM raw""")
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = corpus_files(spark, sf_dir)
+    strict = files.scan_texts(spark, path, utf8_only=True).select("file_name", F.md5("text").alias("utf8_md5"))
+    return files.scan_texts(spark, path).select("file_name", "file_type", "encoding", "original_size", F.md5("text").alias("md5")).join(strict, "file_name")
+
+
+@query(f"WITH {_FILES} SELECT doc_id AS file_name, original_size AS n_bytes FROM raw UNION ALL SELECT '_under.txt', 3")
+def folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regular files whose name does not begin with a dot."""
+    return files.scan_bytes(spark, corpus_files(spark, sf_dir), hidden=True).select(text.base_name(F.col("path")).alias("file_name"), F.col("length").alias("n_bytes"))
+
+
+_FILE_STREAMS = f"""{_FILES},{sql.chunks("documents", "doc_id", LEAST, MOST)},{sql.tokens()},{sql.model("tokens")},
+  {sql.chunks("raw", "doc_id", LEAST, MOST, "parts")},{sql.tokens("parts", "words")},{sql.items("words")},{sql.looked()},{sql.coded()},{sql.streams()}"""
+
+
+@query(f"""
+WITH {_FILE_STREAMS}, sized AS (
+  SELECT doc_id AS file_name, raw.encoding, original_size, changed, raw.encoding = 'utf-8' AS good, CASE WHEN raw.encoding = 'utf-8' THEN {sql.packed_size("written", "100")} END AS compressed_size, md5(text) AS md5
+  FROM raw JOIN streams USING (doc_id))
+SELECT file_name, encoding, 100 AS window_size, original_size, compressed_size, good AND NOT changed AS identical_bytes, good AS identical, good AS tokens_identical,
+  CASE WHEN NOT good THEN 'no text' END AS error, CASE WHEN NOT good THEN 0.0 ELSE round(original_size / compressed_size, 6) END AS compression_ratio, round((1 - compressed_size / original_size) * 100, 6) AS space_savings,
+  compressed_size AS bin_size, CASE WHEN good THEN md5 END AS result_md5 FROM sized""")
+def folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder compressed to files, decompressed to files and compared.  Only UTF-8 is read, so other files are rows with an error."""
+    out = f"{own_dir(spark)}/output-{uuid.uuid4().hex}"
+    told = folder.run(spark, corpus_files(spark, sf_dir), out, model(spark, sf_dir), 100, LEAST, MOST, utf8_only=True)
+    bins = files.scan_payloads(spark, f"{out}/Compressed").select("file_name", F.octet_length("payload").cast("long").alias("bin_size"))
+    back = files.scan_texts(spark, f"{out}/Results").select("file_name", F.md5("text").alias("result_md5"))
+    return told.drop("doc_id", "compression_time", "decompression_time").join(bins, "file_name", "left").join(back, "file_name", "left")

@@ -29,7 +29,7 @@ def scan_bytes(spark: SparkSession, path: str | list[str], hidden: bool = False)
 
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                system, inner = fs.FileSystem.from_uri(name)
+                system, inner = fs.FileSystem.from_uri(name if "://" in name else "file:///" + name.removeprefix("file:").lstrip("/"))
                 with system.open_input_file(inner) as f:
                     raw = f.read()
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([raw], pa.binary()), pa.array([len(raw)], pa.int64())], ["path", "content", "length"])
@@ -50,7 +50,7 @@ def _listed(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]
 
 
 def scan_texts(spark: SparkSession, path: str | list[str], preserve_newlines: bool = False, utf8_only: bool = False) -> DataFrame:
-    """path, file_name, file_type, encoding, text and original_size (bytes) of each file.
+    """path, file_name, file_type, encoding, text, original_size (bytes) and content of each file.
 
     Bytes are UTF-8, or else Latin-1 as a whole; ``utf8_only`` leaves the text of such a file null.
     """
@@ -61,10 +61,16 @@ def scan_texts(spark: SparkSession, path: str | list[str], preserve_newlines: bo
     text = text if preserve_newlines else rules.newlines(text)
     return rows.select(
         "path", rules.base_name(F.col("path")).alias("file_name"), rules.file_type(F.col("path")).alias("file_type"),
-        rules.encoding_of(F.col("content")).alias("encoding"), text.alias("text"), F.col("length").alias("original_size"),
+        rules.encoding_of(F.col("content")).alias("encoding"), text.alias("text"), F.col("length").alias("original_size"), "content",
     )
 
 
+def scan_payloads(spark: SparkSession, path: str | list[str], suffix: str = ".bin") -> DataFrame:
+    """path, file_name (without the suffix) and payload of compressed files."""
+    rows = scan_bytes(spark, path).where(F.col("path").endswith(suffix))
+    return rows.select("path", F.regexp_replace(rules.base_name(F.col("path")), r"\Q" + suffix + r"\E$", "").alias("file_name"), F.col("content").alias("payload"))
+
+
 def from_texts(df: DataFrame, text: str = "text") -> DataFrame:
     """A column of strings as a source: its original size is its UTF-8 bytes."""
     return df.withColumn("original_size", F.octet_length(text).cast("long"))
@@ -98,7 +104,7 @@ def write_files(df: DataFrame, folder: str, name: str, content: str, suffix: str
 
         for batch in batches:
             for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, inner = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+                system, inner = fs.FileSystem.from_uri(folder if "://" in folder else "file:///" + folder.removeprefix("file:").lstrip("/"))
                 system.create_dir(inner, recursive=True)
                 part = f"{inner}/.{uuid.uuid4().hex}"
                 with system.open_output_stream(part) as f:

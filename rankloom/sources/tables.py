@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{own_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, what: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that this application makes once: later calls with the same ``what`` read what the first has written."""
+    key = (spark.sparkContext.applicationId, own_dir(spark), *what)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_kept.get(key, own_dir(spark))}/_SUCCESS")
+    if key not in _kept or not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        path = f"{own_dir(spark)}/kept-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])

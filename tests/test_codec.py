@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,11 @@ def test_encode_decode_and_size(spark):
         assert (r.d.window, [(t.kind, t.value) for t in r.d.tokens]) == (r.w, tokens)
 
 
+def test_pairs(spark):
+    df = spark.createDataFrame([(0, [("r", 3), ("r", 0), ("e", 1), ("r", 7), ("r", 8), ("r", 1), ("<BREAK>", 0), ("r", 1), ("r", 1)]), (1, []), (2, [("r", 1)])], STREAM)
+    assert [r[0] for r in df.orderBy("id").select(codec.pairs(F.col("stream"))).collect()] == [2, 0, 0]
+
+
 def test_greedy_order_and_empty(spark):
     df = spark.createDataFrame([(0, [("r", 3), ("r", 0), ("r", 0), ("r", 0)]), (1, [])], STREAM)
     got = {r.id: r.h for r in df.select("id", codec.encode_hex(F.col("stream")).alias("h")).collect()}
@@ -94,47 +100,36 @@ def test_bad_window(spark, w):
         spark.createDataFrame([(0, [("r", 1)])], STREAM).select(codec.encode(F.col("stream"), w)).collect()
 
 
+#: An explicit id: its first byte, then bytes with the high bit clear until one has it set, three at most or as far as the stream goes.
+ID = re.compile(rb"[\x80-\xbf](?:[\x80-\xff]|[\x00-\x7f][\x80-\xff]|[\x00-\x7f]{2}[\x80-\xff]|[\x00-\x7f]{1,2})?", re.S)
+
+
 def unpack(data):
-    def length(d, i):
-        if i + 1 >= len(d):
-            return 1
-        if d[i + 1] & 0x80:
-            return 2
-        if i + 2 >= len(d):
-            return 2
-        if d[i + 2] & 0x80:
-            return 3
-        return 4 if i + 3 < len(d) and d[i + 3] & 0x80 else 3
-
-    def value(u):
-        v = u[0] & 63
-        for b in u[1:]:
-            v = v << 7 | b & 127
-        return v
-
-    i, w, out = 0, 64, []
-    if len(data) >= 2 and data[0] >> 6 == 2:
-        n = length(data, 0)
-        w, i = value(data[:n]), n
-    while i < len(data):
-        b = data[i]
-        if b == 0xFF:
+    """The format read from its bits."""
+    w, out = 64, []
+    if len(data) >= 2 and ID.match(data):
+        head = ID.match(data).group()
+        w, data = number(head), data[len(head) :]
+    while data:
+        bits, size = f"{data[0]:08b}", 1
+        if bits == "11111111":
             out.append(("<BREAK>", 0))
-        elif b >> 6 == 0:
-            out.append(("r", b))
-        elif b >> 6 == 1:
-            out += [("r", b >> 3 & 7), ("r", b & 7)]
-        elif b >> 6 == 3:
-            out += [("r", 0)] * (b & 63)
+        elif bits.startswith("10"):
+            unit = ID.match(data).group()
+            size = len(unit)
+            out.append(("e", number(unit)))
+        elif bits.startswith("01"):
+            out += [("r", int(bits[2:5], 2)), ("r", int(bits[5:], 2))]
         else:
-            n = length(data, i)
-            out.append(("e", value(data[i : i + n])))
-            i += n
-            continue
-        i += 1
+            out += [("r", 0)] * int(bits[2:], 2) if bits.startswith("11") else [("r", int(bits, 2))]
+        data = data[size:]
     return w, out
 
 
+def number(unit):
+    return int(f"{unit[0]:08b}"[2:] + "".join(f"{b:08b}"[1:] for b in unit[1:]), 2)
+
+
 def test_any_bytes_decode(spark):
     r = random.Random(3)
     raw = [bytes(r.choice((r.randrange(256), 0x81, 0x05, 0x90, 0xFF, 0xC0)) for _ in range(r.randint(0, 14))) for _ in range(300)]
