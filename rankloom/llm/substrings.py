@@ -13,11 +13,14 @@ places or more, and every word under one is removed.
    nonbranching path with its source coordinates.
 4. The coordinates are joined back to the texts, and the words under them removed.
 
-Every count is made where the key's rows meet; a key has one row for each occurrence and
-holds only numbers.  Texts are shuffled once, by document.
+Every count is made where the key's rows meet, and rows hold only numbers.  A task sends the first
+two occurrences of a key there, which is enough to see that it is repeated; it knows that of
+further ones and deals them by their place, so a passage that a third of all texts share is
+spread over all partitions.  Texts are shuffled once, by document.
 
 Nulls: a null text has no words.  Texts of fewer than 35 words lose nothing.  Equal rows
-count as different places.  An empty table gives an empty result.
+count as different places.  A text of any length is one row.  There are no ties, since all
+copies go.  Columns beside id and text are left out.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -59,6 +62,36 @@ class Anchors:
         self.grams = grams
 
 
+#: Keys that a task remembers to have sent, at most; beyond, it starts anew and sends some once more.
+MOST_KEYS = 1 << 20
+
+
+class Sent:
+    """How often a task has sent each key so far: once, or twice and so not again."""
+
+    def __init__(self):
+        self.keys, self.times = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Which of these occurrences are at least the third of their key."""
+        unique, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(inverse, kind="stable")
+        turn = np.empty(len(keys), np.int64)
+        turn[order] = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+        at = np.searchsorted(self.keys, unique)
+        old = np.flatnonzero(at < len(self.keys))
+        old = old[self.keys[at[old]] == unique[old]]
+        before = np.zeros(len(unique), np.int64)
+        before[old] = self.times[at[old]]
+        self.times[at[old]] = np.minimum(2, before[old] + count[old])
+        fresh = np.setdiff1d(np.arange(len(unique)), old, assume_unique=True)
+        if len(self.keys) + len(fresh) > MOST_KEYS:
+            self.__init__()
+        else:
+            self.keys, self.times = np.insert(self.keys, at[fresh], unique[fresh]), np.insert(self.times, at[fresh], np.minimum(2, count[fresh]))
+        return turn + before[inverse] >= 2
+
+
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
@@ -69,10 +102,17 @@ def _numbers(part: pa.RecordBatch, row: np.ndarray) -> list[pa.Array]:
     return [part.column(0).take(at), part.column(1).take(at)]
 
 
+def _deal(keys: np.ndarray, known: np.ndarray, text_hash: pa.Array, position: np.ndarray) -> np.ndarray:
+    """Where rows go: by their key, and those that are known to be repeated by their place."""
+    place = vec.mix(text_hash.to_numpy(zero_copy_only=False).view(np.uint64) + position.astype(np.uint64))
+    return np.where(known, place, keys)
+
+
 def _anchor_rows(docs: DataFrame, window: int, anchor: int, parts: int) -> DataFrame:
-    names = ["anchor", "doc", "text_hash", "position"]
+    names = ["anchor", "known", "doc", "text_hash", "position"]
 
     def run(batches):
+        sent = Sent()
         for batch in batches:
             for part in vec.slices(batch, "text"):
                 a = Anchors(part.column(2), window, anchor)
@@ -82,16 +122,18 @@ def _anchor_rows(docs: DataFrame, window: int, anchor: int, parts: int) -> DataF
                 row = np.searchsorted(a.words.first, at, side="right") - 1
                 doc, text_hash = _numbers(part, row)
                 position = (at - a.words.first[row]).astype(np.int32)
-                yield from packed(a.grams[at], parts, names, [a.grams[at].view(np.int64), doc, text_hash, position])
+                known = sent.known(a.grams[at])
+                yield from packed(_deal(a.grams[at], known, text_hash, position), parts, names, [a.grams[at].view(np.int64), known.view(np.int8), doc, text_hash, position])
 
-    return unpacked(docs.mapInArrow(run, "bucket int, anchor array<long>, doc array<long>, text_hash array<long>, position array<int>"), parts, names)
+    return unpacked(docs.mapInArrow(run, "bucket int, anchor array<long>, known array<tinyint>, doc array<long>, text_hash array<long>, position array<int>"), parts, names)
 
 
-def _edge_rows(docs: DataFrame, window: int, anchor: int, parts: int) -> DataFrame:
-    """docs has ``positions``, of its repeated anchors."""
-    names = ["edge", "edge2", "doc", "text_hash", "position"]
+def _edge_rows(docs: DataFrame, window: int, anchor: int, parts: int, exact: bool) -> DataFrame:
+    """docs has ``positions``, of its repeated anchors.  exact: all of an edge's rows meet, so that they can be counted."""
+    names = ["edge", "edge2", "known", "doc", "text_hash", "position"]
 
     def run(batches):
+        sent = Sent()
         for batch in batches:
             for part in vec.slices(batch, "text"):
                 a = Anchors(part.column(2), window, anchor)
@@ -107,15 +149,16 @@ def _edge_rows(docs: DataFrame, window: int, anchor: int, parts: int) -> DataFra
                 two = vec.gram_hashes(a.words.hashes, window, seed=0x5EED)[starts]
                 doc, text_hash = _numbers(part, row)
                 position = (starts - a.words.first[row]).astype(np.int32)
-                columns = [one.view(np.int64), two.astype(np.uint32).view(np.int32), doc, text_hash, position]
-                yield from packed(one, parts, names, columns)
+                known = np.zeros(len(one), bool) if exact else sent.known(vec.mix(one ^ two))
+                columns = [one.view(np.int64), two.astype(np.uint32).view(np.int32), known.view(np.int8), doc, text_hash, position]
+                yield from packed(_deal(one, known, text_hash, position), parts, names, columns)
 
-    kinds = "bucket int, edge array<long>, edge2 array<int>, doc array<long>, text_hash array<long>, position array<int>"
+    kinds = "bucket int, edge array<long>, edge2 array<int>, known array<tinyint>, doc array<long>, text_hash array<long>, position array<int>"
     return unpacked(docs.mapInArrow(run, kinds), parts, names)
 
 
 def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    return counted(rows, "places", *key).where("places > 1")
+    return counted(rows, "places", *key).where("places > 1 or known > 0")
 
 
 def _with_texts(keyed: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -126,19 +169,22 @@ def _with_texts(keyed: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 def paths(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Compacted nonbranching paths of repeated edges: doc, text_hash, start (word), length (words), places, edge (the first)."""
-    return _paths(_keyed(docs, id, text), window, anchor)
+    return _paths(_keyed(docs, id, text), window, anchor, True)
 
 
-def _paths(keyed: DataFrame, window: int, anchor: int) -> DataFrame:
+def _paths(keyed: DataFrame, window: int, anchor: int, exact: bool) -> DataFrame:
+    """exact: with the number of places; else a path may go on where it branches, since only its words are asked for."""
     if not 0 < anchor <= window:
         raise ValueError("an anchor has from one word to the window's")
     parts = partitions(keyed.sparkSession)
     anchors = _repeated(_anchor_rows(keyed, window, anchor, parts), "anchor")
     flagged = anchors.groupBy("doc", "text_hash").agg(F.collect_list("position").alias("positions"))
     marked = _with_texts(keyed, flagged, "inner").select("doc", "text_hash", "text", "positions")
-    edges = _repeated(_edge_rows(marked, window, anchor, parts), "edge", "edge2")
+    edges = _repeated(_edge_rows(marked, window, anchor, parts, exact), "edge", "edge2")
     source = Window.partitionBy("doc", "text_hash").orderBy("position")
-    follows = (F.col("position") - F.lag("position").over(source) <= 1) & (F.col("places") == F.lag("places").over(source))
+    follows = F.col("position") - F.lag("position").over(source) <= 1
+    if exact:
+        follows &= F.col("places") == F.lag("places").over(source)
     numbered = edges.withColumn("fresh", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("fresh").over(source))
     return numbered.groupBy("doc", "text_hash", "path").agg(
         F.min("position").alias("start"), (F.max("position") - F.min("position") + window).alias("length"),
@@ -152,7 +198,7 @@ FIELDS = [field("n_words", T.LongType()), field("n_removed", T.LongType()), fiel
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
     """id, n_words, n_removed, kept (words joined by one space; null without ``with_text``) and its kept_sha256."""
     keyed = _keyed(docs, id, text)
-    spans = _paths(keyed, window, anchor).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = _paths(keyed, window, anchor, False).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     rows = _with_texts(keyed, spans, "left").select(F.col("doc").alias(id), "text", F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
 
     def make():

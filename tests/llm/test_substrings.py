@@ -25,6 +25,29 @@ def test_against_brute_force(spark, seed, size, anchor):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept, x.kept_sha256) for x in rows} == {i: v for (i, _), v in zip(docs, brute(docs, size))}
 
 
+def test_a_passage_of_all_texts_is_spread(spark, monkeypatch):
+    """Most rows of a key that every text has don't meet in one partition."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [(i, f"a{i} b{i} {passage} c{i}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    rows = substrings._anchor_rows(substrings._keyed(df, "doc_id", "text"), 35, 20, 4)
+    hot = rows.groupBy("anchor").count().orderBy("count", ascending=False).first()["anchor"]
+    sizes = [r["count"] for r in rows.where(rows.anchor == hot).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 300 and len(sizes) == 4 and max(sizes) < 150
+    monkeypatch.setattr(substrings, "MOST_KEYS", 50)
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substrings.dedup(df).collect()}
+    assert set(got.values()) == {(63, 60)}
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = [(0, " ".join(f"w{k}" for k in range(34)) + " " + one), (1, " ".join(f"w{k}" for k in range(34)) + " " + two)]
+    assert [x.n_removed for x in substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()] == [0, 0]
+
+
 def test_paths(spark):
     a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
     docs = [(0, " ".join(a)), (1, " ".join(b[:9] + a + b[9:])), (2, " ".join(a[:40] + b[:5]))]
