@@ -11,7 +11,7 @@ Vectors with the same components form one class with a multiplicity; classes are
    K best; while links saturate it, it is enlarged to twice the length.  What a list has no
    room for is not lost: the links among the vectors that meet are followed, and those that tie
    two of them together are kept whatever the lists hold.  Rounds go on while they tie
-   components together or enlarge lists that found more links, ``ROUNDS`` at least.
+   components together, ``ROUNDS`` at least.
 3. Bridges.  Tight groups see only themselves in their lists.  The members of components lie in
    blocks with a centre and a radius; two blocks are compared whole if their centres are near
    enough for any link.  So all links between components of several classes are found.
@@ -442,23 +442,22 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", embedding: str = "embeddi
 
     rooted = rooted_by(ties.df)
     graph = Stored(_best(_seeds(classes.df, count, TREES, 0), NEIGHBOURS))
-    turn, most, links = 0, NEIGHBOURS, -1
+    turn, most = 0, NEIGHBOURS
     while count:
         met = Stored(_joined(graph.df, classes.df, most))
         before = rooted
         tied(met.df)
+        turn += 1
+        if turn >= ROUNDS and rooted is before:
+            break  # a round that ties nothing together
         # Seeds' cosines are about right only: what met replaces them.
-        exact = met.df if turn == 0 else graph.df.union(met.df)
-        saturated = exact.where(F.col("s") >= THRESHOLD).groupBy("a").agg(F.count_distinct("b").alias("n")).where(F.col("n") >= most).isEmpty() is False
-        most = 2 * most if saturated else most
+        exact = met.df if turn == 1 else graph.df.union(met.df)
+        full = exact.where(F.col("s") >= THRESHOLD).groupBy("a").agg(F.count_distinct("b").alias("n")).where(F.col("n") >= most)
+        most = most if full.isEmpty() else 2 * most
         made = Stored(_best(exact, most))
         met.drop()
         graph.drop()
-        graph, turn = made, turn + 1
-        now = graph.df.where(F.col("s") >= THRESHOLD).count()
-        if turn >= ROUNDS and rooted is before and (now == links or turn > 2 * ROUNDS):
-            break  # a round that ties nothing together, with lists that are as they were or hold a group's own links
-        links = now
+        graph = made
     bridged(False)
     audits.append(_audited(rooted.df, count))
     if audits[-1].found < audits[-1].links:
