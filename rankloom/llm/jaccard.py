@@ -228,7 +228,7 @@ def _edges(instances: DataFrame, parts: int, percent: int) -> DataFrame:
     ties = Stored(open_.select("signature", "class").join(mixed, "signature").select("a", F.col("class").alias("b")).distinct())
     cluster = components(ties.df).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     held = ties.df.select(F.col("b").alias("class")).distinct().join(cluster, "class", "left").withColumn("cluster", F.coalesce("cluster", "class"))
-    round3 = Stored(_within(rooted(held, "class", "r").join(sets, "class"), percent))
+    round3 = Stored(_within(rooted(held, "class", "r"), sets, percent))
     return round1.df.union(round2.df).union(round3.df)
 
 
@@ -236,11 +236,12 @@ def _edges(instances: DataFrame, parts: int, percent: int) -> DataFrame:
 BLOCK, WIDTH = 1 << 19, 4096
 
 
-def _within(members: DataFrame, percent: int) -> DataFrame:
-    """Of clusters (cluster, class, r, size, shingles): enough linked pairs (a, b) to connect what is linked across components r.
+def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of clusters (cluster, class, r) of sets (class, size, shingles): enough linked pairs (a, b) to connect what is linked across components r.
 
     A cluster is dealt into blocks of a bounded size, and each two blocks meet in one row: intersections are products
-    of 0/1 matrices, and no pair becomes a row unless it joins two components.
+    of 0/1 matrices, and no pair becomes a row unless it joins two components.  Sets are shuffled by class and by
+    block, never by cluster: one cluster may hold most of them.
     """
 
     def run(batches):
@@ -269,9 +270,11 @@ def _within(members: DataFrame, percent: int) -> DataFrame:
                         break
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("count"), F.greatest(F.lit(1), F.ceil(F.sum("size") / BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(sizes.where("count > 1"), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    blocks = Stored(placed.groupBy("cluster", "block", "blocks").agg(F.collect_list(F.struct("class", "r", "size", "shingles")).alias("rows"))).df
+    sized = members.join(sets.select("class", "size"), "class")
+    sizes = sized.groupBy("cluster").agg(F.count("*").alias("count"), F.greatest(F.lit(1), F.ceil(F.sum("size") / BLOCK)).cast("int").alias("blocks"))
+    placed = sized.join(sizes.where("count > 1"), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    full = placed.select("class", "r", "cluster", "block", "blocks").join(sets, "class")
+    blocks = Stored(full.groupBy("cluster", "block", "blocks").agg(F.collect_list(F.struct("class", "r", "size", "shingles")).alias("rows"))).df
     one = blocks.select("cluster", F.col("rows").alias("one"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("with"))
     two = blocks.select("cluster", F.col("block").alias("with"), F.col("rows").alias("two"))
     return one.join(two, ["cluster", "with"]).select("one", "two").mapInArrow(run, "a long, b long").distinct()
