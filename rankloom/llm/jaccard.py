@@ -232,8 +232,23 @@ def _edges(instances: DataFrame, parts: int, percent: int) -> DataFrame:
     return round1.df.union(round2.df).union(round3.df)
 
 
-#: Shingles of a block, about, and columns of its matrix at a time.
-BLOCK, WIDTH = 1 << 19, 4096
+#: Size of a block, about: each set counts its shingles and ``ROW`` more, so a block has 2,048 sets at most, give or take.
+BLOCK, ROW = 1 << 19, 256
+#: Columns of a block's matrix, and rows of what is made from it, at a time.
+WIDTH, TILE = 1024, 256
+
+
+def _tiles(n: int) -> list[slice]:
+    return [slice(at, at + TILE) for at in range(0, n, TILE)]
+
+
+def _lowest(linked: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the column with the least label that it is linked with, and that label (the largest long without links)."""
+    at, low = np.empty(len(linked), np.int64), np.empty(len(linked), np.int64)
+    for t in _tiles(len(linked)):
+        x = np.where(linked[t], labels, np.iinfo(np.int64).max)
+        at[t], low[t] = x.argmin(1), x.min(1)
+    return at, low
 
 
 def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,19 +264,20 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for i in range(batch.num_rows):
                 one, two = (batch.column(c)[i].values for c in (0, 1))
                 (ca, ra, na, xa), (cb, rb, nb, xb) = (_columns(x) for x in (one, two))
-                both = _products(na, xa, nb, xb)
-                linked = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (ra[:, None] != rb[None, :])
+                linked = _products(na, xa, nb, xb)
+                for t in _tiles(len(ca)):
+                    both = linked[t].astype(np.int64)
+                    linked[t] = (100 * both >= percent * (na[t, None] + nb - both)) & (ra[t, None] != rb)
+                linked = linked.astype(bool)
                 out_a, out_b = [], []
                 labels_a, labels_b = ra.copy(), rb.copy()
                 while True:  # least labels spread over the links; what changes a label is an edge
-                    low_b = np.where(linked, labels_b[None, :], np.iinfo(np.int64).max)
-                    at, low = low_b.argmin(1), low_b.min(1)
+                    at, low = _lowest(linked, labels_b)
                     move = np.flatnonzero(low < labels_a)
                     out_a.append(ca[move])
                     out_b.append(cb[at[move]])
                     labels_a[move] = low[move]
-                    low_a = np.where(linked, labels_a[:, None], np.iinfo(np.int64).max)
-                    at, low = low_a.argmin(0), low_a.min(0)
+                    at, low = _lowest(linked.T, labels_a)
                     back = np.flatnonzero(low < labels_b)
                     out_a.append(ca[at[back]])
                     out_b.append(cb[back])
@@ -271,7 +287,7 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     sized = members.join(sets.select("class", "size"), "class")
-    sizes = sized.groupBy("cluster").agg(F.count("*").alias("count"), F.greatest(F.lit(1), F.ceil(F.sum("size") / BLOCK)).cast("int").alias("blocks"))
+    sizes = sized.groupBy("cluster").agg(F.count("*").alias("count"), F.ceil(F.sum(F.col("size") + ROW) / BLOCK).cast("int").alias("blocks"))
     placed = sized.join(sizes.where("count > 1"), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     full = placed.select("class", "r", "cluster", "block", "blocks").join(sets, "class")
     blocks = Stored(full.groupBy("cluster", "block", "blocks").agg(F.collect_list(F.struct("class", "r", "size", "shingles")).alias("rows"))).df
@@ -287,21 +303,27 @@ def _columns(rows: pa.StructArray) -> tuple:
 
 def _products(na: np.ndarray, xa: pa.ListArray, nb: np.ndarray, xb: pa.ListArray) -> np.ndarray:
     """Sizes of all intersections of the sets xa with the sets xb."""
-    va, vb = xa.flatten().to_numpy(), xb.flatten().to_numpy()
-    rows_a, rows_b = (np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())) for x in (xa, xb))
-    common = np.intersect1d(np.unique(va), np.unique(vb))
-    out = np.zeros((len(xa), len(xb)), np.float32)
-    at_a, at_b = (np.searchsorted(common, v) for v in (va, vb))
-    in_a, in_b = ((at < len(common)) & (common[np.minimum(at, max(len(common) - 1, 0))] == v) if len(common) else np.zeros(len(v), bool) for at, v in ((at_a, va), (at_b, vb)))
+    values = [x.flatten().to_numpy() for x in (xa, xb)]
+    common = np.intersect1d(*map(np.unique, values))
+    out = np.zeros((len(xa), len(xb)), np.int32)
+    if not len(common):
+        return out
+    sides = []
+    for x, v in zip((xa, xb), values):
+        at = np.minimum(np.searchsorted(common, v), len(common) - 1)
+        inside = np.flatnonzero(common[at] == v)
+        inside = inside[np.argsort(at[inside], kind="stable")]
+        sides.append((len(x), at[inside], np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy()))[inside]))
     for first in range(0, len(common), WIDTH):
         two = []
-        for at, inside, rows, n in ((at_a, in_a, rows_a, len(xa)), (at_b, in_b, rows_b, len(xb))):
-            mine = inside & (at >= first) & (at < first + WIDTH)
+        for n, at, rows in sides:
+            lo, hi = np.searchsorted(at, [first, first + WIDTH])
             m = np.zeros((n, min(WIDTH, len(common) - first)), np.float32)
-            m[rows[mine], at[mine] - first] = 1
+            m[rows[lo:hi], at[lo:hi] - first] = 1
             two.append(m)
-        out += two[0] @ two[1].T
-    return out.astype(np.int64)
+        for t in _tiles(len(xa)):
+            out[t] += (two[0][t] @ two[1].T).astype(np.int32)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

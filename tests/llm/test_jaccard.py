@@ -28,7 +28,7 @@ def classes(docs, percent, size):
 
 @pytest.mark.parametrize("seed,rare,frequent,block", [(0, 16, 256, 1 << 19), (1, 1, 2, 500), (2, 2, 5, 500), (3, 16, 256, 500)])
 def test_against_brute_force(spark, monkeypatch, seed, rare, frequent, block):
-    for k, v in (("RARE", rare), ("FREQUENT", frequent), ("BLOCK", block), ("WIDTH", 64)):
+    for k, v in (("RARE", rare), ("FREQUENT", frequent), ("BLOCK", block), ("WIDTH", 64), ("TILE", 3)):
         monkeypatch.setattr(jaccard, k, v)
     docs = near_texts(seed)
     rows = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
