@@ -5,6 +5,7 @@ The forms for tables, which a corpus needs, are in ``plans.compress`` and ``oper
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,9 @@ def _spark(model: Model) -> SparkSession:
 
 def tokenize_chunks(model: Model, texts: list[str], window: int = codec.WINDOW) -> list[list[Token]]:
     """The coded tokens of each text, taken as one chunk."""
-    rows = _spark(model).createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, chunk_no int, chunk string")
-    items = rankcoder.item_rows(rankcoder.token_rows(rows, model.how), model.vocab)
+    rows = _spark(model).createDataFrame([(i, [t]) for i, t in enumerate(texts)], "doc_id long, chunks array<string>")
     out: list[list[Token]] = [[] for _ in texts]
-    for r in rankcoder.encode_rows(items, model.ranks, window, model.k).orderBy("doc_id", "pos").collect():
+    for r in rankcoder.encode_rows(rows, model.store, window, model.k, model.how).orderBy("doc_id", "pos").collect():
         out[r["doc_id"]].append((r["kind"], r["value"]))
     return out
 
@@ -33,7 +33,7 @@ def detokenize_chunks(model: Model, chunks: list[list[Token]], window: int = cod
     """The inverse; raises for tokens that the model can't have made."""
     rows = _spark(model).createDataFrame([(i, window, c) for i, c in enumerate(chunks)], f"doc_id long, window int, stream array<{codec.TOKEN}>")
     out = [""] * len(chunks)
-    for r in rankcoder.decode_streams(rows, model.vocab, model.ranks, model.k).collect():
+    for r in rankcoder.decode_streams(rows, model.store, model.k).collect():
         if r["error"]:
             raise ValueError(r["error"])
         out[r["doc_id"]] = "".join(r["chunks"])
@@ -51,9 +51,8 @@ def detokenize(model: Model, tokens: list[Token], window: int = codec.WINDOW) ->
 def predict_next_words(model: Model, text: str, k: int = rankcoder.CANDIDATES) -> list[str]:
     """The k likeliest tokens after a text."""
     ids = [i for r in rankcoder.word_ids(_words(model, text), model.vocab).orderBy("pos").collect() for i in r["ids"]]
-    table = rankcoder.Table(model.vocab, model.ranks, model.k)
-    best = list(dict.fromkeys(table.candidates(ids, rankcoder.ORDER)))[:k]
-    return table.spell([[i] for i in best])
+    best = list(dict.fromkeys(rankcoder.likeliest(ids, model.store, model.k)))[:k]
+    return rankcoder.spelt(np.array(best, np.int64), model.store)
 
 
 def _words(model: Model, text: str) -> DataFrame:
