@@ -8,6 +8,7 @@ once; decoding asks for one place of every chunk of the batch at a time.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +39,6 @@ def loaded(load: Callable[[], RankModel]) -> RankModel:
     return _models[load]
 
 
-_CODED = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.int32())]))
 #: Chunks whose places go to the model together.
 BATCH = 64
 
@@ -49,7 +49,7 @@ def encoded(texts: list[str], model: RankModel, window: int = codec.WINDOW) -> l
     told = model.top_k([ids[i][max(0, p - window) : p] for i, p in places]) if places else []
     out = [[(codec.EXPLICIT, x) for x in own[:1]] for own in ids]
     for (i, p), candidates in zip(places, told):
-        best = list(candidates)[: codec.RANKS]
+        best = (candidates if isinstance(candidates, range) else list(candidates))[: codec.RANKS]  # a range is not spread out
         x = ids[i][p]
         out[i].append((codec.RANK, best.index(x)) if x in best else (codec.EXPLICIT, x))
     return out
@@ -75,8 +75,10 @@ def tokenize_chunks(chunks: DataFrame, load: Callable[[], RankModel], window: in
         for batch in batches:
             for part in (batch.slice(at, BATCH) for at in range(0, batch.num_rows, BATCH)):
                 made = encoded([t or "" for t in part.column(names.index("chunk")).to_pylist()], model, window)
-                rows = [[{"kind": k, "value": v} for k, v in c] for c in made]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, _CODED)], [*names, "tokens"])
+                flat = [t for c in made for t in c]
+                tokens = pa.StructArray.from_arrays([pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.int32())], ["kind", "value"])
+                ends = pa.array([0, *accumulate(map(len, made))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, tokens)], [*names, "tokens"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
     return chunks.mapInArrow(run, f"{kinds}, tokens array<{codec.TOKEN}>")
@@ -90,7 +92,10 @@ def detokenize_chunks(rows: DataFrame, load: Callable[[], RankModel], window: in
         model = loaded(load)
         for batch in batches:
             for part in (batch.slice(at, BATCH) for at in range(0, batch.num_rows, BATCH)):
-                own = [[(t["kind"], t["value"]) for t in c or ()] for c in part.column(names.index("tokens")).to_pylist()]
+                lists = part.column(names.index("tokens"))
+                flat, ends = lists.flatten(), [0, *accumulate(lists.value_lengths().fill_null(0).to_pylist())]
+                pairs = list(zip(flat.field("kind").to_pylist(), flat.field("value").to_pylist()))
+                own = [pairs[a:b] for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded(own, model, window), pa.string())], [*names, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

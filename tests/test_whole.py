@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions import codec
-from rankloom.operators import rankcoder
+from rankloom.operators import external, rankcoder
 from rankloom.operators.store import NONE, context_keys
 from rankloom.plans import registry
 
@@ -59,3 +59,11 @@ def test_sizes_without_bytes(spark):
     want = {r.i: r.n - 2 for r in df.select("i", codec.packed_size(F.col("s")).alias("n")).collect()}
     letter = lambda k, v: b"B" if k == "<BREAK>" else (b"2" if v < 8192 else b"3" if v < 1 << 20 else b"4") if k == "e" else b"z" if v == 0 else b"s" if v < 8 else b"L"
     assert {i: rankcoder.body_size(b"".join(letter(*t) for t in r)) for i, r in enumerate(rows)} == want
+
+
+def test_a_range_of_candidates_is_not_spread_out():
+    class Far(external.NextPoints):
+        def top_k(self, contexts):
+            return [range(c[-1], 1 << 60) for c in contexts]
+
+    assert external.encoded(["ab\x01"], Far()) == [[("e", 97), ("r", 1), ("e", 1)]]
