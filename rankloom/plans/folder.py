@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import codec
-from rankloom.operators import reports
+from rankloom.operators import rankcoder, reports
 from rankloom.plans import compress
 from rankloom.sources import files
 from rankloom.sources.tables import written
@@ -26,14 +28,16 @@ def run(
     A file that can't be decoded, or whose payload can't, is a row with an error and has no output.
     """
     docs = documents(spark, source, utf8_only)
-    told = written(compress.report(docs, model, window, least, most))
+    began = time.time()
+    rows = compress.payload_table(docs, model, window, least, most)
+    told = compress.checked(rows, model, window, least, most, time.time() - began)
     out = files.output_dirs(spark, output, debug)
-    names = docs.select("doc_id", "file_name")
-    payloads = written(compress.compress(docs, model, window, least, most).where("error is null").join(names, "doc_id"))
+    payloads = rows.where("error is null").select("doc_id", "file_name", "payload")
     files.write_files(payloads, out["compressed"], "file_name", "payload", ".bin")
     decompress(spark, out["compressed"], out["results"], model)
     if debug:
         files.write_files(docs, out["debug"], "file_name", "content", ".original")
+        names = docs.select("doc_id", "file_name")
         streams = compress.token_streams(docs, model, window, least, most).where("stream is not null")
         files.write_files(reports.token_dumps(streams).join(names, "doc_id"), out["debug"], "file_name", "dump", ".tokens.txt")
         back = payloads.select("doc_id", codec.decode(F.col("payload"))["tokens"].alias("stream"))
@@ -43,7 +47,7 @@ def run(
 
 def decompress(spark: SparkSession, source: str, output: str, model: compress.Model, strict: bool = False) -> DataFrame:
     """Writes the texts of a folder of .bin files; file_name and error of each."""
-    payloads = files.scan_payloads(spark, source).withColumn("doc_id", F.xxhash64("path"))
-    made = written(compress.decompress(payloads, model, strict).join(payloads.select("doc_id", "file_name"), "doc_id"))
-    files.write_files(made.where("error is null"), output, "file_name", "text")
-    return made.select("file_name", "error")
+    payloads = files.scan_payloads(spark, source)
+    made = written(rankcoder.decode_payloads(payloads.select("file_name", "payload"), model.store, model.k, strict).select("file_name", "back", "back_error"))
+    files.write_files(made.where("back_error is null"), output, "file_name", "back")
+    return made.select("file_name", F.col("back_error").alias("error"))
