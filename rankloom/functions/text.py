@@ -91,7 +91,16 @@ def same_text(a: Column, b: Column) -> Column:
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """The first place (from 0) where two texts differ; null for equal ones."""
-    points = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    same = F.zip_with(points(a), points(b), lambda x, y: x.eqNullSafe(y))  # the shorter one goes on with nulls
-    return F.when(a != b, F.array_position(same, F.lit(False)) - 1)
+    """The first place (from 0) where two texts differ; null for equal ones.
+
+    The common beginning is found by halves, so a text of any length needs no list of its characters.  As variables
+    of a function both are made once.
+    """
+
+    def common(p: Column) -> Column:
+        same = lambda at, step: (at + step <= p["n"]) & (F.substring(p["a"], (at + 1).cast("int"), step.cast("int")) == F.substring(p["b"], (at + 1).cast("int"), step.cast("int")))
+        steps = F.array(*(F.lit(1 << i).cast("long") for i in range(30, -1, -1)))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda at, step: F.when(same(at, step), at + step).otherwise(at))
+
+    both = F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("n"))
+    return F.when(a != b, F.transform(F.array(both), common)[0])
