@@ -52,6 +52,19 @@ def encode(kinds: np.ndarray, values: np.ndarray, ends: np.ndarray, window: int)
     return out, np.r_[start[np.searchsorted(at, heads)], stop[-1]].astype(np.int64)
 
 
+def head(window: int) -> bytes:
+    """The header of a stream."""
+    return encode(np.empty(0, np.int8), np.empty(0, np.int32), np.zeros(2, np.int64), window)[0].tobytes()
+
+
+def last_break(raw: bytes) -> int:
+    """Where the last break between chunks stands in the beginning of a stream; 0: nowhere."""
+    n = _sizes(_BYTES, raw)
+    at = np.cumsum(n) - n
+    found = at[np.frombuffer(raw, np.uint8)[at] == 0xFF]
+    return int(found[-1]) if len(found) else 0
+
+
 def decode(raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str | None]]:
     """Of each stream of bytes its window; kinds, values and where streams begin (and the end); and why a stream is not whole."""
     own = [_sizes(_BYTES, raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
